@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,13 @@ def appended(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> tuple[DataF
     return kept, schema
 
 
+def words_of(text: Column) -> Column:
+    """The array of words `[^\\x20\\x09-\\x0D]+` of a text, from byte-wise replacement and a one-character split."""
+    for c in SPACES.replace(" ", ""):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

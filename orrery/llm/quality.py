@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, materialize
+from .common import SPACES, materialize, words_of
 
 #: Rule: the ladder of cutoffs, mildest first. A value at or above a cutoff is rejected.
 LADDERS = {
@@ -95,10 +95,7 @@ def _repeated_words(words: Column) -> Column:
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns METRICS (long) and base_failed; columns of these names are replaced."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    spaced = text
-    for c in SPACES.replace(" ", ""):
-        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
-    words = F.array_remove(F.split(spaced, " "), "")
+    words = words_of(text)
     by_words = _let(
         words,
         lambda w: F.struct(
