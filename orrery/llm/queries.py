@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, prefix_hash, quality, simhash
+from . import byte_bpe, line_dedup, mixing, prefix_hash, quality, revisits, simhash
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,111 @@ def op7_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP8_SQL = rf"""
+WITH lines AS (
+  SELECT page_id,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:www\.)?([^/?#:]+)', 1), '') AS host,
+    string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g'),
+      '[ \t\r\x0b\x0c]*\n[ \t\n\r\x0b\x0c]*', chr(10), 'g'), chr(10)) AS ls
+  FROM pages),
+solid AS (SELECT page_id, host, ls,
+    list_filter(list_transform(ls, lambda x: trim(x, {_SP})), lambda x: x <> '') AS ts FROM lines),
+each AS (SELECT host, unnest(list_distinct(ts)) AS line FROM solid),
+total AS (SELECT host, count(*) AS n FROM solid GROUP BY host),
+bad AS (SELECT each.host, list(each.line) AS bad FROM
+    (SELECT host, line, count(*) AS k FROM each GROUP BY ALL) each JOIN total ON each.host IS NOT DISTINCT FROM total.host
+    WHERE k >= 4 AND k > 0.5 * n GROUP BY each.host),
+clean AS (SELECT page_id, solid.host, ls, ts, CASE WHEN bad IS NULL THEN ls ELSE
+    list_filter(ls, lambda x: NOT list_contains(bad, trim(x, {_SP})) OR trim(x, {_SP}) = '') END AS cs
+  FROM solid LEFT JOIN bad ON solid.host IS NOT DISTINCT FROM bad.host)
+SELECT page_id, host, CAST(len(ts) AS BIGINT) AS n_lines,
+  CAST(len(ts) - len(list_filter(cs, lambda x: trim(x, {_SP}) <> '')) AS BIGINT) AS n_dropped,
+  CAST(length(array_to_string(cs, chr(10))) AS BIGINT) AS text_chars, md5(array_to_string(cs, chr(10))) AS text_md5
+FROM clean
+"""
+
+
+@query("op8_line_dedup", OP8_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's lines without its host's boilerplate."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text")
+    )
+    return line_dedup.drop_boilerplate(pages, "host", "text").select(
+        "page_id", "host", "n_lines", "n_dropped",
+        F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"),
+    )
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """Archive records of the pages: a response for each, and revisits before and after it, of differing validators."""
+    digest = F.md5("html")
+    k = F.col("page_id") % 5
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 97).cast("string"))
+
+    def record(offset: int, kind: str, url, etag, last_modified, headers):
+        return F.struct(
+            (F.col("page_id") * 3 + offset).alias("record_id"), url.alias("url"), (F.col("page_id") * 10 + [5, 0, 8][offset]).alias("ts"),
+            F.lit(kind).alias("kind"), etag.cast("string").alias("etag"), last_modified.cast("string").alias("last_modified"),
+            headers.alias("headers"), (digest if kind == "response" else F.lit(None).cast("string")).alias("digest"),
+        )
+
+    day = F.concat(F.lit("t"), F.col("page_id").cast("string"))
+    stored = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), day
+    )
+    renewed = F.create_map(
+        F.lit("content-type"), F.lit("ignored"), F.lit("CACHE-CONTROL"), F.lit("no-cache"), F.lit("Date"), F.concat(day, F.lit("+"))
+    )
+    tag = F.when(k.isin(0, 4), F.concat(F.lit("W/"), digest)).when(k == 2, F.lit("other"))
+    since = F.when(k != 3, modified)
+    other = F.concat(F.lit("HTTPS://"), F.regexp_replace("url", "^[a-z]+://", ""))
+    return pages.select(
+        F.explode(
+            F.array(
+                record(0, "response", F.col("url"), digest, modified, stored),
+                record(1, "revisit", other, tag, since, renewed),
+                record(2, "revisit", other, tag, since, renewed),
+            )
+        ).alias("r")
+    ).select("r.*")
+
+
+OP10_SQL = r"""
+WITH base AS (SELECT page_id, md5(html) AS digest, page_id % 5 AS k, 'day ' || (page_id % 97) AS modified,
+    regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^(?i)[a-z][a-z0-9+.-]*://(www\.)?', '') AS rest FROM pages),
+canon AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '^[^/?]*', ''),
+      '(?i)([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/$', '') AS canonical_url FROM base),
+full_ AS (SELECT canonical_url, page_id * 10 + 5 AS ts, page_id * 3 AS record_id, page_id, digest, modified FROM canon),
+revisit AS (SELECT canonical_url, page_id, page_id * 10 + o.d AS ts, page_id * 3 + o.o AS record_id,
+    CASE WHEN k IN (0, 4) THEN digest WHEN k = 2 THEN 'other' END AS etag, CASE WHEN k <> 3 THEN modified END AS modified
+  FROM canon, (VALUES (1, 0), (2, 8)) o(o, d)),
+found AS (SELECT r.*, f.record_id AS to_id, f.digest AS to_digest, f.modified AS to_modified, f.page_id AS to_page
+  FROM revisit r ASOF LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND r.ts > f.ts),
+judged AS (SELECT *, CASE WHEN to_id IS NULL THEN 'no_earlier_response' WHEN etag IS NULL AND modified IS NULL THEN 'no_validator'
+    WHEN (etag IS NOT NULL AND etag = to_digest) OR (etag IS NULL AND modified = to_modified) THEN 'resolved'
+    ELSE 'validator_mismatch' END AS status FROM found)
+SELECT record_id, canonical_url, ts, status, CASE WHEN status = 'resolved' THEN to_id END AS refers_to,
+  CASE WHEN status = 'resolved' THEN to_digest END AS digest,
+  CASE WHEN status = 'resolved' THEN 'text/html' END AS content_type,
+  CASE WHEN status = 'resolved' THEN 'no-cache' END AS cache_control,
+  CASE WHEN status = 'resolved' THEN 't' || page_id || '+' END AS date_header
+FROM judged
+""".replace("\\\\", "\\")
+
+
+@query("op10_warc_revisits", OP10_SQL)
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit among the captures of the pages, with the response that it confirms and its merged headers."""
+    found = revisits.resolve(_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    header = lambda name: F.try_element_at("headers", F.lit(name))
+    return found.select(
+        "record_id", "canonical_url", "ts", "status", "refers_to", "digest", header("content-type").alias("content_type"),
+        header("cache-control").alias("cache_control"), header("date").alias("date_header"),
+    )
