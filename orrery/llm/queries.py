@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, prefix_hash, quality, revisits, simhash
+from . import byte_bpe, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash
 from .common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,9 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_id", "canonical_url", "ts", "status", "refers_to", "digest", header("content-type").alias("content_type"),
         header("cache-control").alias("cache_control"), header("date").alias("date_header"),
     )
+
+
+@query("op2_katz_backoff")
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every text."""
+    return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
