@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash
-from .common import materialize, table
+from . import byte_bpe, huffman, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash
+from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,16 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every text."""
     return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_token_huffman")
+def op5_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written in the block format and read back."""
+    import public_tokenizers as P
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "tokens")
+    huffman.write(huffman.token_ids(docs, P.path("word_bpe_49k.json"), end=2), path)
+    return huffman.read(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
