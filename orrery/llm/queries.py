@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, huffman, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash
+from . import byte_bpe, huffman, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash, toxicity
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,14 @@ def op5_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op3_toxicity_kernel")
+def op3_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of toxicity of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
