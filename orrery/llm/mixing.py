@@ -144,7 +144,8 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5, cap: float = 2.0, size=None, text_col: str = "text",
 ) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every row; ``size`` is a column, the words of the text if None.
+    """(id, size, source_size, target, copies, taken, place) of every row; ``size`` is a column, the words of the text if
+    None; place numbers the rows of one id and size in order of their sources.
 
     Null ids count like others. No document has more than ``cap`` copies, rounded up. An empty table gives no rows.
     """
@@ -161,10 +162,12 @@ def mix(
     whole = F.floor(F.coalesce(copies, F.lit(0.0)) + EPS)
     # A row is told by its id, and rows of one id and size, which any order may number, by their place among them.
     repeats = Window.partitionBy("id", "size").orderBy("source")
+    joined = joined.withColumn("place", F.row_number().over(repeats))
     rows = joined.select(
+        "place",
         "id", "source", "size", "source_size", "target",
         whole.alias("whole"), F.greatest(F.coalesce(copies, F.lit(0.0)) - whole, F.lit(0.0)).alias("part"),
-        F.xxhash64("id", "size", F.row_number().over(repeats)).alias("row"),
+        F.xxhash64("id", "size", "place").alias("row"),
     )
     rows = materialize(rows, "rows")
     total = rows.count()
@@ -185,5 +188,24 @@ def mix(
     last = left.withColumn("whole", F.col("whole") + (chance < F.col("part")).cast("long")).withColumn("part", F.lit(0.0))
     taken = done.unionByName(last).select("row", F.col("whole").alias("copies"))
     return rows.join(taken, "row").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "place"
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    spots = Window.partitionBy("__id", "__size").orderBy("__source")
+    placed = (
+        docs.withColumn("__id", F.col(id_col))
+        .withColumn("__size", size_of(text_col))
+        .withColumn("__source", F.col(source_col).cast("string"))
+        .withColumn("__place", F.row_number().over(spots))
+    )
+    taken = mix(docs, id_col, source_col, text_col=text_col, **rules).where("copies > 0").select(
+        F.col(id_col).alias("__of"), F.col("size").alias("__of_size"), F.col("place").alias("__of_place"), F.col("copies").alias("__copies")
+    )
+    same = (
+        F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size")) & (F.col("__place") == F.col("__of_place"))
+    )
+    repeated = placed.join(taken, same).withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -210,3 +210,11 @@ def op3_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -16,6 +16,7 @@ Null and empty texts have the fingerprint zero and link like any other. Rows of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import LOWER, appended, materialize, shuffle_width
 from .components import components
@@ -32,28 +34,53 @@ BITS = 64
 #: Buckets up to this size are compared within one task.
 BUCKET = 4096
 SEED = 42
+#: Words of 64 bits in a wide fingerprint; those that make tables, of parts that are covered for PART_RADIUS each.
+WIDE, KEYED, PARTS, PART_RADIUS = 4, 2, 3, 2
+#: Ids to remove up to which they are broadcast.
+BROADCAST_IDS = 500_000
 
 _bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of words; of all words if there are fewer, of nothing if there are none."""
     words = (text or "").encode().translate(LOWER).split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lens + 1) - 1
     spans = zip((ends - lens)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - shingle + 1)
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    if not len(hashes):
+        return np.uint64(0)
     lanes = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, j], minlength=256) @ _bits for j in range(8)])
-    on = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(on.view("<u8")[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return int(_majority(shingle_hashes(text, shingle)))
+
+
+def wide_simhash(text: str | None, shingle: int) -> list[np.uint64]:
+    """WIDE fingerprints of 64 bits, from independent mixes of the shingles' hashes."""
+    h, out = shingle_hashes(text, shingle), []
+    for k in range(WIDE):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ x >> np.uint64(31)))
+    return out
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, out_col: str = "fingerprint") -> DataFrame:
@@ -82,94 +109,122 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(ids: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
-    left = ids
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+def _forest(ids: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links among rows of ``bits``, by their ids."""
+    while len(ids) > 1:
+        queue, ids, bits = [(ids[0], bits[0])], ids[1:], bits[1:]
+        while queue and len(ids):
+            x, b = queue.pop()
+            near = np.bitwise_count(bits ^ b).sum(axis=1) <= radius
             if near.any():
-                found = left[near]
-                left = left[~near]
-                queue += list(found)
-                for y in found:
+                queue += list(zip(ids[near], bits[near], strict=True))
+                for y in ids[near]:
                     yield int(x), int(y)
+                ids, bits = ids[~near], bits[~near]
 
 
-def _edges_of(groups: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _edges_of(groups: np.ndarray, ids: np.ndarray, bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges within each run of equal group keys."""
     starts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(ids)])
     two = starts[sizes == 2]
-    x, y = ids[two], ids[two + 1]
-    near = np.bitwise_count(x ^ y) <= radius
-    out = list(zip(x[near].tolist(), y[near].tolist(), strict=True))
+    near = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= radius
+    out = list(zip(ids[two][near].tolist(), ids[two + 1][near].tolist(), strict=True))
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        out += _forest(ids[s : s + n], radius)
+        # Most members of a bucket of unlike texts have no link: one look at all pairs, in blocks, leaves those aside.
+        own = bits[s : s + n]
+        linked = np.zeros(n, bool)
+        for k in range(0, n, 256):
+            apart = np.zeros((min(256, n - k), n - k), np.uint16)
+            for w in range(own.shape[1]):
+                apart += np.bitwise_count(own[k : k + 256, None, w] ^ own[None, k:, w])
+            i, j = np.nonzero(np.triu(apart <= radius, 1))
+            i, j = i + k, j + k
+            linked[i] = linked[j] = True
+        if linked.any():
+            out += _forest(ids[s : s + n][linked], own[linked], radius)
     return out
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: list[str]):
+    names = ["path", "key", "node", *words]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 3), np.int64)
+        rest = np.empty((0, len(names)), np.int64)
 
         def out(part: np.ndarray) -> pa.RecordBatch:
-            found = _edges_of(part[:, :2], part[:, 2].view(np.uint64) if len(part) else part[:, 2], radius)
-            edges = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            bits = np.ascontiguousarray(part[:, 3:]).view(np.uint64)
+            edges = np.array(_edges_of(part[:, :2], part[:, 2], bits, radius), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            new = np.stack([b.column(n).to_numpy() for n in ("path", "key", "fp")], axis=1)
-            rest = np.ascontiguousarray(np.concatenate([rest, new]))
-            last = rest[-1, :2]
-            cut = int(np.flatnonzero((rest[:, :2] != last).any(axis=1))[-1]) + 1 if (rest[0, :2] != last).any() else 0
-            if cut:
-                yield out(np.ascontiguousarray(rest[:cut]))
+            rest = np.concatenate([rest, np.stack([b.column(n).to_numpy() for n in names], axis=1)])
+            other = np.flatnonzero((rest[:, :2] != rest[-1, :2]).any(axis=1))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield out(rest[:cut])
                 rest = rest[cut:]
         if len(rest):
-            yield out(np.ascontiguousarray(rest))
+            yield out(rest)
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect the column ``fp`` of distinct fingerprints as all pairs within the radius would."""
-    spark = distinct.sparkSession
-    paths = [(0, list(range(BITS)))]
-    rows = distinct.select("fp", F.lit(0).alias("at"))
+def links(
+    distinct: DataFrame, radius: int, words: list[str], tables: list[list[tuple[str, int]]], next_level, bucket: int = BUCKET
+) -> DataFrame:
+    """Edges (a, b) that connect the column ``node`` as all pairs within the radius that share a table's key would.
+
+    ``words`` are the columns of a fingerprint. ``tables``: for each path, (column, mask) of its tables; a bucket of more
+    than ``bucket`` rows goes on to the tables that next_level(column, mask) gives, or none if its size is bounded.
+    """
+    rows = distinct.select("node", *words, F.lit(0).alias("at"))
     found = None
     while True:
-        # Each path: the bits that its keys hold so far, and the positions that they leave free.
-        masks = [[held | m for m in covering_masks(radius, free)] for held, free in paths]
-        tables = len(masks[0])
-        flat = F.array(*[F.array(*[F.lit(_signed(m)) for m in per]) for per in masks])
-        dealt = rows.select("fp", "at", F.posexplode(F.element_at(flat, F.col("at") + 1)).alias("v", "mask")).select(
-            (F.col("at") * tables + F.col("v")).cast("long").alias("path"),
-            F.col("fp").bitwiseAND(F.col("mask")).alias("key"),
-            "fp",
+        width = len(tables[0])
+        flat = F.array(
+            *[F.array(*[F.struct(F.lit(words.index(c)).alias("w"), F.lit(_signed(m)).alias("m")) for c, m in per]) for per in tables]
         )
-        paths = [
-            (m, [p for p in free if not m >> p & 1]) for (_, free), per in zip(paths, masks, strict=True) for m in per
-        ]
-        bounded = max(len(free) for _, free in paths) <= bucket.bit_length() - 1
+        word = F.array(*[F.col(w) for w in words])
+        dealt = rows.select("node", *words, "at", F.posexplode(F.element_at(flat, F.col("at") + 1)).alias("v", "t")).select(
+            (F.col("at") * width + F.col("v")).cast("long").alias("path"),
+            F.get(word, F.col("t.w")).bitwiseAND(F.col("t.m")).alias("key"),
+            "node", *words,
+        )
+        following = [next_level(c, m) for per in tables for c, m in per]
         large = None
-        if not bounded:
+        if all(following):
             large = materialize(
                 dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "buckets"
             )
             if large.isEmpty():
                 large = None
         small = dealt if large is None else dealt.join(large, ["path", "key"], "left_anti")
-        sorted_ = small.repartition(shuffle_width(spark), "path", "key").sortWithinPartitions("path", "key")
-        edges = sorted_.select("path", "key", "fp").mapInArrow(_compare(radius), "a long, b long")
+        sorted_ = small.repartition(shuffle_width(distinct.sparkSession), "path", "key").sortWithinPartitions("path", "key")
+        edges = materialize(sorted_.mapInArrow(_compare(radius, words), "a long, b long"), "links")
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             return found
-        rows = dealt.join(large, ["path", "key"], "left_semi").select("fp", F.col("path").cast("int").alias("at"))
+        rows = dealt.join(large, ["path", "key"], "left_semi").select("node", *words, F.col("path").cast("int").alias("at"))
+        tables = following
+
+
+def _free(mask: int) -> list[int]:
+    return [p for p in range(BITS) if not mask >> p & 1]
+
+
+def covering_links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Edges that connect distinct fingerprints ``fp`` as all pairs within the radius would; none is missed."""
+
+    def tables(column: str, mask: int) -> list[tuple[str, int]]:
+        # Of positions so few that a bucket can't be larger, no more tables are made.
+        free = _free(mask)
+        return [(column, mask | m) for m in covering_masks(radius, free)] if len(free) >= bucket.bit_length() else []
+
+    nodes = distinct.select(F.col("fp").alias("node"), "fp")
+    return links(nodes, radius, ["fp"], [tables("fp", 0)], tables, bucket)
 
 
 def near_duplicates(marked: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = 2) -> DataFrame:
@@ -179,7 +234,7 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id", fp_col: str = "fi
     """
     rows = marked.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"))
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    roots = components(links(distinct, radius))
+    roots = components(covering_links(distinct, radius))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -188,3 +243,71 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id", fp_col: str = "fi
     return rows.join(classes, "fp").select(
         F.col("id").alias(id_col), F.col("fp").alias(fp_col), "component_id"
     )
+
+
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, f0 .. f3 long): the wide fingerprint of every row."""
+    names = [f"f{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([wide_simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, WIDE)
+            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names=["id", *names])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ["id", *names]]))
+
+
+def radius_of(similarity: float, slack: float = 1.0) -> int:
+    """The differing bits of a wide fingerprint at a Jaccard similarity of equally large sets, plus deviations of slack."""
+    bits = BITS * WIDE
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts whose shingles have about the similarity or more, by wide fingerprints.
+
+    At such similarities some ten of 64 bits differ, for which covering a whole word would take thousands of tables. Each
+    of KEYED words of the fingerprint is cut into PARTS instead, and each part covered for PART_RADIUS: a pair with at most
+    PARTS * (PART_RADIUS + 1) - 1 differing bits in one of those words is never missed, and most with some more are met.
+    A link is then told by all bits. Equal fingerprints are one node, by a 64-bit hash of it.
+    """
+    words = [f"f{k}" for k in range(WIDE)]
+    marked = materialize(wide_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64(*words)), "marked")
+    distinct = materialize(
+        marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(w).alias(w) for w in words]), "fingerprints"
+    )
+
+    def tables(column: str, mask: int) -> list[tuple[str, int]]:
+        free = _free(mask)
+        if len(free) < BUCKET.bit_length():
+            return []
+        parts = [free[k::PARTS] for k in range(PARTS)]
+        return [(column, mask | m) for part in parts for m in covering_masks(PART_RADIUS, part)]
+
+    first = [t for k in range(KEYED) for t in tables(f"f{k}", 0)]
+    roots = components(links(distinct, radius_of(similarity), words, [first], tables))
+    joined = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = joined.join(least, "root").select("node", "component_id")
+    return marked.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """docs with one document of each group of similar texts, the one with the least id; rows of one id are one document.
+
+    Rows with a null id stay, as nothing tells them apart; texts move only if more ids go than can be broadcast.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
+        # Of the rows of one id the one with the least text stays.
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+        numbered = docs.withColumn("__n", F.row_number().over(order))
+        docs = numbered.where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+    classes = similar_classes(docs, id_col, text_col, **rules)
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+    gone = materialize(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -59,7 +59,7 @@ def test_near_duplicates_match_all_pairs(spark, bucket, monkeypatch):
             x ^= 1 << p
         fps.append(x)
     rows = [(i * 3 + 1, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
-    monkeypatch.setattr(simhash.links, "__defaults__", (2, bucket))
+    monkeypatch.setattr(simhash.covering_links, "__defaults__", (2, bucket))
     df = spark.createDataFrame(rows, "doc_id long, fingerprint long")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     assert got == brute_components([(i, x) for (i, _), x in zip(rows, fps, strict=True)], 2)
