@@ -11,7 +11,7 @@ ANNUAL_LAG, QUARTERLY_LAG = 75, 35
 
 def parsed(text: Column) -> Column:
     """A date of YYYY-MM-DD, null if it isn't one."""
-    return F.try_to_date(text.cast("string"), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(text.cast("string"), "yyyy-MM-dd")
 
 
 def quarter_label(day: Column) -> Column:
