@@ -85,3 +85,11 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str], touched: Data
 def carried_over(requested: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Requested keys that aren't done."""
     return requested.join(done.select(key).distinct(), key, "left_anti")
+
+
+def to_process(status: Column, there: Column, permanent: tuple[str, ...], failed: tuple[str, ...], named: bool = False, skip: bool = True, retry: bool = False) -> Column:
+    """Whether a key is to be processed: named ones always, permanent failures never, new ones always, else by the flags."""
+    if named:
+        return F.lit(True)
+    again = F.coalesce(status.isin(*failed), F.lit(False)) if retry else F.lit(False)
+    return F.when(F.coalesce(status.isin(*permanent), F.lit(False)), False).when(~there, True).otherwise(again if skip else F.lit(True))

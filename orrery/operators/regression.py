@@ -103,3 +103,34 @@ def two_slopes(residual: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
         ((s(x1, y) * s(x2, x2) - s(x2, y) * s(x1, x2)) / det).alias("beta_early"),
         ((s(x2, y) * s(x1, x1) - s(x1, y) * s(x1, x2)) / det).alias("beta_advanced"),
     )
+
+
+# Fixed values.
+MIN_CLUSTERS, MIN_REVENUE = 10, 5
+OUTCOMES = ("ln_revenue", "gross_margin", "operating_margin", "rd_intensity", "sga_intensity")
+
+
+def sample(panel: DataFrame, flag: str | None) -> DataFrame:
+    """Rows of a size class with enough revenue before the shock; without a class all rows, whatever their revenue."""
+    return panel if flag is None else panel.where((F.col(flag) == 1) & (F.col("pre_rev_m") >= MIN_REVENUE))
+
+
+def did(panel: DataFrame, score: str, outcome: str = "ln_revenue", unit: str = "ticker", period: str = "year_quarter", draws: int = 999) -> DataFrame:
+    """beta, se, p, n_clusters and n_obs of post times the standardised score; no row for too few units."""
+    rows = panel.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
+    if rows.select(unit).distinct().limit(MIN_CLUSTERS).count() < MIN_CLUSTERS:
+        return panel.sparkSession.createDataFrame([], "beta double, se double, n_clusters long, n_obs long, p double")
+    rows = z_score(rows, score, "__z").select(unit, period, F.col(outcome).alias("y"), (F.col("post") * F.col("__z")).alias("x"))
+    out = within(rows, unit, period, ["y", "x"])
+    p = bootstrap_p(cluster_scores(out, unit), slope(out), unit, draws)
+    return clustered_fit(out, unit, period).join(F.broadcast(p))
+
+
+def mechanisms(panel: DataFrame, score: str, outcomes: tuple[str, ...] = OUTCOMES, **rules) -> DataFrame:
+    """A fit for each outcome that the panel has."""
+    out = None
+    for name in outcomes:
+        if name in panel.columns:
+            one = did(panel, score, name, **rules).withColumn("outcome", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out

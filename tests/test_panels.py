@@ -52,3 +52,12 @@ def test_upserts(spark, tmp_path):
     run(new.unionByName(spark.createDataFrame([("B", 9)], "k string, v int")), 1)
     run(new, 1)
     assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/t/v=1").collect()} == {("A", 1), ("B", 3)}
+
+
+def test_what_to_process(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("ok", True), ("ok", False), ("gone", False), ("failed", True), (None, False)], "s string, there boolean")
+    pick = lambda **k: [r[0] for r in df.select(panels.to_process(F.col("s"), F.col("there"), ("gone",), ("failed",), **k)).collect()]
+    assert pick() == [False, True, False, False, True] and pick(named=True) == [True] * 5
+    assert pick(skip=False) == [True, True, False, True, True] and pick(retry=True) == [False, True, False, True, True]

@@ -121,3 +121,16 @@ def test_exact_effect_and_bootstrap(spark):
 def test_small_functions(spark):
     row = spark.range(1).select(numbers.clipped(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0)), numbers.ratio(F.lit(1.0), F.lit(0.0)), numbers.even_round(F.lit(2.5), 0), numbers.stars(F.lit(0.04)), numbers.spearman_brown(F.lit(0.5), 3)).first()
     assert tuple(row) == (None, None, 2.0, "**", 0.75)
+
+
+def test_did(spark):
+    rng = random.Random(3)
+    rows = [(f"f{f}", f"{2021 + p // 4}Q{p % 4 + 1}", int(p > 3), 0.5 * (p > 3) * f + f + p + rng.gauss(0, 0.1), float(f), 1 if f else None, 9.0, None) for f in range(12) for p in range(8) if (f + p) % 9]
+    schema = "ticker string, year_quarter string, post int, ln_revenue double, score_b double, sme int, pre_rev_m double, gross_margin double"
+    panel = spark.createDataFrame(rows, schema)
+    fit = regression.did(panel, "score_b", draws=49).first()
+    sd = np.std([r[4] for r in rows], ddof=1)
+    assert fit.beta == pytest.approx(0.5 * sd, abs=0.1) and fit.n_clusters == 12 and 0 < fit.se < 0.2 and fit.p < 0.1
+    assert regression.sample(panel, "sme").select("ticker").distinct().count() == 11 and regression.sample(panel, None).count() == len(rows)
+    assert regression.did(panel.where("score_b < 5"), "score_b").count() == 0
+    assert [r.outcome for r in regression.mechanisms(panel, "score_b", draws=9).collect()] == ["ln_revenue"]

@@ -97,3 +97,26 @@ def test_enumerated_and_primary_document(spark):
     items = [("A", "ex-99.htm", "EX-99", "900"), ("A", "main.htm", "10-K", "5"), ("B", "r1.htm", "", "99"), ("B", "doc.htm", "", "50"), ("C", "r2.htm", "", "7"), ("D", "a.txt", "", "9")]
     df = spark.createDataFrame(items, "acc string, name string, type string, size string")
     assert {r.acc: r.name for r in universe.primary_document(df, "acc", "10-K").collect()} == {"A": "main.htm", "B": "doc.htm", "C": "r2.htm"}
+
+
+WORDS = "we make many things for many people in many places " * 8
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"About Acme 3\nAbout Acme\n{WORDS}" + "x" * 500 + "\nRisk Factors\nmore\nCROSS-REFERENCE INDEX\nITEM 1 About Acme\n12\n", "about acme"),
+        (f"ITEM 1 - BUSINESS\n{WORDS}\nItem 2. Properties", WORDS[:20]),
+        (f"Items 1 and 2. Business and Properties,\nno\nItems 1 and 2. Business and Properties\n{WORDS}\nItem 3. Legal", WORDS[:20]),
+        (f"ITEM\n1. DESCRIPTION OF BUSINESS\n{WORDS}\nItem 2. Properties", WORDS[:20]),
+        (f"ABOUT GENERAL THINGS. {WORDS} RISK FACTORS. {WORDS}\nPROPERTIES", WORDS[:20]),
+    ],
+)
+def test_other_headings(text, found):
+    assert filings.sections_of(text, "10-K")[0].lower().startswith(found.strip())
+
+
+def test_other_sections_follow_only_a_fallback():
+    text = f"ITEM 1 - BUSINESS\n{WORDS}\nItem 2. Properties\nITEM 1A - RISK FACTORS\n{WORDS}\nItem 1B. x\nManagement's Discussion and Analysis\n{WORDS}" + "y" * 500 + "\nFinancial Statements"
+    assert all(filings.sections_of(text, "10-K"))
+    assert filings.sections_of(text.replace("ITEM 1 - BUSINESS", "Item 1. Business"), "10-K")[1:] == [None, None]
