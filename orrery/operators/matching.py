@@ -13,17 +13,28 @@ LOW_CONFIDENCE = 0.5
 LABELS = (("E0", 0.0), ("E2", 0.5), ("E1", 1.0))
 
 
+#: Queries that are sent to all tasks at once; more are taken in blocks of about this many.
+QUERY_BLOCK = 5_000
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, match_id, similarity, rank) of the k nearest corpus rows of each query, by cosine; ties by id.
 
-    A stated set of queries is compared with all of the corpus. The queries are the side that is sent to every task: they
-    have to be few. Partial top-k of each task comes before the shuffle.
+    A stated set of queries is compared with all of the corpus, a block of queries at a time, so that what is broadcast is
+    bounded; each task keeps its own best k of a query before the shuffle.
     """
     q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vec_col)).alias("__q"))
     c = corpus.select(F.col(id_col).alias("match_id"), unit(F.col(vec_col)).alias("__c"))
-    pairs = c.join(F.broadcast(q), F.lit(True)).select("query_id", "match_id", F.bround(dot(F.col("__q"), F.col("__c")), digits).alias("similarity"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "match_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        near = F.bround(dot(F.col("__q"), F.col("__c")), digits).alias("similarity")
+        pairs = c.join(F.broadcast(block), F.lit(True)).select("query_id", "match_id", near)
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def voted(matches: DataFrame, key: str = "query_id") -> DataFrame:

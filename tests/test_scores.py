@@ -56,10 +56,13 @@ def test_label_vote(spark):
     assert (r.label, r.beta, r.n_matches_used, r.low_confidence) == ("E1", 1.0, 1, True)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.match_id) for r in matching.top_k(rows.where("vec_id = 3"), rows, 2).orderBy("rank").collect()]
     assert got[0] == (3, 3) and len(got) == 2
+    one = {tuple(r) for r in matching.top_k(rows, rows, 3).collect()}
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in matching.top_k(rows, rows, 3).collect()} == one and len(one) == 31 * 3
 
 
 def matrix(spark, rows):
