@@ -1,7 +1,7 @@
 """Document fingerprints from prefix polynomial hashes.
 
-The fingerprint of a text is its array of modular prefix hashes, H(i) = sum of c(j) * B^j mod p over j < i, for two
-31-bit primes. Two spans are equal if H(i + n) - H(i), brought to the same power of B, agree modulo both; so any span
+The fingerprint of a text is its array of modular prefix hashes, H(i) = sum of c(j) * B^j mod 2^31 - 1 over j < i, for
+two bases. Two spans are equal if H(i + n) - H(i), brought to the same power of B, agree for both; so any span
 equality takes constant time and the longest common extension of two places is found by binary search. Published as
 text, the fingerprint is the number of characters and the last entry of both arrays: equal texts have equal strings,
 and different ones differ but for a chance of about n / 2^31 squared.
@@ -18,98 +18,137 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Two primes under 2^31 and a base for each.
-PRIMES = (2147483647, 2147483629)
+from .common import shuffle_width
+
+#: A prime for which a remainder is a shift and a sum, and two bases.
+PRIME = (1 << 31) - 1
 BASES = (911382323, 972663749)
-ANCHOR, SAMPLE = 24, 16
-#: Rows of one range of ids, as a share of all, is about 1 / RANGES.
-RANGES = 512
+ANCHOR, SAMPLE = 24, 64
+#: Up to so many extensions are found one by one.
+FEW = 12
+#: Ranges of ids for each shuffle partition, so that partitions come out even.
+RANGES = 8
+
+
+_P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainders of values under 2^62."""
+    x = (x & _P) + (x >> _SHIFT)
+    x = (x & _P) + (x >> _SHIFT)
+    return np.where(x >= _P, x - _P, x)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(k: int, size: int, inverse: bool) -> np.ndarray:
-    """B^0 .. B^(size-1) modulo the k-th prime, or of B's inverse; size is a power of two."""
-    p = PRIMES[k]
-    base = pow(BASES[k], -1, p) if inverse else BASES[k]
+    """B^0 .. B^(size-1) of the k-th base, or of its inverse; size is a power of two."""
+    base = pow(BASES[k], -1, PRIME) if inverse else BASES[k]
     out = np.ones(1, np.uint64)
     while len(out) < size:
-        out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
+        out = np.concatenate([out, _mod(out * np.uint64(pow(base, len(out), PRIME)))])
     return out
 
 
 def _room(n: int) -> int:
     """Tables of powers come in few sizes."""
-    return max(1 << 12, 1 << n.bit_length())
+    return max(1 << 17, 1 << n.bit_length())
 
 
 class Prefixes:
-    """The prefix hashes of one text."""
+    """The prefix hashes of one text; ``start`` are those of a text that begins with the same ``shared`` characters."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, start: Prefixes | None = None, shared: int = 0):
         self.n = len(codes)
         self.h = []
-        c = codes.astype(np.uint64) + np.uint64(1)
-        for k, p in enumerate(PRIMES):
-            mod = np.uint64(p)
-            terms = c * _powers(k, _room(self.n), False)[: self.n] % mod
+        c = codes[shared:].astype(np.uint64) + np.uint64(1)
+        for k in range(2):
             h = np.zeros(self.n + 1, np.uint64)
-            # Terms are under 2^31, so that the plain sum of 2^32 of them still fits.
-            np.cumsum(terms, out=h[1:])
-            self.h.append(h % mod)
+            if shared:
+                h[: shared + 1] = start.h[k][: shared + 1]
+            # Terms are under 2^31, so that the plain sum of 2^31 of them still fits.
+            terms = _mod(c * _powers(k, _room(self.n), False)[shared : self.n])
+            h[shared + 1 :] = _mod(np.cumsum(terms) + h[shared])
+            self.h.append(h)
+        self.ranked = None
 
     def text(self) -> str:
         return f"{self.n:x}-{int(self.h[0][-1]):08x}{int(self.h[1][-1]):08x}"
 
-    def spans(self, k: int, i, n) -> np.ndarray:
-        """Hashes of the spans of n characters at i, times B^i."""
-        mod = np.uint64(PRIMES[k])
-        return (self.h[k][i + n] + mod - self.h[k][i]) % mod
-
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the sampled windows."""
-        if self.n < ANCHOR:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        m = self.n - ANCHOR + 1
-        mod = np.uint64(PRIMES[0])
-        raw = (self.h[0][ANCHOR:] + mod - self.h[0][:m]) % mod
-        value = raw * _powers(0, _room(self.n), True)[:m] % mod
-        at = np.flatnonzero(value % np.uint64(SAMPLE) == 0)
-        return at, value[at]
+        """Places of the sampled windows, and their hashes with the number of earlier equal ones in the lower bits."""
+        if self.ranked is None:
+            m = max(self.n - ANCHOR + 1, 0)
+            h = self.h[0]
+            value = _mod((h[ANCHOR : ANCHOR + m] + _P - h[:m]) * _powers(0, _room(self.n), True)[:m])
+            at = np.flatnonzero((value & np.uint64(SAMPLE - 1)) == 0)
+            self.ranked = at, _ranked(value[at])
+        return self.ranked
 
 
 def equal(x: Prefixes, i, y: Prefixes, j, n) -> np.ndarray:
-    """Whether the spans of n characters at i in x and at j in y are equal; the arguments may be arrays."""
+    """Whether the spans of n characters at i in x and at j in y are equal, for arrays of places."""
     size = _room(max(x.n, y.n))
     same = True
-    for k, p in enumerate(PRIMES):
-        mod, power = np.uint64(p), _powers(k, size, False)
-        same = same & (x.spans(k, i, n) * power[j] % mod == y.spans(k, j, n) * power[i] % mod)
+    for k in range(2):
+        power, a, b = _powers(k, size, False), x.h[k], y.h[k]
+        same = same & (_mod((a[i + n] + _P - a[i]) * power[j]) == _mod((b[j + n] + _P - b[j]) * power[i]))
     return same
 
 
-def extend(x: Prefixes, i: np.ndarray, y: Prefixes, j: np.ndarray) -> np.ndarray:
-    """The longest common extension to the right of each pair of places, by binary search."""
-    low, high = np.zeros(len(i), np.int64), np.minimum(x.n - i, y.n - j)
+def _equal_one(x: Prefixes, i: int, y: Prefixes, j: int, n: int) -> bool:
+    size = _room(max(x.n, y.n))
+    for k in range(2):
+        power, a, b = _powers(k, size, False), x.h[k], y.h[k]
+        left = (int(a[i + n]) - int(a[i])) * int(power[j])
+        if (left - (int(b[j + n]) - int(b[j])) * int(power[i])) % PRIME:
+            return False
+    return True
+
+
+def _longest(x: Prefixes, i: np.ndarray, y: Prefixes, j: np.ndarray, room: np.ndarray, back: bool) -> np.ndarray:
+    """By binary search: a common extension of some length has all shorter ones."""
+    low, high = np.zeros(len(i), np.int64), room.astype(np.int64)
+    if len(i) <= FEW:
+        for k in range(len(i)):
+            a, b, s, t = 0, int(high[k]), int(i[k]), int(j[k])
+            # Most places extend by nothing or in full.
+            step = 1
+            while a < b:
+                n = min(step, b)
+                if not _equal_one(x, s - n if back else s, y, t - n if back else t, n):
+                    b = n - 1
+                    break
+                a, step = n, 16 * step
+            while a < b:
+                n = (a + b + 1) // 2
+                if _equal_one(x, s - n if back else s, y, t - n if back else t, n):
+                    a = n
+                else:
+                    b = n - 1
+            low[k] = a
+        return low
     while (low < high).any():
         mid = (low + high + 1) // 2
-        same = equal(x, i, y, j, mid)
+        same = equal(x, i - mid, y, j - mid, mid) if back else equal(x, i, y, j, mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
     return low
 
 
+def extend(x: Prefixes, i: np.ndarray, y: Prefixes, j: np.ndarray) -> np.ndarray:
+    """The longest common extension to the right of each pair of places."""
+    return _longest(x, i, y, j, np.minimum(x.n - i, y.n - j), False)
+
+
 def extend_back(x: Prefixes, i: np.ndarray, y: Prefixes, j: np.ndarray) -> np.ndarray:
     """The longest common extension to the left of each pair of places."""
-    low, high = np.zeros(len(i), np.int64), np.minimum(i, j)
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = equal(x, i - mid, y, j - mid, mid)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    return _longest(x, i, y, j, np.minimum(i, j), True)
 
 
 def _ranked(values: np.ndarray) -> np.ndarray:
@@ -136,12 +175,14 @@ def likeness(x: Prefixes, y: Prefixes) -> float:
     if x.n == y.n and x.text() == y.text():
         return 1.0
     (px, hx), (py, hy) = x.anchors(), y.anchors()
-    _, ix, iy = np.intersect1d(_ranked(hx), _ranked(hy), assume_unique=True, return_indices=True)
-    i, j = px[ix], py[iy]
+    i = j = np.empty(0, np.int64)
+    if len(px) and len(py):
+        _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+        i, j = px[ix], py[iy]
     # Anchors of one alignment that lie within one extension give it again: the first of each run on a diagonal is enough.
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
     if len(i) > 1:
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
         along = np.flatnonzero(np.diff(i - j) == 0)
         joined = equal(x, i[along], y, j[along], i[along + 1] - i[along])
         first = np.ones(len(i), bool)
@@ -170,24 +211,27 @@ def with_following(df: DataFrame, id_col: str, text_col: str, visit, fields: T.S
     and a task holds two of them. Null ids come first; equal ids are ordered by their texts; a sole row follows itself.
     """
     ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"))
-    cuts = sorted(set(ids.approxQuantile("id", [k / RANGES for k in range(1, RANGES)], 1 / (2 * RANGES))))
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
+    n = RANGES * shuffle_width(df.sparkSession)
+    cuts = np.array(sorted(set(ids.approxQuantile("id", [k / n for k in range(1, n)], 1 / (2 * n)))), np.float64).astype(np.int64)
 
-    def range_of(col):
-        return F.size(F.filter(bounds, lambda c: c <= col))
+    @F.pandas_udf(T.IntegerType())
+    def range_of(col: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, col.to_numpy(), side="right").astype(np.int32))
 
-    firsts = {r["range"]: r["first"] for r in ids.groupBy(range_of(F.col("id")).alias("range")).agg(F.min("id").alias("first")).collect()}
+    # A row for each range comes to the driver.
+    firsts = {r["range"]: r["first"] for r in ids.groupBy(range_of("id").alias("range")).agg(F.min("id").alias("first")).collect()}
     order = sorted(firsts)
     before = {firsts[r]: order[k - 1] for k, r in enumerate(order)}  # the first of all follows the last
-    extra = F.lit(None).cast("int")
-    if before:
-        pairs = F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-        extra = F.try_element_at(pairs, F.col("id"))
+
+    @F.pandas_udf(T.IntegerType())
+    def range_before(col: pd.Series) -> pd.Series:
+        return col.map(before).astype("Int32")
+
     rows = df.select(
         F.col(id_col).cast("long").alias("real"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).select("*", range_of(F.col("id")).alias("own"), extra.alias("extra"))
+    ).select("*", range_of("id").alias("own"), range_before("id").alias("extra"))
     sent = rows.select(
         "real", "id", "text",
         F.explode(
@@ -199,8 +243,7 @@ def with_following(df: DataFrame, id_col: str, text_col: str, visit, fields: T.S
             )
         ).alias("to"),
     ).select("to.range", "to.ahead", "real", "id", "text")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = sent.repartition(parts, "range").sortWithinPartitions("range", "ahead", "id", "text")
+    dealt = sent.repartition(shuffle_width(df.sparkSession), "range").sortWithinPartitions("range", "ahead", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its following one
@@ -244,8 +287,9 @@ def fingerprint_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def visit(real: int | None, text: str, following: str) -> dict:
         x = of(text)
-        codes = edited(codes_of(text), codes_of(following))
-        e, f = Prefixes(codes), of(following)
+        own = codes_of(text)
+        codes = edited(own, codes_of(following))
+        e, f = Prefixes(codes, x, len(own) - len(own) // 4), of(following)
         return {
             id_col: real,
             "n_chars": x.n,

@@ -43,7 +43,7 @@ def test_likeness():
 
 
 def test_query_rows_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ph, "RANGES", 7)
+    monkeypatch.setattr(ph, "RANGES", 2)
     rng = random.Random(3)
     rows = [(i * 5, "".join(rng.choice("xyzé \n") for _ in range(rng.randrange(0, 90))), "c") for i in range(60)]
     rows += [(301, None, "c"), (302, "", "c"), (None, "null id", "c"), (295, "again", "c"), (295, "again", "c")]
