@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -60,6 +61,18 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, actions hand Python workers Arrow batches of at most so many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def appended(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> tuple[DataFrame, T.StructType]:
     """df without columns named like the new fields (any case), and its schema with those fields at the end."""
     names = {n.lower() for n, _ in fields}

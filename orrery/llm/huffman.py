@@ -18,24 +18,29 @@ Null texts have no ids but the end id; null text ids come first; equal ids are o
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shuffle_width
+from .common import materialize, shuffle_width, small_batches
 
 MAX_BITS, STEP = 18, 256
 #: A block is closed once it has so many ids.
 BLOCK_IDS = 1 << 17
 MAGIC = b"OHB1"
-#: Shards, about; each is a range of ids.
-SHARDS = 512
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Shards for each shuffle partition, about; each is a range of ids.
+SHARDS = 8
+#: Words, and runs of letters or signs, whose ids a worker remembers in each of two generations, at some 200 bytes each.
+REMEMBERED = 250_000
+#: Texts that a worker gets at once.
+BATCH_TEXTS, CODED_TEXTS = 1000, 200
 BROADCAST_SHARDS = 100_000
 
 
@@ -47,40 +52,86 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A word of letters with signs after them, neither of which the tokenizer's patterns join.
+_SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that never joins what a space separates: every word is encoded once."""
+    """Ids of texts by a tokenizer that never joins what a space separates: every word is encoded once.
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+    The tokenizer has to split words at the ends of runs of letters, lower-case them, and mark the last token of a run;
+    ``word_bpe_49k`` does. Runs of ASCII letters go to its model at once, others through the whole tokenizer.
+    """
 
-    def learn(self, words: list[list[bytes]]) -> None:
-        new = set().union(*words) if words else set()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in new if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+    def __init__(self, path: str):
+        self.tokenizer, self.words, self.pieces = _tokenizer(path), Recent(), Recent()
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if piece.isascii() and piece.isalpha():
+                found = np.array([t.id for t in self.tokenizer.model.tokenize(piece.lower())], "<u4").tobytes()
+            else:
+                found = self._whole(piece)
+            self.pieces.put(piece, found)
+        return found
+
+    def _word(self, w: bytes) -> bytes:
+        found = self.words.get(w)
+        if found is None:
+            word = w.decode()
+            m = None if word.isalpha() else _SIGNED.fullmatch(word)
+            if m and m[1].isalpha() and m[1].lower().isalpha():
+                found = self._piece(m[1]) + self._piece(m[2])
+            else:
+                found = self._piece(word) if word.isalpha() else self._whole(word)
+            self.words.put(w, found)
+        return found
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""
         words = [(t or "").encode().split() for t in texts]
-        self.learn(words)
-        last, get = np.array([end], "<u4").tobytes(), self.known.__getitem__
+        known = {w: self._word(w) for w in set().union(*words)}
+        last, get = np.array([end], "<u4").tobytes(), known.__getitem__
         return [b"".join(map(get, w)) + last for w in words]
 
 
+class Recent:
+    """What was asked for of late: two generations of at most REMEMBERED entries; what is found in the older one moves up."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that what it remembers outlives a task."""
+    return WordIds(path)
+
+
 def token_ids(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, ids binary) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for b in batches:
-            # A few texts at a time, so that their words and ids stay small in memory.
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
-                found = words.texts(part.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
+            found = words.texts(b.column("text").to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
 
     return rows.mapInArrow(run, "id long, ids binary")
 
@@ -219,8 +270,11 @@ def unpack_block(raw: bytes, code: Code) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def write(ids: DataFrame, path: str) -> None:
-    """Write rows of (id long, ids binary) to the folder ``path``. The rows are made twice: to count, and to code."""
+    """Write rows of (id long, ids binary) to the folder ``path``. They are kept in a table, to be counted and coded."""
     spark = ids.sparkSession
+    # Workers hold many words already.
+    with small_batches(spark, BATCH_TEXTS):
+        ids = materialize(ids, "ids")
     code = Code.fitted(counts(ids))
     book = [(1, MAX_BITS, code.lengths.tobytes())]
     spark.createDataFrame(book, "version int, max_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
@@ -228,7 +282,8 @@ def write(ids: DataFrame, path: str) -> None:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Code(lengths)
-        for b in batches:
+        # Coding takes some hundred bytes an id: a few texts at a time.
+        for b in (x.slice(s, CODED_TEXTS) for x in batches for s in range(0, x.num_rows, CODED_TEXTS)):
             raw = [x or b"" for x in b.column("ids").to_pylist()]
             sizes = np.array([len(x) // 4 for x in raw], np.int64)
             if not len(sizes):
@@ -267,9 +322,14 @@ def write(ids: DataFrame, path: str) -> None:
             yield out()
 
     keys = ids.select(F.coalesce("id", F.lit(-(1 << 63))).alias("key"))
-    cuts = sorted(set(keys.approxQuantile("key", [k / SHARDS for k in range(1, SHARDS)], 1 / (2 * SHARDS))))
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    shard = F.size(F.filter(bounds, lambda c: c <= F.coalesce(F.col("id"), F.lit(-(1 << 63)))))
+    n = SHARDS * shuffle_width(spark)
+    cuts = np.array(sorted(set(keys.approxQuantile("key", [k / n for k in range(1, n)], 1 / (2 * n)))), np.float64).astype(np.int64)
+
+    @F.pandas_udf(T.IntegerType())
+    def shard_of(col: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, col.to_numpy(), side="right").astype(np.int32))
+
+    shard = shard_of(F.coalesce(F.col("id"), F.lit(-(1 << 63))))
     made = ids.select("id", "ids").mapInArrow(coded, "id long, n long, bits binary, checks binary").withColumn("shard", shard)
     dealt = made.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
     dealt.mapInArrow(blocks, "shard int, block int, before long, n_ids long, payload binary").write.option(
