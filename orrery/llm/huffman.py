@@ -37,8 +37,8 @@ BLOCK_IDS = 1 << 17
 MAGIC = b"OHB1"
 #: Shards for each shuffle partition, about; each is a range of ids.
 SHARDS = 8
-#: Words, and runs of letters or signs, whose ids a worker remembers in each of two generations, at some 200 bytes each.
-REMEMBERED = 250_000
+#: Words, and runs of letters or signs, whose ids a worker remembers, at some 200 bytes each.
+REMEMBERED = 200_000
 #: Texts that a worker gets at once.
 BATCH_TEXTS, CODED_TEXTS = 1000, 200
 BROADCAST_SHARDS = 100_000
@@ -64,58 +64,46 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.pieces = _tokenizer(path), Recent(), Recent()
+        self.tokenizer = _tokenizer(path)
+        self.words, self.pieces = Learned(self._word), Learned(self._piece)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if piece.isascii() and piece.isalpha():
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(piece.lower())], "<u4").tobytes()
-            else:
-                found = self._whole(piece)
-            self.pieces.put(piece, found)
-        return found
+        if piece.isascii() and piece.isalpha():
+            return np.array([t.id for t in self.tokenizer.model.tokenize(piece.lower())], "<u4").tobytes()
+        return self._whole(piece)
 
     def _word(self, w: bytes) -> bytes:
-        found = self.words.get(w)
-        if found is None:
-            word = w.decode()
-            m = None if word.isalpha() else _SIGNED.fullmatch(word)
-            if m and m[1].isalpha() and m[1].lower().isalpha():
-                found = self._piece(m[1]) + self._piece(m[2])
-            else:
-                found = self._piece(word) if word.isalpha() else self._whole(word)
-            self.words.put(w, found)
-        return found
+        word = w.decode()
+        if word.isalpha():
+            return self.pieces[word]
+        m = _SIGNED.fullmatch(word)
+        if m and m[1].isalpha() and m[1].lower().isalpha():
+            return self.pieces[m[1]] + self.pieces[m[2]]
+        return self._whole(word)
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""
-        words = [(t or "").encode().split() for t in texts]
-        known = {w: self._word(w) for w in set().union(*words)}
-        last, get = np.array([end], "<u4").tobytes(), known.__getitem__
-        return [b"".join(map(get, w)) + last for w in words]
+        for found in (self.words, self.pieces):
+            if len(found) > REMEMBERED:
+                found.clear()
+        last, get = np.array([end], "<u4").tobytes(), self.words.__getitem__
+        return [b"".join(map(get, (t or "").encode().split())) + last for t in texts]
 
 
-class Recent:
-    """What was asked for of late: two generations of at most REMEMBERED entries; what is found in the older one moves up."""
+class Learned(dict):
+    """What a function gives for each key, asked for once."""
 
-    def __init__(self):
-        self.young, self.old = {}, {}
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
+    def __missing__(self, key):
+        found = self[key] = self.find(key)
         return found
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= REMEMBERED:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
-
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
