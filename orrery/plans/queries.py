@@ -396,8 +396,8 @@ panel AS (SELECT *, coalesce(round_even(n_mentions_total / nullif(filing_words,
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts in texts of ASCII: word ends of others differ between engines."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", "lang", "text")
+    """Counts in all documents, with Unicode word ends; _LEXICON_SQL has only those of ASCII, whose rows are the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return lexicon.counted(docs, "text", TERMS).drop("text")
 
 

@@ -120,3 +120,22 @@ def test_other_sections_follow_only_a_fallback():
     text = f"ITEM 1 - BUSINESS\n{WORDS}\nItem 2. Properties\nITEM 1A - RISK FACTORS\n{WORDS}\nItem 1B. x\nManagement's Discussion and Analysis\n{WORDS}" + "y" * 500 + "\nFinancial Statements"
     assert all(filings.sections_of(text, "10-K"))
     assert filings.sections_of(text.replace("ITEM 1 - BUSINESS", "Item 1. Business"), "10-K")[1:] == [None, None]
+
+
+def test_mentions_are_counted_in_all_documents(spark, tmp_path):
+    import re
+
+    from orrery.plans import queries
+
+    texts = ["The idiot of the moron", "l'été the and thé", "théthe xthe the", "über of the Straße\xa0THE", "el niño the", "", None, "naïve moron"]
+    rows = [(k, t, "en" if k % 2 else "fr") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = [re.findall(r"\b(?:the and|of the|idiot|moron|the)\b", t or "", re.I) for t in texts]
+    words = [len((t or "").split()) for t in texts]
+    got = {r.doc_id: r for r in queries.lexicon_counts(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.n_mentions_total, r.filing_words) for k, r in got.items()} == {k: (len(found[k]), words[k]) for k in range(len(texts))}
+    top = [(r.doc_id, r.n_mentions_total) for r in queries.mention_top20(spark, f"file://{tmp_path}").collect()]
+    assert top == sorted(((k, len(f)) for k, f in enumerate(found)), key=lambda x: (-x[1], x[0]))
+    none = {r.lang: r.n for r in queries.zero_mention(spark, f"file://{tmp_path}").collect()}
+    assert none == {"fr": 1, "en": 1} and [len(found[k]) for k in (5, 6)] == [0, 0]
+    assert {r.lang for r in queries.median_density(spark, f"file://{tmp_path}").collect()} == {"en", "fr"}
