@@ -13,7 +13,7 @@ from orrery.llm import byte_bpe, line_dedup, mixing, quality, simhash
 from orrery.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A line on more than this share of a source's documents is boilerplate.
+#: A line on more than this share of a source's documents goes from all of them; lines that fewer share stay in one.
 LINE_RATIO = 0.5
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that most documents of their source have."""
-    clean = line_dedup.drop_boilerplate(docs.select(*COLUMNS), "source", "text", LINE_RATIO)
+    """Documents without the lines that most documents of their source have, and with shared passages in one of them."""
+    clean = line_dedup.drop_shared(docs.select(*COLUMNS), "source", "text", LINE_RATIO)
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 

@@ -8,6 +8,9 @@ What is shuffled is a group and a 128-bit hash for each line, counted on the map
 nor a hot line meets in one task. The boilerplate of a group has at most lines-per-page / ratio lines; it returns to the
 pages by a broadcast if it is small, by a join otherwise. Texts are read twice and not moved by the broadcast.
 
+Documents, unlike pages, share passages with a small part of a group only: drop_shared has a cutoff for those, by the
+length of the line, and leaves each such passage in one text.
+
 A null group is a group; null texts have no lines and stay null; a page whose lines all go has the empty text.
 """
 
@@ -74,6 +77,63 @@ def drop_boilerplate(
     )
 
 
+#: Lines of so many characters are passages if they are in PASSAGE_TEXTS different texts of a group; of fewer, down to
+#: PHRASE_CHARS, if they are in more than PHRASE_ROOTS times the square root of the group's documents. Shorter ones say
+#: too little to be told from chance.
+PASSAGE_CHARS, PASSAGE_TEXTS = 100, 4
+PHRASE_CHARS, PHRASE_ROOTS = 30, 2.0
+
+
+def _keys_of_lines(docs: DataFrame, group_col: str, text_col: str) -> DataFrame:
+    """(group, text, a, b, chars): a row for each document and different line that isn't blank; ``text`` is a hash."""
+    solid = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n"), _trimmed), lambda x: x != "")
+    lines = F.array_distinct(F.transform(solid, lambda x: F.struct(_key(x).alias("key"), F.length(x).alias("chars"))))
+    rows = docs.select(F.col(f"`{group_col}`").alias("group"), F.xxhash64(f"`{text_col}`").alias("text"), F.explode(lines).alias("l"))
+    return rows.select("group", "text", "l.key.a", "l.key.b", "l.chars")
+
+
+def shared_lines(docs: DataFrame, group_col: str, text_col: str, ratio: float, min_pages: int = 4) -> DataFrame:
+    """(group, a, b, keeper): lines to drop from a group's texts other than the keeper; from all if that is null.
+
+    As boilerplate, lines on more than ``ratio`` of a group's documents have no keeper. Exact copies are one text of the
+    counts below that: a document isn't boilerplate because it was copied.
+    """
+    by_text = _keys_of_lines(docs, group_col, text_col).groupBy("group", "text", "a", "b").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
+    counts = by_text.groupBy("group", "a", "b").agg(
+        F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("text").alias("first"), F.max("chars").alias("chars")
+    ).where(F.col("n") >= min(min_pages, PASSAGE_TEXTS))
+    totals = docs.groupBy(F.col(f"`{group_col}`").alias("__group")).agg(F.count("*").alias("total"))
+    joined = counts.join(totals, F.col("group").eqNullSafe(F.col("__group")))
+    everywhere = (F.col("n") >= min_pages) & (F.col("n") > ratio * F.col("total"))
+    passage = (F.col("chars") >= PASSAGE_CHARS) & (F.col("texts") >= PASSAGE_TEXTS)
+    phrase = (F.col("chars") >= PHRASE_CHARS) & (F.col("texts") >= PASSAGE_TEXTS) & (F.col("texts") > PHRASE_ROOTS * F.sqrt("total"))
+    return joined.where(everywhere | passage | phrase).select("group", "a", "b", F.when(~everywhere, F.col("first")).alias("keeper"))
+
+
+def drop_shared(docs: DataFrame, group_col: str, text_col: str = "text", ratio: float = 0.5) -> DataFrame:
+    """docs with the text less the lines of shared_lines; only texts that lose some are changed."""
+    found = materialize(shared_lines(docs, group_col, text_col, ratio), "shared")
+    found = F.broadcast(found) if found.count() <= BROADCAST_LINES else found
+    lines = _keys_of_lines(docs, group_col, text_col).alias("l")
+    on = F.col("l.group").eqNullSafe(F.col("f.group")) & (F.col("l.a") == F.col("f.a")) & (F.col("l.b") == F.col("f.b"))
+    hits = lines.join(found.alias("f"), on).where(F.col("keeper").isNull() | (F.col("keeper") != F.col("l.text")))
+    # The lines to drop follow from the group and the text, so documents need no id and copies stay copies.
+    per_text = hits.groupBy(F.col("l.group").alias("__group"), F.col("l.text").alias("__text")).agg(
+        F.collect_set(F.struct("l.a", "l.b")).alias("__keys")
+    )
+    per_text = materialize(per_text, "hits")
+    size = per_text.agg(F.sum(F.size("__keys"))).first()[0] or 0
+    hashed = docs.withColumn("__hash", F.xxhash64(f"`{text_col}`"))
+    joined = hashed.join(
+        F.broadcast(per_text) if size <= BROADCAST_LINES else per_text,
+        F.col(f"`{group_col}`").eqNullSafe(F.col("__group")) & (F.col("__hash") == F.col("__text")), "left",
+    )
+    bad, text = F.col("__keys"), F.col(f"`{text_col}`")
+    kept = F.filter(F.split(text, "\n"), lambda x: (_trimmed(x) == "") | ~F.array_contains(bad, _key(_trimmed(x))))
+    clean = F.when(bad.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 #: Elements without text of their own, comments, and tags that end a line.
 HIDDEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
 BREAKS = r"(?i)</?(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|br|hr|table|tr|td|th|article|section|nav|header|footer|title|head|body|html)([ \t\n][^>]*)?/?>"

@@ -22,3 +22,32 @@ def test_html(spark):
     df = spark.createDataFrame([("<p>a <b>b</b></p><script>x\n</script><li>c<!-- d -->", "HTTP://WWW.Ex.com:80/a?b"), (None, None)], "h string, u string")
     got = df.select(line_dedup.html_lines(F.col("h")), line_dedup.host_of(F.col("u"))).collect()
     assert tuple(got[0]) == ("\na b\nc\n", "ex.com") and tuple(got[1]) == (None, None)
+
+
+def test_shared_passages_of_a_large_group(spark, monkeypatch):
+    import corpus_pipeline
+
+    body = lambda i: f"A line of document {i} that no other document has, with some more words on it."
+    passage, license_, chance, rare = "Passage " + "of many words " * 10, "Licensed under the terms in LICENSE", "Yes.", "Rare " + "words " * 30
+    rows = []
+    for i in range(1000):
+        lines = [body(i)] + [passage] * (i % 200 == 0) + [license_ + " "] * (i % 10 == 0) + [chance] * (i % 3 == 0) + [rare] * (i % 400 == 0) + ["Menu"]
+        rows.append((i, "\n".join([*lines, "", f"end {i}"]), "en", "big", 0))
+    copied = "\n".join(f"A copied document keeps all of its lines, here number {k} " + "x " * 40 for k in range(5))
+    rows += [(2000 + i, copied, "en", "big", 0) for i in range(50)]
+    rows += [(3000, None, "en", "big", 0), (3001, passage, "en", "small", 0), (3002, passage, "en", None, 0)]
+    rows += [(4000 + i, f"{passage}\nnull {i}", "en", None, 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for most in (100_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+        assert len(got) == len(rows) and got[3000] is None
+        big = {k: (t or "").split("\n") for k, t in got.items() if k < 3000}
+        with_line = lambda x: [k for k, t in big.items() if any(y.strip() == x.strip() for y in t)]
+        assert len(with_line(passage)) == 1 and len(with_line(license_)) == 1 and not with_line("Menu")
+        assert len(with_line(chance)) == 334 and len(with_line(rare)) == 3
+        assert all(body(i) in big[i] and big[i][-2:] == ["", f"end {i}"] for i in range(1000))
+        assert all(got[2000 + i] == copied for i in range(50))
+        assert got[3001] == passage
+        # Over half of a group: from all of it.
+        assert got[3002] == "" and all(got[4000 + i] == f"null {i}" for i in range(6))
