@@ -34,8 +34,8 @@ BITS = 64
 #: Buckets up to this size are compared within one task.
 BUCKET = 4096
 SEED = 42
-#: Words of 64 bits in a wide fingerprint; those that make tables, of parts that are covered for PART_RADIUS each.
-WIDE, KEYED, PARTS, PART_RADIUS = 4, 2, 3, 2
+#: Words of 64 bits in a wide fingerprint; each makes tables, of parts that are covered for PART_RADIUS each.
+WIDE, PARTS, PART_RADIUS = 4, 3, 2
 #: Ids to remove up to which they are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -178,7 +178,8 @@ def links(
     """Edges (a, b) that connect the column ``node`` as all pairs within the radius that share a table's key would.
 
     ``words`` are the columns of a fingerprint. ``tables``: for each path, (column, mask) of its tables; a bucket of more
-    than ``bucket`` rows goes on to the tables that next_level(column, mask) gives, or none if its size is bounded.
+    than ``bucket`` rows goes on to the tables that next_level(column, mask) gives, or none if its size is bounded. Without
+    next_level such a bucket is compared whole, each two of its blocks in a group of about ``bucket`` rows.
     """
     rows = distinct.select("node", *words, F.lit(0).alias("at"))
     found = None
@@ -193,15 +194,20 @@ def links(
             F.get(word, F.col("t.w")).bitwiseAND(F.col("t.m")).alias("key"),
             "node", *words,
         )
-        following = [next_level(c, m) for per in tables for c, m in per]
+        following = [next_level(c, m) for per in tables for c, m in per] if next_level else None
         large = None
-        if all(following):
+        if following is None or all(following):
             large = materialize(
                 dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "buckets"
             )
             if large.isEmpty():
                 large = None
         small = dealt if large is None else dealt.join(large, ["path", "key"], "left_anti")
+        if large is not None and following is None:
+            blocks = F.ceil(F.col("n") * 2 / bucket).cast("int")
+            paired = in_pairs(dealt.join(large, ["path", "key"]), F.col("node"), blocks)
+            key = F.xxhash64("key", "one", "other").alias("key")
+            small, large = small.unionByName(paired.select("path", key, "node", *words)), None
         sorted_ = small.repartition(shuffle_width(distinct.sparkSession), "path", "key").sortWithinPartitions("path", "key")
         edges = materialize(sorted_.mapInArrow(_compare(radius, words), "a long, b long"), "links")
         found = edges if found is None else found.unionByName(edges)
@@ -211,6 +217,17 @@ def links(
         tables = following
 
 
+def in_pairs(rows: DataFrame, node, blocks) -> DataFrame:
+    """rows dealt by a hash of ``node`` into so many blocks, once for each pair (one, other) of its block and another.
+
+    Any two rows have a pair in common. With fewer than two blocks the pair is (0, 0).
+    """
+    own = F.when(blocks > 1, F.pmod(F.xxhash64(node, F.lit(1)), blocks)).otherwise(0).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), lambda x: (x != F.col("__own")) | (blocks < 2))
+    dealt = rows.withColumn("__own", own).withColumn("__other", F.explode(others))
+    return dealt.withColumns({"one": F.least("__own", "__other"), "other": F.greatest("__own", "__other")}).drop("__own", "__other")
+
+
 def _free(mask: int) -> list[int]:
     return [p for p in range(BITS) if not mask >> p & 1]
 
@@ -266,29 +283,31 @@ def radius_of(similarity: float, slack: float = 1.0) -> int:
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that connect the nodes of wide fingerprints which differ in at most radius_of(similarity) bits.
+
+    At a similarity of 0.8 some ten of 64 bits differ, for which covering a whole word would take thousands of tables. Each
+    word of the fingerprint is cut into PARTS instead, and each part covered for PART_RADIUS: a pair with at most that many
+    differing bits in one of the WIDE * PARTS parts is never missed, and many with one more in a part are met. A link is
+    then told by all bits. Which pairs are met doesn't depend on how many fingerprints there are.
+    """
+    words = [f"f{k}" for k in range(WIDE)]
+    parts = [(w, list(range(BITS))[k::PARTS]) for w in words for k in range(PARTS)]
+    tables = [(w, m) for w, part in parts for m in covering_masks(PART_RADIUS, part)]
+    return links(distinct, radius_of(similarity), words, [tables], None, bucket)
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups of texts whose shingles have about the similarity or more, by wide fingerprints.
 
-    At such similarities some ten of 64 bits differ, for which covering a whole word would take thousands of tables. Each
-    of KEYED words of the fingerprint is cut into PARTS instead, and each part covered for PART_RADIUS: a pair with at most
-    PARTS * (PART_RADIUS + 1) - 1 differing bits in one of those words is never missed, and most with some more are met.
-    A link is then told by all bits. Equal fingerprints are one node, by a 64-bit hash of it.
+    Equal fingerprints are one node, by a 64-bit hash of it.
     """
     words = [f"f{k}" for k in range(WIDE)]
     marked = materialize(wide_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64(*words)), "marked")
     distinct = materialize(
         marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(w).alias(w) for w in words]), "fingerprints"
     )
-
-    def tables(column: str, mask: int) -> list[tuple[str, int]]:
-        free = _free(mask)
-        if len(free) < BUCKET.bit_length():
-            return []
-        parts = [free[k::PARTS] for k in range(PARTS)]
-        return [(column, mask | m) for part in parts for m in covering_masks(PART_RADIUS, part)]
-
-    first = [t for k in range(KEYED) for t in tables(f"f{k}", 0)]
-    roots = components(links(distinct, radius_of(similarity), words, [first], tables))
+    roots = components(similar_links(distinct, similarity))
     joined = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(least, "root").select("node", "component_id")

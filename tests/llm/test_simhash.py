@@ -80,3 +80,55 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(7, 7), (None, 3)], "a long, b long")
     got = {(r.node, r.root) for r in components(edges).collect()}
     assert got == {(i, 0) for i in range(400)}
+
+
+def near_pairs(rng, n, flips):
+    """n random wide fingerprints, each followed by one that differs in ``flips`` bits."""
+    out = []
+    for _ in range(n):
+        x = rng.getrandbits(256)
+        y = x
+        for p in rng.sample(range(256), flips):
+            y ^= 1 << p
+        out += [x, y]
+    return out
+
+
+def hot_pairs(rng, n):
+    """n pairs that differ in 45 bits, two of them in the first part of the first word; half of all have that word's key."""
+    base, out = rng.getrandbits(64), []
+    for _ in range(n):
+        x = base | rng.getrandbits(192) << 64
+        y = x
+        for part, flips in enumerate((2, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 3)):
+            for p in rng.sample(range(part % 3, 64, 3), flips):
+                y ^= 1 << 64 * (part // 3) + p
+        out += [x, y]
+    return out
+
+
+def wide_frame(spark, fps):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *[signed(x >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, x in enumerate(fps)]
+    return spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+
+
+@pytest.mark.parametrize("bucket", [4096, 64])
+def test_wide_links_have_the_same_recall_at_every_size(spark, bucket):
+    """Pairs as far apart as texts of a similarity of 0.8 are, with buckets under and far over the bound."""
+    fps = near_pairs(random.Random(4), 400, 42) + hot_pairs(random.Random(5), 200)
+    masks = [(k, m) for k in range(4) for j in range(3) for m in simhash.covering_masks(2, list(range(64))[j::3])]
+    met = {i for i in range(0, 1200, 2) if any(not (fps[i] ^ fps[i + 1]) >> 64 * k & m for k, m in masks)}
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_links(wide_frame(spark, fps), 0.8, bucket).collect()}
+    assert got == {(i, i + 1) for i in met} and len(met) >= 0.98 * 600
+
+
+def test_pairs_of_blocks_bring_any_two_rows_together(spark):
+    from pyspark.sql import functions as F
+
+    for blocks in (1, 2, 5):
+        groups = {}
+        for r in simhash.in_pairs(spark.range(40), F.col("id"), F.lit(blocks)).collect():
+            groups.setdefault((r.one, r.other), set()).add(r.id)
+        assert all(any({a, b} <= g for g in groups.values()) for a in range(40) for b in range(40))
+        assert len(groups) == max(1, blocks * (blocks - 1) // 2)
