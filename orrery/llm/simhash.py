@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER, appended, materialize, shuffle_width
+from .common import LOWER, appended, materialize, shuffle_width, small_batches
 from .components import components
 
 BITS = 64
@@ -36,6 +36,8 @@ BUCKET = 4096
 SEED = 42
 #: Words of 64 bits in a wide fingerprint; each makes tables, of parts that are covered for PART_RADIUS each.
 WIDE, PARTS, PART_RADIUS = 4, 3, 2
+#: Sets and shingles of a candidate group that are compared within one task.
+GROUP_SETS, GROUP_SHINGLES = 4096, 4_000_000
 #: Ids to remove up to which they are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -263,21 +265,23 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id", fp_col: str = "fi
 
 
 def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, f0 .. f3 long): the wide fingerprint of every row."""
+    """(id, hash, f0 .. f3 long): a hash of the text and the wide fingerprint of every row."""
     names = [f"f{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([wide_simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, WIDE)
             columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), *columns], names=["id", "hash", *names])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ["id", *names]]))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ["id", "hash", *names]]))
 
 
-def radius_of(similarity: float, slack: float = 1.0) -> int:
-    """The differing bits of a wide fingerprint at a Jaccard similarity of equally large sets, plus deviations of slack."""
+def radius_of(similarity: float, slack: float = 3.0) -> int:
+    """The differing bits of a wide fingerprint at a Jaccard similarity of equally large sets, plus deviations of slack.
+
+    As links are candidates that the sets decide, the slack only has to be wide enough for pairs at the similarity."""
     bits = BITS * WIDE
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
@@ -297,21 +301,114 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket: int = BU
     return links(distinct, radius_of(similarity), words, [tables], None, bucket)
 
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(root, node, size, shingles): the different shingle hashes of each ``text``, as binary values of 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
+            size = pa.array([len(x) for x in found], pa.int64())
+            columns = [b.column("root"), b.column("node"), size, pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "node", "size", "shingles"])
+
+    return texts.select("root", "node", "text").mapInArrow(run, "root long, node long, size long, shingles binary")
+
+
+def jaccard_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is ``similarity`` or more; two empty sets are equal."""
+    ids, size = np.array(nodes, np.int64), np.array([len(x) for x in sets], np.int64)
+    empty = ids[size == 0]
+    out = list(zip(empty[:-1].tolist(), empty[1:].tolist(), strict=True))
+    sets, ids, size = [x for x in sets if len(x)], ids[size > 0], size[size > 0]
+    if len(ids) < 2:
+        return out
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, has = flat.astype(np.int32), np.zeros(len(values), bool)
+    while len(ids) > 1:
+        n = size[0]
+        queue, flat, ids, size = [(ids[0], flat[:n])], flat[n:], ids[1:], size[1:]
+        while queue and len(ids):
+            x, own = queue.pop()
+            has[own] = True
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            common = np.add.reduceat(has[flat], starts, dtype=np.int64)
+            has[own] = False
+            near = common / (len(own) + size - common) >= similarity
+            if near.any():
+                for k in np.flatnonzero(near):
+                    queue.append((ids[k], flat[starts[k] : starts[k] + size[k]]))
+                    out.append((int(x), int(ids[k])))
+                flat, ids, size = flat[np.repeat(~near, size)], ids[~near], size[~near]
+    return out
+
+
+def _confirm(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            edges = np.array(jaccard_forest(nodes, sets, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("root", "one", "other", "node", "shingles")]
+            for *group, node, found in zip(*columns, strict=True):
+                if group != at and nodes:
+                    yield out()
+                    nodes, sets = [], []
+                at = group
+                nodes.append(node)
+                sets.append(np.frombuffer(found, np.uint64))
+        if nodes:
+            yield out()
+
+    return run
+
+
+def confirmed_links(sets: DataFrame, similarity: float, rows: int = GROUP_SETS, shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Edges (a, b) that connect ``node`` as all pairs of one root whose Jaccard similarity is ``similarity`` or more would.
+
+    A root with more than ``rows`` sets or ``shingles`` shingles is compared in pairs of blocks of about half as much each.
+    """
+    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = F.when((F.col("n") > rows) | (F.col("total") > shingles), F.ceil(2 * F.greatest(F.col("n") / rows, F.col("total") / shingles)))
+    size = size.select(F.col("root").alias("__root"), F.coalesce(blocks, F.lit(1)).cast("int").alias("__blocks"))
+    dealt = in_pairs(sets.join(size, F.col("root") == F.col("__root")), F.col("node"), F.col("__blocks"))
+    dealt = dealt.select("root", "one", "other", "node", "shingles")
+    sorted_ = dealt.repartition(shuffle_width(sets.sparkSession), "root", "one", "other").sortWithinPartitions("root", "one", "other")
+    with small_batches(sets.sparkSession, 256):
+        return materialize(sorted_.mapInArrow(_confirm(similarity), "a long, b long"), "confirmed")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts whose shingles have about the similarity or more, by wide fingerprints.
+    """(id, component_id): groups that pairs of texts link whose sets of shingles have the Jaccard similarity or more.
 
-    Equal fingerprints are one node, by a 64-bit hash of it.
+    Links of wide fingerprints give candidate groups; within one, the sets of all its texts are compared exactly. Equal
+    fingerprints are one node, by a 64-bit hash of it; equal texts are one set, by a 64-bit hash of the text.
     """
     words = [f"f{k}" for k in range(WIDE)]
-    marked = materialize(wide_fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64(*words)), "marked")
-    distinct = materialize(
-        marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(w).alias(w) for w in words]), "fingerprints"
+    marked = materialize(
+        wide_fingerprints(docs, id_col, text_col, shingle).withColumn("print", F.xxhash64(*words)), "marked"
     )
-    roots = components(similar_links(distinct, similarity))
-    joined = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(least, "root").select("node", "component_id")
-    return marked.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+    distinct = materialize(marked.groupBy(F.col("print").alias("node")).agg(*[F.first(w).alias(w) for w in words]), "fingerprints")
+    roots = components(similar_links(distinct, similarity)).select(F.col("node").alias("__print"), "root")
+    texts = marked.groupBy("print", F.col("hash").alias("node")).agg(F.min("id").alias("least"))
+    texts = texts.join(roots, F.col("print") == F.col("__print"), "left").select("node", "least", F.coalesce("root", "print").alias("root"))
+    texts = materialize(texts, "texts")
+    several = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = materialize(texts.join(several, "root").select("root", F.col("node").alias("__node"), "least"), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
+    found = all_texts.join(F.broadcast(wanted) if few else wanted, F.col("node") == F.col("__node"))
+    # Of equal texts the one with the least id is read.
+    found = found.where(F.col("least").isNull() | (F.col("id") == F.col("least")))
+    with small_batches(docs.sparkSession, 256):
+        sets = materialize(shingle_sets(found, shingle), "sets")
+    groups = components(confirmed_links(sets, similarity)).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    joined = texts.join(groups, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("__root", "node").alias("group"))
+    least = joined.groupBy("group").agg(F.min("least").alias("component_id"))
+    classes = joined.join(least, "group").select("node", "component_id")
+    return marked.select("id", F.col("hash").alias("node")).join(classes, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:

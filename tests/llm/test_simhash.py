@@ -132,3 +132,45 @@ def test_pairs_of_blocks_bring_any_two_rows_together(spark):
             groups.setdefault((r.one, r.other), set()).add(r.id)
         assert all(any({a, b} <= g for g in groups.values()) for a in range(40) for b in range(40))
         assert len(groups) == max(1, blocks * (blocks - 1) // 2)
+
+
+def brute_jaccard(texts, k=5):
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)})
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+def test_classes_are_those_of_the_exact_similarity(spark, monkeypatch):
+    """Pairs on both sides of 0.8, a chain, repeated passages and odd texts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for changed in [1, 2, 3, 4, 5, 6, 7, 8] * 6:
+        words = [word() for _ in range(204)]
+        texts.append(" ".join(words))
+        for p in rng.sample(range(10, 195), changed):
+            words[p] = word()
+        texts.append(" ".join(words))
+    words = [word() for _ in range(204)]
+    for k in range(12):
+        words[k * 16 : k * 16 + 6] = [word() for _ in range(6)]
+        texts.append(" ".join(words))
+    # Votes of repeated shingles make fingerprints equal, sets share little.
+    passage = " ".join(word() for _ in range(5))
+    texts += [" ".join([passage] * 60 + [word() for _ in range(40)]) for _ in range(3)]
+    texts += ["", None, " \n", "two words", "Two  words"]
+    like = brute_jaccard([(t or "").lower() for t in texts])
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if like(i, j) >= 0.8 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    assert 20 < len(set(want.values())) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for defaults in ((4096, 4_000_000), (4, 900)):
+        monkeypatch.setattr(simhash.confirmed_links, "__defaults__", defaults)
+        got = {r.doc_id: r.component_id for r in simhash.similar_classes(df).collect()}
+        assert got == want
