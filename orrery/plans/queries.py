@@ -429,7 +429,7 @@ def median_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontmatter_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written with marks and read back."""
     docs = table(spark, sf_dir, "documents")
-    marked = filings.marked_text({"ticker": F.col("source")}, {"1": F.substring("text", 1, 200), "1A": F.col("lang")})
+    marked = filings.marked_text({"ticker": F.col("source")}, {"1": F.col("text"), "1A": F.col("lang")})
     return docs.select("doc_id", filings.front_matter_item(marked, "1").alias("item_1"))
 
 

@@ -139,3 +139,13 @@ def test_mentions_are_counted_in_all_documents(spark, tmp_path):
     none = {r.lang: r.n for r in queries.zero_mention(spark, f"file://{tmp_path}").collect()}
     assert none == {"fr": 1, "en": 1} and [len(found[k]) for k in (5, 6)] == [0, 0]
     assert {r.lang for r in queries.median_density(spark, f"file://{tmp_path}").collect()} == {"en", "fr"}
+
+
+def test_front_matter_of_whole_documents(spark, tmp_path):
+    from orrery.plans import queries
+
+    texts = {1: "x" * 199 + " y\n" + "word " * 3000 + "end \n", 2: "short", 3: None, 4: " \n"}
+    rows = [(k, t, "en", "s") for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.item_1 for r in queries.frontmatter_item(spark, f"file://{tmp_path}").collect()}
+    assert got == {k: t if t is None else t.strip(" \n\r\t") for k, t in texts.items()}
