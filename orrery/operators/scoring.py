@@ -90,11 +90,15 @@ def anchor_checks(scores: DataFrame, key: str = "ticker", value: str = "rho_mean
     return scores.join(F.broadcast(table), key).withColumn("verdict", F.when(free, "INFO").when(fits, "OK").otherwise("WARN"))
 
 
+#: Rows of tasks that a worker gathers before it hands them on.
+OUT_ROWS = 20_000
+
+
 def keyword_scorer(text: str, iteration: int) -> list[dict]:
-    """A scorer that needs no network: sentences as tasks, labelled by words that they hold."""
+    """A scorer that needs no network: all sentences as tasks, labelled by words that they hold."""
     rules = (("R0", ("real", "secur", "hard")), ("R1", ("text", "writ", "doc")))
     out = []
-    for s in [x.strip() for x in (text or "").split(".") if x.strip()][: TASKS[1]]:
+    for s in [x.strip() for x in (text or "").split(".") if x.strip()]:
         label = next((r for r, hints in rules if any(h in s.lower() for h in hints)), "R2")
         out.append({"task": s[: TASK_CHARS[1]], "r_label": label})
     return out
@@ -126,7 +130,10 @@ def run_scorer(
                         rows = [(k, i, None, None, error)]
                         break
                 out += rows
-            yield pd.DataFrame(out, columns=[key, "iteration", "task", "r_label", "error"])
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
-    kind = docs.schema[key].dataType.simpleString()
+    kind, names = docs.schema[key].dataType.simpleString(), [key, "iteration", "task", "r_label", "error"]
     return docs.select(key, text_col).mapInPandas(run, f"{key} {kind}, iteration int, task string, r_label string, error string")

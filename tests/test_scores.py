@@ -137,3 +137,12 @@ def test_did(spark):
     assert regression.sample(panel, "sme").select("ticker").distinct().count() == 11 and regression.sample(panel, None).count() == len(rows)
     assert regression.did(panel.where("score_b < 5"), "score_b").count() == 0
     assert [r.outcome for r in regression.mechanisms(panel, "score_b", draws=9).collect()] == ["ln_revenue"]
+
+
+def test_all_sentences_are_scored(spark, tmp_path):
+    from orrery.plans import queries
+
+    text = "A real one. " * 12 + "Some text. " * 9 + "Other words. " * 25000
+    spark.createDataFrame([(1, text), (2, "One. Real.")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.iteration): (r.n_tasks, r.n_r1, r.n_r2) for r in queries.offline_scorer(spark, f"file://{tmp_path}").collect()}
+    assert got == {(1, i): (25021, 9, 25000) for i in (1, 2)} | {(2, i): (2, 0, 1) for i in (1, 2)}
