@@ -237,7 +237,11 @@ def quality_rules(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
     label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA,
 ) -> DataFrame:
-    """docs with the METRICS, base_failed and kept, for use as a filter. The texts are read twice and never shuffled."""
-    measured = with_metrics(docs.select(id_col, stratum_col, text_col), text_col)
+    """docs with the METRICS, base_failed and kept, for use as a filter.
+
+    The documents are written once with their metrics, so that neither the cutoffs nor a filter measures a text again;
+    nothing but the labelled metrics is shuffled.
+    """
+    measured = materialize(with_metrics(docs, text_col), "measured")
     calibration = calibrate(measured, labels, id_col, stratum_col, label_col, alpha, delta)
-    return _judged(with_metrics(docs, text_col), _cutoffs(calibration), stratum_col)
+    return _judged(measured, _cutoffs(calibration), stratum_col)

@@ -20,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,8 +35,10 @@ BITS = 64
 #: Buckets up to this size are compared within one task.
 BUCKET = 4096
 SEED = 42
-#: Words of 64 bits in a wide fingerprint; each makes tables, of parts that are covered for PART_RADIUS each.
-WIDE, PARTS, PART_RADIUS = 4, 3, 2
+#: Words of 64 bits in a wide fingerprint, and parts of its bits that are covered for PART_RADIUS each.
+WIDE, PARTS, PART_RADIUS = 4, 10, 2
+#: How often a large group is compared with one of its members before the rest is compared in blocks.
+PIVOTS = 3
 #: Sets and shingles of a candidate group that are compared within one task.
 GROUP_SETS, GROUP_SHINGLES = 4096, 4_000_000
 #: Ids to remove up to which they are broadcast.
@@ -111,59 +114,72 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(ids: np.ndarray, bits: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among rows of ``bits``, by their ids."""
-    while len(ids) > 1:
-        queue, ids, bits = [(ids[0], bits[0])], ids[1:], bits[1:]
-        while queue and len(ids):
-            x, b = queue.pop()
-            near = np.bitwise_count(bits ^ b).sum(axis=1) <= radius
-            if near.any():
-                queue += list(zip(ids[near], bits[near], strict=True))
-                for y in ids[near]:
-                    yield int(x), int(y)
-                ids, bits = ids[~near], bits[~near]
-
-
-def _edges_of(groups: np.ndarray, ids: np.ndarray, bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges within each run of equal group keys."""
-    starts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)])
-    sizes = np.diff(np.r_[starts, len(ids)])
-    two = starts[sizes == 2]
-    near = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= radius
-    out = list(zip(ids[two][near].tolist(), ids[two + 1][near].tolist(), strict=True))
-    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        # Most members of a bucket of unlike texts have no link: one look at all pairs, in blocks, leaves those aside.
-        own = bits[s : s + n]
-        linked = np.zeros(n, bool)
-        for k in range(0, n, 256):
-            apart = np.zeros((min(256, n - k), n - k), np.uint16)
-            for w in range(own.shape[1]):
-                apart += np.bitwise_count(own[k : k + 256, None, w] ^ own[None, k:, w])
-            i, j = np.nonzero(np.triu(apart <= radius, 1))
-            i, j = i + k, j + k
-            linked[i] = linked[j] = True
-        if linked.any():
-            out += _forest(ids[s : s + n][linked], own[linked], radius)
-    return out
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers 0 .. n-1 that the pairs (a, b) lead to, for each of them."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        if not (least[a] != least[b]).any():
+            return least
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (up := least[least]).tobytes() != least.tobytes():
+            least = up
+
+
+def _edges_of(groups: np.ndarray, asks: np.ndarray, nodes: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
+    """Edges that connect the rows of each run of equal ``groups`` as all pairs within the radius would.
+
+    Pairs of which neither row ``asks`` are left out; those that ask come first in a run. All runs are compared at once,
+    each row with the one at a distance of 1, 2, ... rows.
+    """
+    n, columns = len(nodes), [np.ascontiguousarray(bits[:, k]) for k in range(bits.shape[1])]
+    last = np.r_[np.flatnonzero(groups[1:] != groups[:-1]), n - 1]
+    end = np.repeat(last, np.diff(np.r_[-1, last]))  # the last row of each row's run
+    at, far = np.flatnonzero(asks), 0
+    a, b, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        least = stars(n, np.concatenate(a), np.concatenate(b))
+        own = np.flatnonzero(least != np.arange(n))
+        return own, least[own]
+
+    while True:
+        far += 1
+        at = at[at + far <= end[at]]
+        if not len(at):
+            break
+        for s in range(0, len(at), 1 << 16):
+            i, apart = at[s : s + (1 << 16)], 0
+            for c in columns:
+                apart = apart + np.bitwise_count(c[i] ^ c[i + far]).astype(np.uint16)
+            near = i[apart <= radius]
+            a.append(near)
+            b.append(near + far)
+            held += len(near)
+        if held > 1 << 20:
+            x, y = folded()
+            a, b, held = [x], [y], 0
+    x, y = folded()
+    return np.stack([nodes[y], nodes[x]], axis=1)
 
 
 def _compare(radius: int, words: list[str]):
-    names = ["path", "key", "node", *words]
+    names = ["key", "asks", "node", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, len(names)), np.int64)
 
         def out(part: np.ndarray) -> pa.RecordBatch:
-            bits = np.ascontiguousarray(part[:, 3:]).view(np.uint64)
-            edges = np.array(_edges_of(part[:, :2], part[:, 2], bits, radius), np.int64).reshape(-1, 2)
+            bits = part[:, 3:].view(np.uint64)
+            edges = _edges_of(part[:, 0], part[:, 1], part[:, 2], bits, radius)
             return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             rest = np.concatenate([rest, np.stack([b.column(n).to_numpy() for n in names], axis=1)])
-            other = np.flatnonzero((rest[:, :2] != rest[-1, :2]).any(axis=1))
+            other = np.flatnonzero(rest[:, 0] != rest[-1, 0])
             if len(other):
                 cut = int(other[-1]) + 1
                 yield out(rest[:cut])
@@ -174,49 +190,106 @@ def _compare(radius: int, words: list[str]):
     return run
 
 
+def _compared(rows: DataFrame, radius: int, words: list[str]) -> DataFrame:
+    """A table of edges (a, b) within each ``key``, of pairs of which one row ``asks``."""
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", F.col("asks").desc())
+    dealt = dealt.select("key", F.col("asks").cast("long").alias("asks"), "node", *words)
+    return materialize(dealt.mapInArrow(_compare(radius, words), "a long, b long"), "links")
+
+
 def links(
-    distinct: DataFrame, radius: int, words: list[str], tables: list[list[tuple[str, int]]], next_level, bucket: int = BUCKET
+    distinct: DataFrame, radius: int, words: list[str], tables: list[list[tuple[int, ...]]], next_level, bucket: int = BUCKET
 ) -> DataFrame:
     """Edges (a, b) that connect the column ``node`` as all pairs within the radius that share a table's key would.
 
-    ``words`` are the columns of a fingerprint. ``tables``: for each path, (column, mask) of its tables; a bucket of more
-    than ``bucket`` rows goes on to the tables that next_level(column, mask) gives, or none if its size is bounded. Without
-    next_level such a bucket is compared whole, each two of its blocks in a group of about ``bucket`` rows.
+    ``words`` are the columns of a fingerprint. ``tables``: for each path, the masks of its tables, one for each word. A
+    bucket of more than ``bucket`` rows goes on to the tables that next_level(masks) gives, or none if its size is bounded.
+    Without next_level such a bucket is compared whole, by large_links.
     """
     rows = distinct.select("node", *words, F.lit(0).alias("at"))
     found = None
     while True:
         width = len(tables[0])
-        flat = F.array(
-            *[F.array(*[F.struct(F.lit(words.index(c)).alias("w"), F.lit(_signed(m)).alias("m")) for c, m in per]) for per in tables]
-        )
-        word = F.array(*[F.col(w) for w in words])
+        flat = F.array(*[F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]) for masks in per]) for per in tables])
         dealt = rows.select("node", *words, "at", F.posexplode(F.element_at(flat, F.col("at") + 1)).alias("v", "t")).select(
-            (F.col("at") * width + F.col("v")).cast("long").alias("path"),
-            F.get(word, F.col("t.w")).bitwiseAND(F.col("t.m")).alias("key"),
-            "node", *words,
-        )
-        following = [next_level(c, m) for per in tables for c, m in per] if next_level else None
+            (F.col("at") * width + F.col("v")).cast("int").alias("path"),
+            "node", *words, *[F.col(w).bitwiseAND(F.get("t", F.lit(k))).alias(f"k{k}") for k, w in enumerate(words)],
+        ).select("path", F.xxhash64("path", *[f"k{k}" for k in range(len(words))]).alias("key"), "node", *words)
+        following = [next_level(*masks) for per in tables for masks in per] if next_level else None
         large = None
         if following is None or all(following):
-            large = materialize(
-                dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "buckets"
-            )
-            if large.isEmpty():
-                large = None
-        small = dealt if large is None else dealt.join(large, ["path", "key"], "left_anti")
-        if large is not None and following is None:
-            blocks = F.ceil(F.col("n") * 2 / bucket).cast("int")
-            paired = in_pairs(dealt.join(large, ["path", "key"]), F.col("node"), blocks)
-            key = F.xxhash64("key", "one", "other").alias("key")
-            small, large = small.unionByName(paired.select("path", key, "node", *words)), None
-        sorted_ = small.repartition(shuffle_width(distinct.sparkSession), "path", "key").sortWithinPartitions("path", "key")
-        edges = materialize(sorted_.mapInArrow(_compare(radius, words), "a long, b long"), "links")
+            large = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "buckets")
+            large = None if large.isEmpty() else large.select("key")
+        small = dealt if large is None else dealt.join(large, "key", "left_anti")
+        edges = _compared(small.select("key", F.lit(True).alias("asks"), "node", *words), radius, words)
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             return found
-        rows = dealt.join(large, ["path", "key"], "left_semi").select("node", *words, F.col("path").cast("int").alias("at"))
-        tables = following
+        rows = dealt.join(large, "key", "left_semi")
+        if following is None:
+            apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p.{w}"))) for w in words), F.lit(0))
+            more = large_links(
+                materialize(rows.select("key", "node", *words), "large"), words, apart, radius, bucket,
+                lambda x: _compared(x, radius, words),
+            )
+            return found.unionByName(more)
+        rows, tables = rows.select("node", *words, F.col("path").alias("at")), following
+
+
+def large_links(rows: DataFrame, payload: list[str], apart, radius: float, bucket: int, compared, weight=None) -> DataFrame:
+    """Edges (a, b) that connect the nodes of each ``key`` as all pairs at most ``radius`` apart would; keys may be very large.
+
+    rows: (key, node, payload); ``apart`` is the distance of a row's payload from that of ``p``, a metric; compared(rows)
+    gives the edges within (key) of pairs of which one row ``asks``. ``weight``: how much of a block a row takes, 1 if None.
+
+    A key's members are first compared with one of them, which links a dense group in one pass. By the triangle inequality
+    only a row at most twice the radius from that one can link to the linked ones, and only to those that are far enough
+    out; such pairs are compared in blocks. All others go on, and what is left after PIVOTS rounds is compared in pairs of
+    blocks.
+    """
+    spark, found = rows.sparkSession, None
+    weight = F.lit(1) if weight is None else weight
+
+    def add(edges: DataFrame) -> None:
+        nonlocal found
+        found = edges if found is None else found.unionByName(edges)
+
+    for _ in range(PIVOTS):
+        first = rows.groupBy("key").agg(F.min_by(F.struct("node", *payload), F.col("node")).alias("p"))
+        # A row for each large key: broadcast by its bytes, else joined with a hot key split as a skewed one.
+        seen = rows.join(materialize(first, "pivots"), "key").withColumn("apart", apart)
+        seen = materialize(seen.select("key", "node", *payload, "apart", F.col("p.node").alias("pivot")), "seen")
+        core = seen.where(F.col("apart") <= radius)
+        add(core.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        fringe = seen.where((F.col("apart") > radius) & (F.col("apart") <= 2 * radius))
+        reach = fringe.groupBy("key").agg(F.min("apart").alias("__least"), F.sum(weight).alias("__weight"))
+        # Members of the core that some row of the fringe can link to, in blocks against the fringe's blocks.
+        met = core.join(reach, "key").where((F.col("apart") >= F.col("__least") - radius) & (F.col("node") != F.col("pivot")))
+        cores = met.groupBy("key").agg(F.sum(weight).alias("__core"))
+        pieces = lambda c: F.greatest(F.ceil(F.col(c) * 2 / bucket), F.lit(1)).cast("int")
+        sizes = reach.join(cores, "key").select("key", pieces("__weight").alias("__f"), pieces("__core").alias("__c"))
+        sizes = materialize(sizes, "sizes")
+        own = lambda c: F.pmod(F.xxhash64("node", F.lit(1)), F.col(c)).cast("int")
+        asking = fringe.join(sizes, "key").select(
+            "key", own("__f").alias("__i"), F.explode(F.sequence(F.lit(0), F.col("__c") - 1)).alias("__j"), F.lit(True).alias("asks"), "node", *payload
+        )
+        answering = met.join(sizes, "key").select(
+            "key", F.explode(F.sequence(F.lit(0), F.col("__f") - 1)).alias("__i"), own("__c").alias("__j"), F.lit(False).alias("asks"), "node", *payload
+        )
+        both = asking.unionByName(answering).select(F.xxhash64("key", "__i", "__j").alias("key"), "asks", "node", *payload)
+        add(compared(both))
+        rest = seen.where(F.col("apart") > radius).select("key", "node", *payload)
+        left = rest.groupBy("key").agg(F.sum(weight).alias("__n"))
+        left = materialize(left.select("key", F.ceil(F.when(F.col("__n") > bucket, F.col("__n") * 2 / bucket).otherwise(0)).cast("int").alias("__b")), "left")
+        small = rest.join(left.where("__b = 0"), "key").select("key", F.lit(True).alias("asks"), "node", *payload)
+        add(compared(small))
+        left = left.where("__b > 0")
+        if left.isEmpty():
+            return found
+        rows = materialize(rest.join(left, "key").select("key", "node", *payload), "rest")
+    dealt = in_pairs(rows.join(left, "key"), F.col("node"), F.col("__b"))
+    add(compared(dealt.select(F.xxhash64("key", "one", "other").alias("key"), F.lit(True).alias("asks"), "node", *payload)))
+    return found
 
 
 def in_pairs(rows: DataFrame, node, blocks) -> DataFrame:
@@ -237,13 +310,13 @@ def _free(mask: int) -> list[int]:
 def covering_links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Edges that connect distinct fingerprints ``fp`` as all pairs within the radius would; none is missed."""
 
-    def tables(column: str, mask: int) -> list[tuple[str, int]]:
+    def tables(mask: int) -> list[tuple[int]]:
         # Of positions so few that a bucket can't be larger, no more tables are made.
         free = _free(mask)
-        return [(column, mask | m) for m in covering_masks(radius, free)] if len(free) >= bucket.bit_length() else []
+        return [(mask | m,) for m in covering_masks(radius, free)] if len(free) >= bucket.bit_length() else []
 
     nodes = distinct.select(F.col("fp").alias("node"), "fp")
-    return links(nodes, radius, ["fp"], [tables("fp", 0)], tables, bucket)
+    return links(nodes, radius, ["fp"], [tables(0)], tables, bucket)
 
 
 def near_duplicates(marked: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = 2) -> DataFrame:
@@ -287,18 +360,23 @@ def radius_of(similarity: float, slack: float = 3.0) -> int:
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def wide_masks(parts: int = PARTS, radius: int = PART_RADIUS) -> list[tuple[int, ...]]:
+    """The masks of all tables of wide fingerprints, one for each word: each part of the bits is covered for ``radius``."""
+    bits = [list(range(BITS * WIDE))[k::parts] for k in range(parts)]
+    every = [m for part in bits for m in covering_masks(radius, part)]
+    return [tuple(m >> BITS * w & (1 << BITS) - 1 for w in range(WIDE)) for m in every]
+
+
 def similar_links(distinct: DataFrame, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect the nodes of wide fingerprints which differ in at most radius_of(similarity) bits.
 
-    At a similarity of 0.8 some ten of 64 bits differ, for which covering a whole word would take thousands of tables. Each
-    word of the fingerprint is cut into PARTS instead, and each part covered for PART_RADIUS: a pair with at most that many
-    differing bits in one of the WIDE * PARTS parts is never missed, and many with one more in a part are met. A link is
-    then told by all bits. Which pairs are met doesn't depend on how many fingerprints there are.
+    At a similarity of 0.8 some 39 of 256 bits differ, for which covering all of them would take too many tables. The bits
+    are cut into PARTS instead, spread over all words, and each part covered for PART_RADIUS: a pair with at most that many
+    differing bits in one of the parts is never missed, and many with one more in a part are met. A link is then told by
+    all bits. Which pairs are met doesn't depend on how many fingerprints there are.
     """
     words = [f"f{k}" for k in range(WIDE)]
-    parts = [(w, list(range(BITS))[k::PARTS]) for w in words for k in range(PARTS)]
-    tables = [(w, m) for w, part in parts for m in covering_masks(PART_RADIUS, part)]
-    return links(distinct, radius_of(similarity), words, [tables], None, bucket)
+    return links(distinct, radius_of(similarity), words, [wide_masks()], None, bucket)
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -314,50 +392,67 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("root", "node", "text").mapInArrow(run, "root long, node long, size long, shingles binary")
 
 
-def jaccard_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is ``similarity`` or more; two empty sets are equal."""
+def jaccard_forest(nodes: list[int], sets: list[np.ndarray], similarity: float, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect the sets as their pairs with a Jaccard similarity of ``similarity`` or more do; two empty sets are equal.
+
+    With ``asks`` only pairs count of which one asks; edges then go from each set that asks to all that it is like.
+    """
     ids, size = np.array(nodes, np.int64), np.array([len(x) for x in sets], np.int64)
+    asking = np.ones(len(ids), bool) if asks is None else np.array(asks, bool)
+    every = bool(asking.all())
     empty = ids[size == 0]
     out = list(zip(empty[:-1].tolist(), empty[1:].tolist(), strict=True))
-    sets, ids, size = [x for x in sets if len(x)], ids[size > 0], size[size > 0]
+    sets, ids, asking, size = [x for x in sets if len(x)], ids[size > 0], asking[size > 0], size[size > 0]
     if len(ids) < 2:
         return out
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     flat, has = flat.astype(np.int32), np.zeros(len(values), bool)
+    starts = np.r_[0, np.cumsum(size)[:-1]]
+
+    def near(own: np.ndarray) -> np.ndarray:
+        has[own] = True
+        common = np.add.reduceat(has[flat], starts, dtype=np.int64)
+        has[own] = False
+        return common / (len(own) + size - common) >= similarity
+
+    if not every:
+        for k in np.flatnonzero(asking):
+            like = near(flat[starts[k] : starts[k] + size[k]])
+            like[k] = False
+            out += [(int(ids[k]), int(x)) for x in ids[like]]
+        return out
     while len(ids) > 1:
         n = size[0]
         queue, flat, ids, size = [(ids[0], flat[:n])], flat[n:], ids[1:], size[1:]
         while queue and len(ids):
             x, own = queue.pop()
-            has[own] = True
             starts = np.r_[0, np.cumsum(size)[:-1]]
-            common = np.add.reduceat(has[flat], starts, dtype=np.int64)
-            has[own] = False
-            near = common / (len(own) + size - common) >= similarity
-            if near.any():
-                for k in np.flatnonzero(near):
+            like = near(own)
+            if like.any():
+                for k in np.flatnonzero(like):
                     queue.append((ids[k], flat[starts[k] : starts[k] + size[k]]))
                     out.append((int(x), int(ids[k])))
-                flat, ids, size = flat[np.repeat(~near, size)], ids[~near], size[~near]
+                flat, ids, size = flat[np.repeat(~like, size)], ids[~like], size[~like]
     return out
 
 
 def _confirm(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sets = None, [], []
+        at, nodes, sets, asking = None, [], [], []
 
         def out() -> pa.RecordBatch:
-            edges = np.array(jaccard_forest(nodes, sets, similarity), np.int64).reshape(-1, 2)
+            edges = np.array(jaccard_forest(nodes, sets, similarity, asking), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("root", "one", "other", "node", "shingles")]
-            for *group, node, found in zip(*columns, strict=True):
+            columns = [b.column(c).to_pylist() for c in ("key", "asks", "node", "shingles")]
+            for group, asks, node, found in zip(*columns, strict=True):
                 if group != at and nodes:
                     yield out()
-                    nodes, sets = [], []
+                    nodes, sets, asking = [], [], []
                 at = group
                 nodes.append(node)
+                asking.append(asks)
                 sets.append(np.frombuffer(found, np.uint64))
         if nodes:
             yield out()
@@ -365,20 +460,43 @@ def _confirm(similarity: float):
     return run
 
 
+@F.pandas_udf(T.DoubleType())
+def _jaccard_distance(x: pd.Series, y: pd.Series) -> pd.Series:
+    def one(a: bytes, b: bytes) -> float:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        total = len(a) + len(b) - common
+        return 1 - common / total if total else 0.0
+
+    return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)])
+
+
 def confirmed_links(sets: DataFrame, similarity: float, rows: int = GROUP_SETS, shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Edges (a, b) that connect ``node`` as all pairs of one root whose Jaccard similarity is ``similarity`` or more would.
 
-    A root with more than ``rows`` sets or ``shingles`` shingles is compared in pairs of blocks of about half as much each.
+    A root with more than ``rows`` sets or ``shingles`` shingles is compared by large_links; 1 - similarity is a metric.
     """
-    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    blocks = F.when((F.col("n") > rows) | (F.col("total") > shingles), F.ceil(2 * F.greatest(F.col("n") / rows, F.col("total") / shingles)))
-    size = size.select(F.col("root").alias("__root"), F.coalesce(blocks, F.lit(1)).cast("int").alias("__blocks"))
-    dealt = in_pairs(sets.join(size, F.col("root") == F.col("__root")), F.col("node"), F.col("__blocks"))
-    dealt = dealt.select("root", "one", "other", "node", "shingles")
-    sorted_ = dealt.repartition(shuffle_width(sets.sparkSession), "root", "one", "other").sortWithinPartitions("root", "one", "other")
-    with small_batches(sets.sparkSession, 256):
+    spark = sets.sparkSession
+
+    def compared(x: DataFrame) -> DataFrame:
+        sorted_ = x.select("key", "asks", "node", "shingles").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
         return materialize(sorted_.mapInArrow(_confirm(similarity), "a long, b long"), "confirmed")
 
+    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    large = materialize(size.where((F.col("n") > rows) | (F.col("total") > shingles)).select("root"), "groups")
+    keyed = sets.withColumnRenamed("root", "key")
+    large = large.withColumnRenamed("root", "key")
+    with small_batches(spark, 256):
+        if large.isEmpty():
+            return compared(keyed.withColumn("asks", F.lit(True)))
+        small = compared(keyed.join(large, "key", "left_anti").withColumn("asks", F.lit(True)))
+        apart = _jaccard_distance("shingles", "p.shingles")
+        # A set takes its share of a block, by its shingles where those are what fills it.
+        weight = F.greatest(F.lit(1.0), F.octet_length("shingles") / 8 * rows / shingles)
+        slack = 1 - similarity + 1e-9
+        more = large_links(keyed.join(large, "key").select("key", "node", "shingles"), ["shingles"], apart, slack, rows, compared, weight)
+        return small.unionByName(more)
+
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups that pairs of texts link whose sets of shingles have the Jaccard similarity or more.

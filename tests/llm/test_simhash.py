@@ -95,14 +95,16 @@ def near_pairs(rng, n, flips):
 
 
 def hot_pairs(rng, n):
-    """n pairs that differ in 45 bits, two of them in the first part of the first word; half of all have that word's key."""
-    base, out = rng.getrandbits(64), []
+    """n pairs that differ in 45 bits, two of them in the first part, whose bits are the same in all pairs but for those."""
+    parts, out = simhash.PARTS, []
+    first = sum(1 << p for p in range(0, 256, parts))
+    base = rng.getrandbits(256) & first
     for _ in range(n):
-        x = base | rng.getrandbits(192) << 64
+        x = base | rng.getrandbits(256) & ~first
         y = x
-        for part, flips in enumerate((2, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 3)):
-            for p in rng.sample(range(part % 3, 64, 3), flips):
-                y ^= 1 << 64 * (part // 3) + p
+        for part in range(parts):
+            for p in rng.sample(range(part, 256, parts), 2 if not part else 5 if part < 8 else 4):
+                y ^= 1 << p
         out += [x, y]
     return out
 
@@ -117,12 +119,45 @@ def wide_frame(spark, fps):
 def test_wide_links_have_the_same_recall_at_every_size(spark, bucket):
     """Pairs as far apart as texts of a similarity of 0.8 are, with buckets under and far over the bound."""
     fps = near_pairs(random.Random(4), 400, 42) + hot_pairs(random.Random(5), 200)
-    masks = [(k, m) for k in range(4) for j in range(3) for m in simhash.covering_masks(2, list(range(64))[j::3])]
-    met = {i for i in range(0, 1200, 2) if any(not (fps[i] ^ fps[i + 1]) >> 64 * k & m for k, m in masks)}
+    masks = [sum(m << 64 * k for k, m in enumerate(per)) for per in simhash.wide_masks()]
+    met = {i for i in range(0, 1200, 2) if any(not (fps[i] ^ fps[i + 1]) & m for m in masks)}
     got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_links(wide_frame(spark, fps), 0.8, bucket).collect()}
     assert got == {(i, i + 1) for i in met} and len(met) >= 0.98 * 600
 
 
+@pytest.mark.parametrize("bucket", [8, 40])
+def test_large_links_are_those_of_all_pairs(spark, bucket):
+    """Keys with a dense group, chains out of it, and rows that are like nothing."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for key in range(3):
+        fps = [rng.getrandbits(256)]
+        for k in range(90):
+            x = fps[0] if k < 40 or rng.random() < 0.3 else rng.choice(fps)
+            for p in rng.sample(range(256), rng.choice((3, 20, 30, 50, 60, 120))):
+                x ^= 1 << p
+            fps.append(x)
+        rng.shuffle(fps)
+        fps = list(dict.fromkeys(fps))
+        rows += [(key, 1000 * key + i, x) for i, x in enumerate(fps)]
+        want |= set(brute_components([(1000 * key + i, x) for i, x in enumerate(fps)], 56).items())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [f"f{k}" for k in range(4)]
+    flat = [(key, i, *[signed(x >> 64 * k & (1 << 64) - 1) for k in range(4)]) for key, i, x in rows]
+    df = spark.createDataFrame(flat, "key long, node long, f0 long, f1 long, f2 long, f3 long")
+    found = simhash.links(df.drop("key"), 56, words, [[(0, 0, 0, 0)]], None, bucket)
+    together = {(r.node, r.root) for r in components(found).collect()}
+    every = brute_components([(i, x) for _, i, x in rows], 56)
+    linked = {v for k, v in every.items() if k != v}
+    assert together == {(k, v) for k, v in every.items() if v in linked}
+    from pyspark.sql import functions as F
+
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p.{w}"))) for w in words), F.lit(0))
+    per_key = simhash.large_links(df, words, apart, 56, bucket, lambda x: simhash._compared(x, 56, words))
+    got = {r.node: r.root for r in components(per_key).collect()}
+    assert {(i, got.get(i, i)) for _, i, _ in rows} == want
+
+
 def test_pairs_of_blocks_bring_any_two_rows_together(spark):
     from pyspark.sql import functions as F
 
