@@ -44,11 +44,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     rules = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *rules).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    decoded = byte_bpe.decode(ids.drop("text"), *rules)
+    texts = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    decoded = byte_bpe.decode(byte_bpe.encode(texts, *rules, keep_text=False), *rules, digest_only=True)
     return decoded.select(
         "doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"),
-        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
+        (F.col("decoded") == F.col("text_sha256")).alias("round_trip"),
     )
 
 

@@ -11,12 +11,14 @@ piece, unless a single match of the pattern is longer.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,6 +26,8 @@ from .common import appended
 
 #: Texts of more characters than this are cut at safe boundaries.
 PIECE_CHARS = 1 << 16
+#: Bytes of a batch that a worker holds as Python objects at once.
+SLICE_BYTES = 4 << 20
 #: Where no match of the pattern can reach across: a run of spaces begins after a non-space, or a run of letters or
 #: digits ends. Matches begin with at most one space, so what stands on either side is split as in the whole text.
 _SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W\d_])(?=[\W\d_])|(?<=[0-9])(?=[^0-9\w])")
@@ -57,17 +61,33 @@ def encode_text(enc, text: str, limit: int = PIECE_CHARS) -> np.ndarray:
     return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text, limit)])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about SLICE_BYTES of the column."""
+    for b in batches:
+        at = b.schema.get_field_index(col)
+        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
+
+
 def encode(
-    df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens"
-) -> DataFrame:
-    """df with ``ids_col`` binary (ids as little-endian unsigned 32-bit integers) and ``count_col`` long."""
+    df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens",
+    keep_text: bool = True,
+) -> DataFrame:
+    """df with ``ids_col`` binary (ids as little-endian unsigned 32-bit integers) and ``count_col`` long.
+
+    Without keep_text the text stays in the worker, which halves what it sends back.
+    """
     kept, schema = appended(df, [(ids_col, T.BinaryType()), (count_col, T.LongType())])
     source = df.select(*kept.columns) if text_col in kept.columns else df
-    names = [n for n in schema.fieldNames() if n not in (ids_col, count_col)]
+    gone = [ids_col, count_col] if keep_text else [ids_col, count_col, text_col]
+    names = [n for n in schema.fieldNames() if n not in gone]
+    schema = T.StructType([f for f in schema.fields if f.name in [*names, ids_col, count_col]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in batches:
+        for b in _slices(batches, text_col):
             ids = [encode_text(enc, t or "") for t in b.column(text_col).to_pylist()]
             out = [b.column(n) for n in names]
             out += [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
@@ -76,16 +96,21 @@ def encode(
     return source.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """df with ``out_col`` binary: the raw bytes of the ids in ``ids_col`` (null: none). An id without a rank is an error."""
-    kept, schema = appended(df, [(out_col, T.BinaryType())])
+def decode(
+    df: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", digest_only: bool = False
+) -> DataFrame:
+    """df with ``out_col`` binary: the raw bytes of the ids in ``ids_col`` (null: none). An id without a rank is an error.
+
+    With digest_only the column is a string, the SHA-256 of the bytes in lower-case hex; the bytes stay in the worker.
+    """
+    kept, schema = appended(df, [(out_col, T.StringType() if digest_only else T.BinaryType())])
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in batches:
+        for b in _slices(batches, ids_col):
             texts = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids_col).to_pylist()]
-            out = [*[b.column(n) for n in names], pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, out_col])
+            found = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) if digest_only else pa.array(texts, pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], found], names=[*names, out_col])
 
     return kept.mapInArrow(run, schema)

@@ -29,6 +29,8 @@ from .common import materialize, shuffle_width, words_of
 CELL, GROUP = 20_000, 16
 #: Sources up to which their table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Rows of (id, size, place, copies) up to which they are broadcast, at some 60 bytes each.
+BROADCAST_COPIES = 500_000
 #: A fraction this close to an integer is that integer.
 EPS = 1e-9
 
@@ -193,19 +195,28 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    spots = Window.partitionBy("__id", "__size").orderBy("__source")
-    placed = (
+    """The rows of docs, each as often as the mix takes it.
+
+    Texts move only if the table of copies is too large for a broadcast, or to number rows of a repeated id.
+    """
+    named = (
         docs.withColumn("__id", F.col(id_col))
         .withColumn("__size", size_of(text_col))
         .withColumn("__source", F.col(source_col).cast("string"))
-        .withColumn("__place", F.row_number().over(spots))
     )
-    taken = mix(docs, id_col, source_col, text_col=text_col, **rules).where("copies > 0").select(
+    copies = materialize(mix(docs, id_col, source_col, text_col=text_col, **rules), "copies")
+    if copies.where("place > 1").limit(1).count():
+        named = named.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("__source")))
+    else:
+        named = named.withColumn("__place", F.lit(1))
+    taken = copies.where("copies > 0").select(
         F.col(id_col).alias("__of"), F.col("size").alias("__of_size"), F.col("place").alias("__of_place"), F.col("copies").alias("__copies")
     )
+    few = taken.count() <= BROADCAST_COPIES
     same = (
         F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size")) & (F.col("__place") == F.col("__of_place"))
     )
-    repeated = placed.join(taken, same).withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
+    repeated = named.join(F.broadcast(taken) if few else taken, same).withColumn(
+        "__each", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    )
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

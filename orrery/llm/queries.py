@@ -31,7 +31,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, *rules).select("doc_id", "token_ids", "n_tokens")
+    ids = byte_bpe.encode(docs, *rules, keep_text=False)
     return byte_bpe.decode(ids, *rules).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
