@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import clipped, ratio
+from .quantiles import exact_percentiles
 
 # Fixed values.
 LONGEST_GAP, COMPUTABLE = 120, 6
@@ -66,10 +67,10 @@ def lengthened(wide: DataFrame, keys: list[str], names: tuple[str, ...]) -> Data
 def winsorized(long: DataFrame, low: float = 0.01, high: float = 0.99, group: str = "metric") -> DataFrame:
     """value_winsorized: the value within exact interpolated percentiles of its group."""
     clean = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    bounds = clean.groupBy(group).agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("__b"))
+    bounds = exact_percentiles(clean, group, "value", [low, high], "__b").withColumnRenamed(group, "__group")
     cut = clipped(F.col("value"), F.col("__b")[0], F.col("__b")[1])
-    # A row for each metric: as few as the list of metrics.
-    return clean.join(bounds, group).withColumn("value_winsorized", cut).drop("__b")
+    # A row for each group with a value; rows of other groups have nothing to cut.
+    return clean.join(bounds, F.col(group).eqNullSafe(F.col("__group")), "left").withColumn("value_winsorized", cut).drop("__b", "__group")
 
 
 def margin_panel(long: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calendar, numbers, text
-from ..operators import facts, filings, lexicon, matching, panels, regression, reliability, scoring, universe
+from ..operators import facts, filings, lexicon, matching, panels, quantiles, regression, reliability, scoring, universe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -329,20 +329,20 @@ def upsert_replace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "carry_over_missing",
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
 )
 def carry_over_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a finished urgent order."""
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return panels.carried_over(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
 @query(
     "sector_members",
-    "SELECT c_mktsegment, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS members, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY c_mktsegment",
+    "SELECT c_nationkey, c_mktsegment, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS members, count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment",
 )
 def sector_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_nationkey = 3")
-    return rows.groupBy("c_mktsegment").agg(F.array_join(F.sort_array(F.collect_list(F.col("c_custkey").cast("string"))), ",").alias("members"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.sort_array(F.collect_list(F.col("c_custkey").cast("string"))), ",").alias("members"), F.count("*").alias("n"))
 
 
 # --- keys and periods ----------------------------------------------------------------------------------------------
@@ -385,18 +385,25 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A lexicon of words that the tables' texts have; longer ones contain shorter ones.
 TERMS = ((r"\bthe\b", "core"), (r"\bthe and\b", "core"), (r"\bof the\b", "named_product"), (r"\bidiot\b", "technical"), (r"\bmoron\b", "technical"))
-_LEXICON_SQL = r"""
-found AS (SELECT doc_id, lang, text, regexp_extract_all(text, '\b(?:the and|of the|idiot|moron|the)\b', 0, 'i') AS hits FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')),
-counted AS (SELECT doc_id, lang, CAST(len(hits) AS BIGINT) AS n_mentions_total,
-  CAST(len(list_filter(hits, lambda x: lower(x) IN ('the', 'the and'))) AS BIGINT) AS n_mentions_core,
-  CAST(len(list_filter(hits, lambda x: lower(x) = 'of the')) AS BIGINT) AS n_mentions_named_product,
-  CAST(len(list_filter(hits, lambda x: lower(x) IN ('idiot', 'moron'))) AS BIGINT) AS n_mentions_technical,
-  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS filing_words FROM found),
+# RE2 knows only ASCII word ends: texts are split into runs of word characters and runs of others, and terms are looked for
+# among those. A term of two words takes both, so a single word in one isn't counted again.
+_WORD = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+_SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LEXICON_SQL = rf"""
+runs AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[{_WORD}]+|[^{_WORD}]+') AS r FROM documents),
+spots AS (SELECT doc_id, lang, text, r, list_filter(range(1, len(r) + 1), lambda i: r[i] = 'the') AS the FROM runs),
+kinds AS (SELECT doc_id, lang, text,
+    len(list_filter(the, lambda i: i > 2 AND r[i - 1] = ' ' AND r[i - 2] = 'of')) AS n_of_the, len(the) AS n_the,
+    len(list_filter(r, lambda x: x IN ('idiot', 'moron'))) AS n_insults FROM spots),
+counted AS (SELECT doc_id, lang, CAST(n_the + n_insults AS BIGINT) AS n_mentions_total,
+  CAST(n_the - n_of_the AS BIGINT) AS n_mentions_core, CAST(n_of_the AS BIGINT) AS n_mentions_named_product,
+  CAST(n_insults AS BIGINT) AS n_mentions_technical,
+  CAST(len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '')) AS BIGINT) AS filing_words FROM kinds),
 panel AS (SELECT *, coalesce(round_even(n_mentions_total / nullif(filing_words, 0) * 1000, 4), 0.0) AS mention_density FROM counted)"""
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts in all documents, with Unicode word ends; _LEXICON_SQL has only those of ASCII, whose rows are the same."""
+    """Counts in all documents, with Unicode word ends."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return lexicon.counted(docs, "text", TERMS).drop("text")
 
@@ -419,12 +426,13 @@ def zero_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("median_density", f"WITH {_LEXICON_SQL} SELECT lang, round_even(median(mention_density), 6) AS density FROM panel GROUP BY lang")
 def median_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(spark, sf_dir).groupBy("lang").agg(F.bround(F.median("mention_density"), 6).alias("density"))
+    half = quantiles.exact_percentiles(_mentions(spark, sf_dir), "lang", "mention_density", [0.5], "p")
+    return half.select("lang", F.bround(F.col("p")[0], 6).alias("density"))
 
 
 @query(
     "frontmatter_item",
-    """SELECT doc_id, trim(substr(text, 1, 200), chr(10) || chr(13) || chr(9) || ' ') AS item_1 FROM documents""",
+    """SELECT doc_id, trim(text, chr(10) || chr(13) || chr(9) || ' ') AS item_1 FROM documents""",
 )
 def frontmatter_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written with marks and read back."""
