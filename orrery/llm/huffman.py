@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +38,8 @@ BLOCK_IDS = 1 << 17
 MAGIC = b"OHB1"
 #: Shards for each shuffle partition, about; each is a range of ids.
 SHARDS = 8
-#: Words, and runs of letters or signs, whose ids a worker remembers, at some 200 bytes each.
-REMEMBERED = 200_000
+#: Words, and runs of letters or signs, whose ids a worker remembers, at some 200 bytes each; at most twice as many.
+REMEMBERED = 80_000
 #: Texts that a worker gets at once.
 BATCH_TEXTS, CODED_TEXTS = 1000, 200
 BROADCAST_SHARDS = 100_000
@@ -52,56 +53,71 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A word of letters with signs after them, neither of which the tokenizer's patterns join.
-_SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Signs that the tokenizer splits from letters before them; an apostrophe may begin a contraction.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters of one byte each in Latin-1, which have no other composed form and one lower-case letter at most.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Bytes as the characters that byte-level models write them with: printable ones of Latin-1 stand for themselves, the
+# others follow from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHER = [b for b in range(256) if b not in _PRINTED]
+_AS_CHAR = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + k) for k, b in enumerate(_OTHER)}
+_BYTES = str.maketrans({chr(b): c for b, c in _AS_CHAR.items()})
 
 
 class WordIds:
     """Ids of texts by a tokenizer that never joins what a space separates: every word is encoded once.
 
     The tokenizer has to split words at the ends of runs of letters, lower-case them, and mark the last token of a run;
-    ``word_bpe_49k`` does. Runs of ASCII letters go to its model at once, others through the whole tokenizer.
+    ``word_bpe_49k`` does. Runs of letters of Latin-1 go to its model at once, others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.words, self.pieces = Learned(self._word), Learned(self._piece)
+        self.words, self.pieces = Learned(self._word, REMEMBERED), Learned(self._piece, REMEMBERED)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return np.array([t.id for t in self.tokenizer.model.tokenize(piece.lower())], "<u4").tobytes()
+        if _LATIN.fullmatch(piece):
+            low = piece.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(_BYTES)
+            found = [t.id for t in self.tokenizer.model.tokenize(low)]
+            return struct.pack(f"<{len(found)}I", *found)
         return self._whole(piece)
 
     def _word(self, w: bytes) -> bytes:
         word = w.decode()
         if word.isalpha():
             return self.pieces[word]
-        m = _SIGNED.fullmatch(word)
-        if m and m[1].isalpha() and m[1].lower().isalpha():
-            return self.pieces[m[1]] + self.pieces[m[2]]
+        letters = word.rstrip(SIGNS)
+        if letters.isalpha() and letters.lower().isalpha():
+            return self.pieces[letters] + self.pieces[word[len(letters) :]]
         return self._whole(word)
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""
-        for found in (self.words, self.pieces):
-            if len(found) > REMEMBERED:
-                found.clear()
         last, get = np.array([end], "<u4").tobytes(), self.words.__getitem__
         return [b"".join(map(get, (t or "").encode().split())) + last for t in texts]
 
 
 class Learned(dict):
-    """What a function gives for each key, asked for once."""
+    """What a function gives for each key, of the last ``limit`` to 2 ``limit`` different keys asked for."""
 
-    def __init__(self, find):
+    def __init__(self, find, limit: int):
         super().__init__()
-        self.find = find
+        self.find, self.limit, self.older = find, limit, {}
 
     def __missing__(self, key):
-        found = self[key] = self.find(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -311,7 +327,8 @@ def write(ids: DataFrame, path: str) -> None:
 
     keys = ids.select(F.coalesce("id", F.lit(-(1 << 63))).alias("key"))
     n = SHARDS * shuffle_width(spark)
-    cuts = np.array(sorted(set(keys.approxQuantile("key", [k / n for k in range(1, n)], 1 / (2 * n)))), np.float64).astype(np.int64)
+    found = keys.approxQuantile("key", [k / n for k in range(1, n)], 1 / (2 * n))
+    cuts = np.array(sorted({min(int(x), (1 << 63) - 1) for x in found}), np.int64)
 
     @F.pandas_udf(T.IntegerType())
     def shard_of(col: pd.Series) -> pd.Series:
@@ -319,7 +336,10 @@ def write(ids: DataFrame, path: str) -> None:
 
     shard = shard_of(F.coalesce(F.col("id"), F.lit(-(1 << 63))))
     made = ids.select("id", "ids").mapInArrow(coded, "id long, n long, bits binary, checks binary").withColumn("shard", shard)
-    dealt = made.repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
+    # Each file has a run of shards, and the files are in order of the ids.
+    width = shuffle_width(spark)
+    dealt = made.repartitionById(width, (F.col("shard") * width / F.lit(len(cuts) + 1)).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
     dealt.mapInArrow(blocks, "shard int, block int, before long, n_ids long, payload binary").write.option(
         "compression", "none"
     ).parquet(f"{path}/blocks")

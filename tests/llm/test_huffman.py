@@ -57,6 +57,40 @@ def test_words_are_encoded_as_whole_texts_are():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("limit", [1, 50, 10**6])
+def test_any_words_and_little_memory(monkeypatch, limit):
+    """Random words of letters, signs and marks; what is remembered may be forgotten at any time."""
+    monkeypatch.setattr(hf, "REMEMBERED", limit)
+    path, rng = P.path("word_bpe_49k.json"), random.Random(5)
+    latin = "".join(map(chr, range(0xA1, 0x180)))
+    alphabets = ["abcXYZ", "aé" + latin, latin, "ab" + hf.SIGNS, "ñ" + hf.SIGNS, "a'sTé", "e\u0301\u0327aÅ", "日本aé", "ıİKÅß", "x\u00ad\u200by"]
+    words = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 9))) for a in alphabets for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(150)]
+    got = hf.WordIds(path).texts(texts, 2)
+    for t, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == [*hf._tokenizer(path).encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_files_and_blocks_are_in_order_of_the_ids(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(hf, "BLOCK_IDS", 40)
+    rows = [(k * 7919 % 1009, np.arange(k % 9, dtype="<u4").tobytes()) for k in range(1009)] + [(None, b""), ((1 << 63) - 1, b"")]
+    df = spark.createDataFrame(rows, "id long, ids binary").repartition(3)
+    hf.write(df, f"file://{tmp_path}/t")
+    book = spark.read.parquet(f"file://{tmp_path}/t/codebook").first()
+    code, seen = hf.Code(np.frombuffer(book["lengths"], np.uint8).astype(np.int64)), []
+    files = sorted(glob.glob(f"{tmp_path}/t/blocks/*.parquet"))
+    assert len(files) > 1
+    for f in files:
+        for raw in pq.read_table(f).column("payload").to_pylist():
+            ids, present, _, _ = hf.unpack_block(raw, code)
+            seen += [int(i) if p else None for i, p in zip(ids, present, strict=True)]
+    assert seen == [None, *range(1009), (1 << 63) - 1]
+
+
 def test_write_and_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(hf, "BLOCK_IDS", 300)
     monkeypatch.setattr(hf, "SHARDS", 2)
