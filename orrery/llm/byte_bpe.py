@@ -18,11 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import appended
+from .common import appended, slices
 
 #: Texts of more characters than this are cut at safe boundaries.
 PIECE_CHARS = 1 << 16
@@ -61,16 +60,6 @@ def encode_text(enc, text: str, limit: int = PIECE_CHARS) -> np.ndarray:
     return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text, limit)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in runs of about SLICE_BYTES of the column."""
-    for b in batches:
-        at = b.schema.get_field_index(col)
-        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
-        run = np.cumsum(sizes) // SLICE_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
-        yield from (b.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
-
-
 def encode(
     df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens",
     keep_text: bool = True,
@@ -87,7 +76,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in _slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE_BYTES):
             ids = [encode_text(enc, t or "") for t in b.column(text_col).to_pylist()]
             out = [b.column(n) for n in names]
             out += [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
@@ -108,7 +97,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for b in _slices(batches, ids_col):
+        for b in slices(batches, ids_col, SLICE_BYTES):
             texts = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids_col).to_pylist()]
             found = pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) if digest_only else pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], found], names=[*names, out_col])

@@ -6,7 +6,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +77,16 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def slices(batches: Iterator[pa.RecordBatch], col: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about ``size`` bytes of a text or binary column; no run is empty."""
+    for b in batches:
+        at = b.schema.get_field_index(col)
+        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes) // size
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
+
+
 def appended(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> tuple[DataFrame, T.StructType]:
     """df without columns named like the new fields (any case), and its schema with those fields at the end."""
     names = {n.lower() for n, _ in fields}

@@ -17,20 +17,21 @@ Null texts have no ids but the end id; null text ids come first; equal ids are o
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shuffle_width, small_batches
+from .common import materialize, shuffle_width, slices, small_batches
 
 MAX_BITS, STEP = 18, 256
 #: A block is closed once it has so many ids.
@@ -38,10 +39,10 @@ BLOCK_IDS = 1 << 17
 MAGIC = b"OHB1"
 #: Shards for each shuffle partition, about; each is a range of ids.
 SHARDS = 8
-#: Words, and runs of letters or signs, whose ids a worker remembers, at some 200 bytes each; at most twice as many.
-REMEMBERED = 80_000
-#: Texts that a worker gets at once.
-BATCH_TEXTS, CODED_TEXTS = 1000, 200
+#: Words whose ids a worker remembers.
+REMEMBERED = 500_000
+#: Bytes of texts whose words are encoded at once, texts that a worker gets at once, and that it codes at once.
+SLICE_BYTES, BATCH_TEXTS, CODED_TEXTS = 6 << 20, 4000, 200
 BROADCAST_SHARDS = 100_000
 
 
@@ -69,56 +70,57 @@ class WordIds:
     """Ids of texts by a tokenizer that never joins what a space separates: every word is encoded once.
 
     The tokenizer has to split words at the ends of runs of letters, lower-case them, and mark the last token of a run;
-    ``word_bpe_49k`` does. Runs of letters of Latin-1 go to its model at once, others through the whole tokenizer.
+    ``word_bpe_49k`` does. Runs of letters of Latin-1 go to its model at once, others through the whole tokenizer. Words and
+    their ids are kept as arrays, at some 40 bytes a word; beyond ``remembered`` of them only those of the last texts are.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.words, self.pieces = Learned(self._word, REMEMBERED), Learned(self._piece, REMEMBERED)
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if _LATIN.fullmatch(piece):
-            low = piece.lower()
-            if not low.isascii():
-                low = low.encode().decode("latin-1").translate(_BYTES)
-            found = [t.id for t in self.tokenizer.model.tokenize(low)]
-            return struct.pack(f"<{len(found)}I", *found)
-        return self._whole(piece)
-
-    def _word(self, w: bytes) -> bytes:
-        word = w.decode()
-        if word.isalpha():
-            return self.pieces[word]
-        letters = word.rstrip(SIGNS)
-        if letters.isalpha() and letters.lower().isalpha():
-            return self.pieces[letters] + self.pieces[word[len(letters) :]]
-        return self._whole(word)
-
-    def texts(self, texts: list[str | None], end: int) -> list[bytes]:
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.tokenizer, self.remembered = _tokenizer(path), remembered
+        self.whole = lru_cache(10_000)(lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids)
+        self.known, self.starts, self.pool = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _letters(self, run: str) -> list[int]:
+        low = run.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(low)]
+
+    def word(self, word: str) -> list[int]:
+        if _LATIN.fullmatch(word):
+            return self._letters(word)
+        run = word.rstrip(SIGNS)
+        if _LATIN.fullmatch(run):
+            return self._letters(run) + self.whole(word[len(run) :])
+        return self.whole(word)
+
+    def _places(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``pool`` the ids of different words start and end."""
+        new = words.filter(pc.invert(pc.is_in(words, value_set=self.known)))
+        if len(self.known) + len(new) > self.remembered:
+            self.known, self.starts, self.pool, new = self.known[:0], np.zeros(1, np.int64), np.empty(0, np.uint32), words
+        found = [self.word(w) for w in new.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts, self.pool = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)], np.r_[self.pool, flat]
+        at = pc.index_in(words, value_set=self.known).to_numpy(zero_copy_only=False)
+        return self.starts[at], self.starts[at + 1]
+
+    def texts(self, texts: pa.Array, end: int) -> pa.Array:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""
-        last, get = np.array([end], "<u4").tobytes(), self.words.__getitem__
-        return [b"".join(map(get, (t or "").encode().split())) + last for t in texts]
-
-
-class Learned(dict):
-    """What a function gives for each key, of the last ``limit`` to 2 ``limit`` different keys asked for."""
-
-    def __init__(self, find, limit: int):
-        super().__init__()
-        self.find, self.limit, self.older = find, limit, {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is None:
-            found = self.find(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-        return found
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        words = split.flatten()
+        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # spaces at the ends of a text leave empty words
+        coded = words.dictionary_encode()
+        starts, ends = self._places(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        first, size = starts[code], np.where(real, ends[code] - starts[code], 0)
+        before = np.r_[0, np.cumsum(size)]
+        cuts = before[np.asarray(split.offsets) - split.offsets[0].as_py()]  # ids before each text
+        flat = self.pool[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        out = np.insert(flat, cuts[1:], end).astype("<u4")
+        offsets = (cuts + np.arange(len(cuts))) * 4
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
 
 
 @lru_cache(maxsize=2)
@@ -133,9 +135,9 @@ def token_ids(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
-        for b in batches:
-            found = words.texts(b.column("text").to_pylist(), end)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "ids"])
+        for b in slices(batches, "text", SLICE_BYTES):
+            found = words.texts(b.column("text"), end).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), found], names=["id", "ids"])
 
     return rows.mapInArrow(run, "id long, ids binary")
 

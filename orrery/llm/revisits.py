@@ -5,11 +5,12 @@ the validators agree: by entity tag, compared weakly, if the revisit has one, el
 time the one with the greatest record id counts. The resolved record has the response's headers with those that a 304 may
 renew taken from the revisit.
 
-The as-of join works in spans of time: within a canonical URL and span by a window, between spans by the last response of
-each span, so that a URL with a third of all records is spread over SPANS tasks. Contents don't take part.
+The as-of join works in spans of time, cut at quantiles: within a canonical URL and span by a window, between spans by the
+last response of each span, so that a URL with a third of all records is spread over SPANS tasks. Contents don't take part.
 
-Rows with a null kind or record id are left out, and rows of one record id are one record; a null URL, or a null time, never has an earlier response. Header names are compared
-in lower case; of a repeated header the last counts; null maps are empty.
+Rows with a null kind or record id are left out. Rows of one record id are one record, the greatest by time, kind, URL,
+validators, digest and headers, whatever the order of the rows. A null URL, or a null time, never has an earlier response.
+Header names are compared in lower case; of a repeated header the last counts; null maps are empty.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 #: Headers that a 304 response may renew (RFC 9110, section 15.4.5).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Spans of time that the records of a URL are dealt out over.
-SPANS = 128
+#: Spans of time that the records of a URL are dealt out over, and revisits of one response that meet in a task at most.
+SPANS, HOT = 128, 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -58,7 +61,31 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), r"^(W/)", "")
 
 
-def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
+def _one_each(rows: DataFrame) -> DataFrame:
+    """Of the rows of each record id the greatest by time, kind, URL, validators, digest and headers, nulls least."""
+    names = ["ts", "kind", "canonical_url", "etag", "last_modified", "digest"]
+    sorted_headers = F.array_sort(F.map_entries("headers"))
+    best = rows.groupBy("record_id").agg(F.max_by(F.struct(*names, "headers"), F.struct(*names, sorted_headers)).alias("r"))
+    return best.select("record_id", "r.*")
+
+
+def _with_response_headers(resolved: DataFrame, stored: DataFrame, hot: int) -> DataFrame:
+    """resolved with ``__old``, the headers of the response it refers to.
+
+    A response that more than ``hot`` revisits refer to is copied for each ``hot`` of them, so that they don't meet in a task.
+    """
+    named = resolved.groupBy("refers_to").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    # At most one row for every ``hot`` revisits.
+    often = materialize(named.select(F.col("refers_to").alias("__hot"), F.ceil(F.col("n") / hot).cast("int").alias("__copies")), "hot")
+    copies = F.coalesce(F.col("__copies"), F.lit(1))
+    left = resolved.join(often, F.col("refers_to") == F.col("__hot"), "left").withColumn("__copy", F.pmod(F.xxhash64("record_id"), copies).cast("int"))
+    right = stored.join(often, F.col("__of") == F.col("__hot"), "left").select(
+        "__of", "__old", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__at")
+    )
+    return left.join(right, (F.col("refers_to") == F.col("__of")) & (F.col("__copy") == F.col("__at")), "left")
+
+
+def resolve(records: DataFrame, spans: int = SPANS, hot: int = HOT) -> DataFrame:
     """Revisits with the response that they refer to.
 
     records: record_id long, url string, ts long, kind string (response or revisit), etag, last_modified string,
@@ -69,17 +96,21 @@ def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
     rows = records.where(F.col("kind").isin("response", "revisit") & F.col("record_id").isNotNull()).select(
         "record_id", "ts", "kind", "etag", "last_modified", "headers", "digest", canonical_url(F.col("url")).alias("canonical_url")
     )
-    rows = rows.dropDuplicates(["record_id"])
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = ((high or 0) - (low or 0)) // spans + 1
-    rows = rows.withColumn("span", F.expr(f"(ts - {low or 0}L) div {width}L"))
+    rows = materialize(_one_each(rows), "records")
+    # Spans hold about as many records each, however the times are spread.
+    found = rows.approxQuantile("ts", [k / spans for k in range(1, spans)], 1 / (4 * spans)) if spans > 1 else []
+    cuts = F.array(*[F.lit(c) for c in sorted({min(int(x), (1 << 63) - 1) for x in found})]).cast("array<bigint>")
     full = F.when(
         (F.col("kind") == "response") & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(),
         F.struct("ts", "record_id", "etag", "last_modified", "digest"),
     )
-    # Headers come back by the record id afterwards: the window carries small rows.
-    slim = rows.select("canonical_url", "span", "ts", "record_id", "kind", "etag", "last_modified", full.alias("full"))
-    inside = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    # Headers of responses come back by the record id afterwards: the window carries small rows.
+    own = F.when(F.col("kind") == "revisit", F.col("headers")).alias("__new")
+    span = F.size(F.filter(cuts, lambda c: c <= F.col("ts"))).alias("span")
+    slim = rows.select("canonical_url", span, "ts", "record_id", "kind", "etag", "last_modified", own, full.alias("full"))
+    # Responses come after the revisits of their time, which they are too late for.
+    later = F.col("kind") == "response"
+    inside = Window.partitionBy("canonical_url", "span").orderBy("ts", later).rowsBetween(Window.unboundedPreceding, -1)
     seen = slim.withColumn("near", F.max("full").over(inside))
     carried = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -88,11 +119,7 @@ def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
         .withColumn("far", F.max("last").over(carried))
         .select("canonical_url", "span", "far")
     )
-    found = (
-        seen.where("kind = 'revisit'")
-        .join(before, ["canonical_url", "span"], "left")
-        .withColumn("to", F.coalesce("near", "far"))
-    )
+    known = seen.where("kind = 'revisit' AND canonical_url IS NOT NULL AND ts IS NOT NULL").join(before, ["canonical_url", "span"], "left")
     by_tag = _tag(F.col("etag")) == _tag(F.col("to.etag"))
     by_time = F.trim("last_modified") == F.trim("to.last_modified")
     status = (
@@ -101,16 +128,21 @@ def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
         .when(F.coalesce(F.when(F.col("etag").isNotNull(), by_tag).otherwise(by_time), F.lit(False)), "resolved")
         .otherwise("validator_mismatch")
     )
-    judged = found.select("record_id", "canonical_url", "ts", status.alias("status"), "to")
-    resolved = F.col("status") == "resolved"
-    judged = judged.select(
-        "record_id", "canonical_url", "ts", "status",
-        F.when(resolved, F.col("to.record_id")).alias("refers_to"), F.when(resolved, F.col("to.digest")).alias("digest"),
-    )
-    own = rows.where("kind = 'revisit'").select("record_id", F.col("headers").alias("__new"))
-    old = rows.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("__old"))
-    both = judged.join(own, "record_id").join(old, "refers_to", "left")
-    return both.select(
-        "record_id", "canonical_url", "ts", "status", "refers_to",
-        F.when(F.col("refers_to").isNotNull(), merged_headers(F.col("__old"), F.col("__new"))).alias("headers"), "digest",
-    )
+    judged = known.withColumn("to", F.coalesce("near", "far")).withColumn("status", status)
+    judged = materialize(
+        judged.select("record_id", "canonical_url", "ts", "status", F.col("to.record_id").alias("refers_to"), "__new", F.col("to.digest").alias("digest")),
+        "judged",
+    )
+    resolved = judged.where("status = 'resolved'")
+    stored = rows.where("kind = 'response'").select(F.col("record_id").alias("__of"), F.col("headers").alias("__old"))
+    merged = _with_response_headers(resolved, stored, hot).select(
+        "record_id", "canonical_url", "ts", "status", "refers_to", merged_headers(F.col("__old"), F.col("__new")).alias("headers"), "digest"
+    )
+    # Rows without a URL or a time have no earlier response; all others that aren't resolved have nothing to join either.
+    none = lambda c: F.lit(None).cast(merged.schema[c].dataType).alias(c)
+    rest = judged.where("status <> 'resolved'").select("record_id", "canonical_url", "ts", "status")
+    lost = rows.where("kind = 'revisit' AND (canonical_url IS NULL OR ts IS NULL)").select(
+        "record_id", "canonical_url", "ts", F.lit("no_earlier_response").alias("status")
+    )
+    rest = rest.unionByName(lost).select("record_id", "canonical_url", "ts", "status", none("refers_to"), none("headers"), none("digest"))
+    return merged.unionByName(rest)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from orrery.llm import huffman as hf
 
@@ -52,21 +53,22 @@ def test_words_are_encoded_as_whole_texts_are():
     rng = random.Random(3)
     parts = ["Don't", "İx", "é́", "a\x1cb", "　", "<|endoftext|>x", "12ab", "ﬁ", "...", "ΑΣ", "\x85", "the", "it's", "Word,", "ÉTÉ!", "a<b", "x²", "don", "'t", "İ!"]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n\t", "\xa0"]) for _ in range(30)) for _ in range(50)]
-    got = hf.WordIds(path).texts([*texts, None, ""], 2)
+    got = hf.WordIds(path).texts(pa.array([*texts, None, ""]), 2).to_pylist()
     want = [hf._tokenizer(path).encode(t, add_special_tokens=False).ids + [2] for t in texts] + [[2], [2]]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
 @pytest.mark.parametrize("limit", [1, 50, 10**6])
-def test_any_words_and_little_memory(monkeypatch, limit):
+def test_any_words_and_little_memory(limit):
     """Random words of letters, signs and marks; what is remembered may be forgotten at any time."""
-    monkeypatch.setattr(hf, "REMEMBERED", limit)
     path, rng = P.path("word_bpe_49k.json"), random.Random(5)
     latin = "".join(map(chr, range(0xA1, 0x180)))
     alphabets = ["abcXYZ", "aé" + latin, latin, "ab" + hf.SIGNS, "ñ" + hf.SIGNS, "a'sTé", "e\u0301\u0327aÅ", "日本aé", "ıİKÅß", "x\u00ad\u200by"]
     words = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 9))) for a in alphabets for _ in range(300)]
     texts = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(150)]
-    got = hf.WordIds(path).texts(texts, 2)
+    texts += [" a b ", "\t\n", "", " ", "x" * 3000]
+    known = hf.WordIds(path, limit)
+    got = [x for s in range(0, len(texts), 40) for x in known.texts(pa.array(texts)[s : s + 40], 2).to_pylist()]
     for t, x in zip(texts, got, strict=True):
         assert np.frombuffer(x, "<u4").tolist() == [*hf._tokenizer(path).encode(t, add_special_tokens=False).ids, 2], t
 
