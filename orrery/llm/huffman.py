@@ -24,12 +24,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, shuffle_width, slices, small_batches
 
@@ -40,9 +38,9 @@ MAGIC = b"OHB1"
 #: Shards for each shuffle partition, about; each is a range of ids.
 SHARDS = 8
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of texts whose words are encoded at once, texts that a worker gets at once, and that it codes at once.
-SLICE_BYTES, BATCH_TEXTS, CODED_TEXTS = 6 << 20, 4000, 200
+SLICE_BYTES, BATCH_TEXTS, CODED_TEXTS = 3 << 20, 2000, 200
 BROADCAST_SHARDS = 100_000
 
 
@@ -95,15 +93,18 @@ class WordIds:
 
     def _places(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``pool`` the ids of different words start and end."""
-        new = words.filter(pc.invert(pc.is_in(words, value_set=self.known)))
-        if len(self.known) + len(new) > self.remembered:
-            self.known, self.starts, self.pool, new = self.known[:0], np.zeros(1, np.int64), np.empty(0, np.uint32), words
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.known) + int((at < 0).sum()) > self.remembered:
+            self.known, self.starts, self.pool = self.known[:0], np.zeros(1, np.int64), np.empty(0, np.uint32)
+            at[:] = -1
+        missing = at < 0
+        at[missing] = len(self.known) + np.arange(missing.sum())
+        new = words.filter(pa.array(missing))
         found = [self.word(w) for w in new.to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         self.known = pa.concat_arrays([self.known, new])
         self.starts, self.pool = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)], np.r_[self.pool, flat]
-        at = pc.index_in(words, value_set=self.known).to_numpy(zero_copy_only=False)
         return self.starts[at], self.starts[at + 1]
 
     def texts(self, texts: pa.Array, end: int) -> pa.Array:
@@ -138,6 +139,7 @@ def token_ids(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
         for b in slices(batches, "text", SLICE_BYTES):
             found = words.texts(b.column("text"), end).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), found], names=["id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "id long, ids binary")
 
@@ -299,9 +301,11 @@ def write(ids: DataFrame, path: str) -> None:
             cut, mark = np.r_[0, np.cumsum(used)], np.r_[0, np.cumsum(lanes)]
             bits = [data[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)]
             marks = [checks[s:e].tobytes() for s, e in zip(mark, mark[1:], strict=False)]
+            keys = pc.fill_null(b.column("id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+            shard = pa.array(np.searchsorted(cuts, keys, side="right").astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(sizes), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
-                names=["id", "n", "bits", "checks"],
+                [shard, b.column("id"), pa.array(sizes), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
+                names=["shard", "id", "n", "bits", "checks"],
             )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,19 +336,14 @@ def write(ids: DataFrame, path: str) -> None:
     found = keys.approxQuantile("key", [k / n for k in range(1, n)], 1 / (2 * n))
     cuts = np.array(sorted({min(int(x), (1 << 63) - 1) for x in found}), np.int64)
 
-    @F.pandas_udf(T.IntegerType())
-    def shard_of(col: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, col.to_numpy(), side="right").astype(np.int32))
-
-    shard = shard_of(F.coalesce(F.col("id"), F.lit(-(1 << 63))))
-    made = ids.select("id", "ids").mapInArrow(coded, "id long, n long, bits binary, checks binary").withColumn("shard", shard)
+    made = ids.select("id", "ids").mapInArrow(coded, "shard int, id long, n long, bits binary, checks binary")
     # Each file has a run of shards, and the files are in order of the ids.
     width = shuffle_width(spark)
     dealt = made.repartitionById(width, (F.col("shard") * width / F.lit(len(cuts) + 1)).cast("int"))
     dealt = dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
-    dealt.mapInArrow(blocks, "shard int, block int, before long, n_ids long, payload binary").write.option(
-        "compression", "none"
-    ).parquet(f"{path}/blocks")
+    made = dealt.mapInArrow(blocks, "shard int, block int, before long, n_ids long, payload binary")
+    with small_batches(spark, BATCH_TEXTS):
+        made.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
