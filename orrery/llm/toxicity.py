@@ -1,21 +1,23 @@
 """Toxicity by a support vector machine on subsequence string kernels, with Nyström landmarks.
 
 The kernel of two strings sums over all common subsequences of ORDER bytes, each occurrence weighed by DECAY to the power
-of the spans that it takes up in both, so that gaps and inserted characters cost likeness but don't end it. A word is
-compared with landmarks: strings that words of toxic training texts share and clean ones lack. Its likeness to a landmark
-is the greatest normalised kernel of its windows of about the landmark's length, and what is over FLOOR counts, rescaled;
-words whose whole kernel is under FLOOR of the landmark's own are not looked at in windows. A text has the
-greatest likeness of its words for each landmark, mapped by the inverse root of the landmarks' kernel matrix (Nyström), and
-a linear machine with squared hinge loss scores it; a sigmoid fitted on texts that the machine wasn't trained on turns
-scores into probabilities.
-
-Words are runs of other characters than `[\\x20\\x09-\\x0D]` with A-Z in lower case, as UTF-8 bytes; three or more
-one-byte words in a row are taken together as one more word. Longer words are compared in overlapping windows. A word
-is compared with the landmarks of which it has at least LETTERS of the distinct bytes; likeness to others counts as 0.
+of the spans that it takes up in both, so that gaps and inserted characters cost likeness but don't end it. Normalised and
+raised to POWER it is the kernel of two windows; the kernel of two texts is the sum over all pairs of windows of their
+different words. A text is mapped by its kernel values with landmarks, strings that toxic training texts share and clean
+ones lack, and the inverse root of the landmarks' own kernel matrix (Nyström). The machine sees two scalings of the map, by
+the fourth root of the text's kernel with itself, so that the fortieth repeat counts less than the first, and by the root of
+its number of words. It is linear with squared hinge loss, trained also on toxic texts with characters put into their
+landmarks; a sigmoid fitted across folds, on values of machines that didn't see the
+text, turns its values into probabilities.
+
+Words are runs of other characters than `[\\x20\\x09-\\x0D]` with A-Z in lower case, as UTF-8 bytes after a mark of their
+beginning; three or more one-byte words in a row are taken together as one more word. Words of more than WINDOW bytes are cut
+into overlapping pieces. Windows are of a landmark's length or up to SLACK longer. What adds next to nothing is left out:
+words with fewer than LETTERS of a landmark's distinct bytes, or whose kernel with it is under FLOOR of the landmark's own.
 
 Landmarks and machine are fitted on the driver, on a sample of labelled texts that is bounded by TOXIC_TEXTS, CLEAN_TEXTS
 and SAMPLE_CHARS; texts are sampled by a hash of their ids. Everything that is scored is scored whole. Null and empty texts
-have the likeness 0 to all landmarks. Without training texts of both kinds all scores are the share of toxic labels.
+have the kernel value 0 with all landmarks. Without training texts of both kinds all scores are the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -41,21 +43,24 @@ WINDOW, SLACK = 24, 3
 TOXIC_TEXTS, CLEAN_TEXTS, SAMPLE_CHARS = 1500, 3000, 20_000
 LANDMARKS, MIN_TEXTS, GRAMS = 48, 4, (4, 5, 6)
 #: How much more frequent among toxic texts a landmark is, at least.
-RATIO = 12.0
+RATIO = 4.0
 #: How far the logarithm of its likelihood ratio is over that of the number of strings tried, at least.
 TELLING = 3.0
-THRESHOLD = 0.7
+#: Score from which a text is toxic, weight of the machine's norm in what it minimises, and folds of the sample for the sigmoid.
+THRESHOLD, RIDGE, FOLDS = 0.7, 1e-4, 4
 #: Weight in training of a toxic text's copy whose landmarks have a character put in.
 DISGUISED = 1.0
 
+#: What stands before each word, so that its beginning counts as a byte of its own.
+BEGIN = b"\x02"
 _SPELT = re.compile(rb"(?<![^ ])[^ ](?: [^ ]){2,}(?![^ ])")
 
 
 def words_of_text(text: str | None) -> set[bytes]:
     words = (text or "").encode().translate(LOWER).split()
-    found = set(words)
+    found = {BEGIN + w for w in words}
     for m in _SPELT.finditer(b" ".join(words)):
-        found.add(m[0].replace(b" ", b""))
+        found.add(BEGIN + m[0].replace(b" ", b""))
     return found
 
 
@@ -91,7 +96,7 @@ class Landmarks:
         self.own = np.array(own)
         self.bits = [self._mask(_matrix([t]))[0] for t in strings]
         both = np.array([[float(kernel(_matrix([s]), t)[0]) for t in strings] for s in strings]).reshape(len(strings), -1)
-        gram = both / np.sqrt(np.outer(self.own, self.own)) + 1e-3 * np.eye(len(strings))
+        gram = (both / np.sqrt(np.outer(self.own, self.own))) ** POWER + 1e-3 * np.eye(len(strings))
         value, vector = np.linalg.eigh(gram)
         self.root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
 
@@ -101,18 +106,16 @@ class Landmarks:
         bits = np.where(rows > 0, np.uint64(1) << (rows & 63).astype(np.uint64), np.uint64(0))
         return np.bitwise_or.reduce(bits, axis=1)
 
-    def of_words(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
-        """The likeness of those words to the landmarks for which it isn't 0 for all."""
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, values): the words that have a kernel value with some landmark, and their values with each."""
         pieces, owners = [], []
         for k, w in enumerate(words):
             for s in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else (0,):
                 pieces.append(w[s : s + WINDOW])
                 owners.append(k)
-        if not pieces:
-            return {}
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         found: dict[int, np.ndarray] = {}
-        for low, high in ((0, 8), (8, 13), (13, WINDOW)):
+        for low, high in ((2, 8), (8, 13), (13, WINDOW)):
             at = np.flatnonzero((lens > low) & (lens <= high))
             if not len(at):
                 continue
@@ -124,39 +127,40 @@ class Landmarks:
                 if not len(close):
                     continue
                 close = close[kernel(rows[close], t) > FLOOR * self.own[c]]
-                near, like = self._in_windows([pieces[at[k]] for k in close], t, self.own[c])
-                for k, v in zip(near, like, strict=True):
-                    x = found.setdefault(owners[at[close[k]]], np.zeros(len(self.strings)))
+                for k, v in zip(close, self._in_windows([pieces[at[k]] for k in close], t, self.own[c]), strict=True):
+                    x = found.setdefault(owners[at[k]], np.zeros(len(self.strings)))
                     x[c] = max(x[c], v)
-        return {words[k]: x for k, x in found.items()}
+        return np.array(list(found), np.int64), np.array(list(found.values())).reshape(-1, len(self.strings))
 
     @staticmethod
-    def _in_windows(words: list[bytes], t: bytes, own: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places of words with a window that is like t, and the greatest likeness, for each window that has one."""
+    def _in_windows(words: list[bytes], t: bytes, own: float) -> np.ndarray:
+        """The sum of the kernel values of each word's windows with t."""
         windows, at = [], []
         for k, w in enumerate(words):
-            for size in range(len(t), len(t) + SLACK + 1):
+            for size in range(len(t), max(len(t), min(len(t) + SLACK, len(w))) + 1):
                 for s in range(max(1, len(w) - size + 1)):
                     windows.append(w[s : s + size])
                     at.append(k)
         if not windows:
-            return np.empty(0, int), np.empty(0)
+            return np.empty(0)
         rows = _matrix(windows)
         like = kernel(rows, t) / np.sqrt(np.maximum(kernel(rows, rows), 1e-12) * own)
-        like = np.maximum(np.minimum(like, 1.0) - FLOOR, 0) / (1 - FLOOR)
-        some = np.flatnonzero(like)
-        return np.array(at)[some], like[some]
+        return np.bincount(at, weights=np.minimum(like, 1.0) ** POWER, minlength=len(words))
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
         sets = [words_of_text(t) for t in texts]
-        known = self.of_words(list(set().union(*sets)) if sets else [])
-        out = np.zeros((len(sets), len(self.strings)))
+        every = list(set().union(*sets)) if sets else []
+        places, values = self.of_words(every)
+        number = {every[k]: n for n, k in enumerate(places.tolist())}
+        sums = np.zeros((len(sets), len(self.strings)))
         for k, s in enumerate(sets):
-            for w in known.keys() & s if len(s) > len(known) else s & known.keys():
-                np.maximum(out[k], known[w], out=out[k])
-        # The power sets whole matches apart from partial ones; the greatest of all tells one insult from none.
-        most = out.max(axis=1, initial=0)[:, None]
-        return np.hstack([out @ self.root, out**POWER @ self.root, most, most**POWER])
+            own = [number[w] for w in s if w in number]
+            if own:
+                sums[k] = values[own].sum(axis=0)
+        mapped = sums @ self.root
+        length = np.sqrt((mapped**2).sum(axis=1, keepdims=True))
+        size = np.array([max(len(s), 1) for s in sets])[:, None]
+        return np.hstack([mapped / np.sqrt(np.maximum(length, 1e-9)), mapped / np.sqrt(size)])
 
 
 def _likelihood_ratio(t: float, c: float, nt: int, nc: int) -> float:
@@ -242,7 +246,7 @@ def _grown(gram: bytes, words: Counter) -> bytes:
 
 def _disguised(text: str | None, strings: list[bytes], salt: int) -> str:
     """The text with a character put into each occurrence of a landmark."""
-    shape = re.compile("|".join(re.escape(t.decode(errors="ignore")) for t in strings) or "(?!)", re.IGNORECASE)
+    shape = re.compile("|".join(re.escape(t.strip(BEGIN).decode(errors="ignore")) for t in strings) or "(?!)", re.IGNORECASE)
 
     def put(m: re.Match) -> str:
         w = m[0]
@@ -252,12 +256,12 @@ def _disguised(text: str | None, strings: list[bytes], salt: int) -> str:
     return shape.sub(put, text or "")
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | None = None) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps; y is 1 or -1."""
     z = np.c_[x, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     weight = weight / weight.sum()
-    keep = np.full(len(w), ridge)
+    keep = np.full(len(w), RIDGE if ridge is None else ridge)
     keep[-1] = 1e-8
     for _ in range(50):
         inside = y * (z @ w) < 1
@@ -304,11 +308,17 @@ class Model:
         # Weights undo the sampling: the sigmoid gives the share of toxic texts among all labelled ones.
         own = n_toxic / len(toxic)
         weight = np.r_[np.full(len(toxic), own), np.full(len(toxic), DISGUISED * own), np.full(len(clean), n_clean / len(clean))]
-        apart = np.r_[np.arange(len(toxic)), np.arange(len(toxic)), np.arange(len(clean))] % 4 == 3
+        # A text and its copy are in one fold; the sigmoid sees values of machines that didn't see the text.
+        fold = np.r_[np.arange(len(toxic)), np.arange(len(toxic)), np.arange(len(clean))] % FOLDS
         even = weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
-        self.w = machine(x[~apart], y[~apart], even[~apart])
-        real = apart & ~((y > 0) & (np.arange(len(y)) >= len(toxic)))
-        self.a, self.b = sigmoid_of(x[real] @ self.w[:-1] + self.w[-1], y[real], weight[real])
+        value = np.empty(len(y))
+        for k in range(FOLDS):
+            own = fold == k
+            w = machine(x[~own], y[~own], even[~own])
+            value[own] = x[own] @ w[:-1] + w[-1]
+        self.w = machine(x, y, even)
+        real = ~((y > 0) & (np.arange(len(y)) >= len(toxic)))
+        self.a, self.b = sigmoid_of(value[real], y[real], weight[real])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.landmarks is None:

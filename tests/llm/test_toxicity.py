@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -43,7 +44,7 @@ def test_held_out_accuracy_and_disguises(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t, _ in rows] + [(9000, None, "c"), (9001, "", "c"), (None, "x", "c")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = tx.fit(docs, labels)
-    assert {b"blarghead", b"snivwit", b"zubplod"} <= set(model.landmarks.strings)
+    assert {tx.BEGIN + w for w in (b"blarghead", b"snivwit", b"zubplod")} <= set(model.landmarks.strings)
     got = {r.doc_id: r.score for r in tx.score(docs, model).collect()}
     assert len(got) == 1503 and all(0 <= s <= 1 for s in got.values())
     held = [(got[i] >= tx.THRESHOLD, bool(y)) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
@@ -51,6 +52,43 @@ def test_held_out_accuracy_and_disguises(spark):
     assert got[9000] == got[9001] < 0.1
     for t in ("ka blarghead mi", "ka b l a r g h e a d mi", "lo snivw-it ka", "so BLARG.HEAD"):
         assert model.scores([t])[0] > 20 * got[9000], t
+    measured = recall(model, [t for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 3 == 1])
+    assert measured["exact"] >= 0.95 and min(measured.values()) >= 0.8, measured
+
+
+def recall(model, texts):
+    """The share of toxic texts that are predicted, as they are and with each insult disguised."""
+    rng, found = random.Random(9), {}
+    shape = re.compile("blarghead|snivwit|zubplod", re.IGNORECASE)
+
+    def put(sign):
+        def change(m):
+            at = 1 + rng.randrange(len(m[0]) - 1)
+            return m[0][:at] + sign + m[0][at:]
+
+        return change
+
+    ways = {"exact": lambda m: m[0], "spelt": lambda m: " ".join(m[0]), "gap": put("--")} | {c: put(c) for c in "-.*_xe"}
+    for name, change in ways.items():
+        found[name] = float((model.scores([shape.sub(change, t) for t in texts]) >= tx.THRESHOLD).mean())
+    return found
+
+
+def test_map_of_landmarks_has_their_kernel():
+    """What the Nyström map gives for single windows is their kernel; sums over words add up."""
+    strings = [b"blarghead", b"snivwit", b"snivel", b"zubplod"]
+    m = tx.Landmarks(strings)
+    own = [brute_kernel(s, s, tx.ORDER, tx.DECAY) for s in strings]
+    want = [[(brute_kernel(s, t, tx.ORDER, tx.DECAY) / (a * b) ** 0.5) ** tx.POWER for t, b in zip(strings, own, strict=True)] for s, a in zip(strings, own, strict=True)]
+    assert np.linalg.pinv(m.root @ m.root) == pytest.approx(np.array(want) + 1e-3 * np.eye(4), abs=1e-9)
+    at, values = m.of_words(strings[:2])
+    assert values[np.argsort(at)][[0, 1], [0, 1]] == pytest.approx([1, 1])
+    one, two, both = m.of_texts(["xblarghead", "snivwit", "xblarghead snivwit"])
+    dims = len(strings)
+    length = lambda v: np.linalg.norm(v[dims:])
+    assert both[dims:] * 2**0.5 == pytest.approx(one[dims:] + two[dims:])
+    for v, n in ((one, 1), (two, 1), (both, 2)):
+        assert v[:dims] * (length(v) * n**0.5) ** 0.5 == pytest.approx(v[dims:] * n**0.5)
 
 
 def test_nothing_to_learn(spark):
@@ -58,4 +96,4 @@ def test_nothing_to_learn(spark):
     model = tx.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in tx.score(docs, model).collect()] == [0, 0]
     assert tx.score(docs.limit(0), model).count() == 0
-    assert tx.Landmarks([b"abcd"]).of_texts([None, "", "x" * 500 + "abcd" + "y" * 500]).shape == (3, 4)
+    assert tx.Landmarks([b"abcd"]).of_texts([None, "", "x" * 500 + "abcd" + "y" * 500]).shape == (3, 2)
