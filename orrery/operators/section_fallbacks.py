@@ -40,7 +40,7 @@ def _find(pattern: str, case: bool = False) -> re.Pattern:
 @dataclass(frozen=True)
 class Heading:
     """Sections that begin at a heading. Those up to the index keep the heading and stop at the index; open ones begin
-    after it and stop after LONG_OPEN_END_CHARS."""
+    after it and stop after LONG_OPEN_END_CHARS. Headings behind the index count only where before_index is off."""
 
     start: str
     end: str
@@ -50,9 +50,10 @@ class Heading:
     case: bool = False
     no_comma: bool = False
     whole_word: bool = False
+    before_index: bool = True
 
     def spans(self, text: str, index: int) -> Iterator[str]:
-        limit = index if self.up_to_index or self.peek else len(text)
+        limit = index if self.before_index else len(text)
         for m in _find(self.start, self.case).finditer(text, 0, limit):
             if self.whole_word and text[m.end() : m.end() + 1].isalpha():
                 continue
@@ -94,9 +95,9 @@ RULES = {
     "item_1": (
         OwnTitle(),
         Longest(SEPARATED, PATTERNS["10-K", "item_1"][1]),
-        Heading(COMBINED, COMBINED_END, up_to_index=False, only_first=False, peek=0, no_comma=True),
+        Heading(COMBINED, COMBINED_END, up_to_index=False, only_first=False, peek=0, no_comma=True, before_index=False),
         Longest(WORDED, PATTERNS["10-K", "item_1"][1]),
-        Heading(BRANDED, BRANDED_END, up_to_index=False, only_first=False, peek=10, case=True),
+        Heading(BRANDED, BRANDED_END, up_to_index=False, only_first=False, peek=10, case=True, before_index=False),
     ),
     "item_1a": (
         Longest(RISK_SEPARATED, PATTERNS["10-K", "item_1a"][1]),

@@ -116,6 +116,16 @@ def test_other_headings(text, found):
     assert filings.sections_of(text, "10-K")[0].lower().startswith(found.strip())
 
 
+def test_a_branded_heading_may_stand_behind_the_index():
+    text = f"CROSS-REFERENCE INDEX\nItem 1 12\nABOUT OUR GREAT COMPANY. {WORDS}\nRISK FACTORS\nmore"
+    assert filings.sections_of(text, "10-K")[0] is not None
+    # Of risk factors only headings before the index count.
+    from orrery.operators.section_fallbacks import fallback
+
+    assert fallback(f"x RISK FACTORS. {WORDS}\nPROPERTIES\nCROSS-REFERENCE INDEX", "item_1a") is not None
+    assert fallback(f"CROSS-REFERENCE INDEX\nx RISK FACTORS. {WORDS}\nPROPERTIES\n", "item_1a") is None
+
+
 def test_other_sections_follow_only_a_fallback():
     text = f"ITEM 1 - BUSINESS\n{WORDS}\nItem 2. Properties\nITEM 1A - RISK FACTORS\n{WORDS}\nItem 1B. x\nManagement's Discussion and Analysis\n{WORDS}" + "y" * 500 + "\nFinancial Statements"
     assert all(filings.sections_of(text, "10-K"))
