@@ -189,11 +189,30 @@ def metric(rows: DataFrame, tags: tuple[str, ...], stock: bool = False, parts: t
 
 
 def financial_panel(rows: DataFrame) -> DataFrame:
-    """(ticker, period_end, fiscal_quarter, fiscal_year, metric, value) of revenue and all METRICS, nulls left out."""
-    out = metric(rows, REVENUE_TAGS).withColumn("metric", F.lit("revenue"))
-    for name, (tags, stock, parts) in METRICS.items():
-        out = out.unionByName(metric(rows, tags, stock, parts).withColumn("metric", F.lit(name)))
-    return out.where("val IS NOT NULL").select("ticker", "period_end", "fiscal_quarter", "fiscal_year", "metric", F.col("val").alias("value"))
+    """(ticker, period_end, fiscal_quarter, fiscal_year, metric, value) of revenue and all METRICS, nulls left out.
+
+    As ``metric`` gives for each of them, in one pass: all flows and all stocks are made at once, and a ticker's metric picks
+    its tag among its own rows.
+    """
+    known = {"revenue": (REVENUE_TAGS, False, ())} | METRICS
+    spec, stocks = {}, []
+    for name, (tags, stock, parts) in known.items():
+        spec |= {t: (name, k, t in parts) for k, t in enumerate((*tags, *parts))}
+        stocks += tags if stock else []
+    of_tag = F.create_map(
+        *[x for t, (m, k, part) in spec.items() for x in (F.lit(t), F.struct(F.lit(m).alias("metric"), F.lit(k).alias("rank"), F.lit(part).alias("part")))]
+    )
+    flows = flow_series(rows.where(F.col("tag").isin(*[t for t in spec if t not in stocks])))
+    series = flows.unionByName(stock_series(rows.where(F.col("tag").isin(*stocks))))
+    marked = series.withColumn("spec", F.element_at(of_tag, F.col("tag"))).select("*", "spec.*")
+    marked = marked.withColumn("n", F.count("*").over(Window.partitionBy("ticker", "metric", "tag")))
+    order = F.struct((~F.col("part")).alias("single"), "n", (-F.col("rank")).alias("rank"))
+    marked = marked.withColumn("order", order).withColumn("best", F.max("order").over(Window.partitionBy("ticker", "metric")))
+    # The best single tag, or all parts where none has data.
+    chosen = marked.where((F.col("part") & ~F.col("best.single")) | (F.col("order") == F.col("best"))).where("val IS NOT NULL")
+    dates = [F.min_by(c, "rank").alias(c) for c in ("period_end", "fiscal_quarter", "fiscal_year")]
+    summed = chosen.groupBy("ticker", "metric", "label").agg(*dates, F.sum("val").alias("value"))
+    return summed.select("ticker", "period_end", "fiscal_quarter", "fiscal_year", "metric", "value")
 
 
 def rpo_panel(rows: DataFrame) -> DataFrame:

@@ -81,3 +81,25 @@ def test_nested_facts_to_panel(spark):
     assert [(r.rpo_value, r.fiscal_quarter) for r in rpo] == [(7, 1)]
     assert facts.entries(df.limit(0)).count() == 0
     assert rows.agg(F.max("pos")).first()[0] == 8
+
+
+def test_panel_is_what_each_metric_gives(spark):
+    """All metrics in one pass pick the tags that each picks on its own."""
+    import random
+
+    rng, rows = random.Random(3), []
+    tags = [t for ts, _, parts in [(facts.REVENUE_TAGS, False, ()), *facts.METRICS.values()] for t in (*ts, *parts)]
+    for ticker in ("A", "B", "C", "D"):
+        for tag in tags:
+            if rng.random() < 0.4:
+                continue
+            for pos, q in enumerate(rng.sample(range(4), rng.randrange(1, 5))):
+                end = ("2022-03-31", "2022-06-30", "2022-09-30", "2022-12-31")[q]
+                start = ("2022-01-01", "2022-04-01", "2022-07-01", "2022-10-01")[q]
+                rows.append((ticker, tag, pos, start, end, rng.choice([None, 1.0, 2.0, 5.0]), f"Q{q + 1}", "10-Q", "2023-01-01"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for name, (ts, stock, parts) in ({"revenue": (facts.REVENUE_TAGS, False, ())} | facts.METRICS).items():
+        found = facts.metric(df, ts, stock, parts).where("val IS NOT NULL").collect()
+        want |= {(r.ticker, r.period_end, r.fiscal_quarter, r.fiscal_year, name, r.val) for r in found}
+    assert {tuple(r) for r in facts.financial_panel(df).collect()} == want and len(want) > 40
