@@ -7,6 +7,8 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,36 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of very many rows up to which their table is broadcast, at some 50 bytes each.
+BROADCAST_HOT = 500_000
+
+
+def left_join_split(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], hot: int) -> DataFrame:
+    """left with the columns of right, nulls where it has no row; right has a row for each key, and null keys are equal.
+
+    ``keys`` are pairs of a column of left and one of right. The rows of a key that has more than ``hot`` of them in left
+    are dealt out by a hash of the whole row, and its row of right is copied for each part, so that no task gets them all.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    counts = left.groupBy(*[F.col(f"`{a}`").alias(k) for k, (a, _) in zip(names, keys, strict=True)]).agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") > hot).select(*names, F.ceil(F.col("n") / hot).cast("int").alias("__copies"))
+    often = materialize(often, "hot")
+    few = often.count() <= BROADCAST_HOT
+    copies = F.coalesce(F.col("__copies"), F.lit(1))
+
+    def marked(df: DataFrame, columns: list[str]) -> DataFrame:
+        on = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(columns, names, strict=True)]
+        return df.join(F.broadcast(often) if few else often, reduce(and_, on), "left")
+
+    # Maps and variants have no hash.
+    hashable = [f.name for f in left.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), copies)
+    own = marked(left, [a for a, _ in keys]).withColumn("__copy", dealt.cast("int")).drop("__copies", *names)
+    each = marked(right, [b for _, b in keys]).withColumn("__at", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies", *names)
+    on = [F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`")) for a, b in keys]
+    return own.join(each, reduce(and_, on) & (F.col("__copy") == F.col("__at")), "left").drop("__copy", "__at")
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Within it, actions hand Python workers Arrow batches of at most so many rows."""

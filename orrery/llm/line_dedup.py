@@ -6,7 +6,8 @@ pages of that group. Lines are compared after trimming spaces; blank lines are n
 
 What is shuffled is a group and a 128-bit hash for each line, counted on the map side first, so that neither a hot group
 nor a hot line meets in one task. The boilerplate of a group has at most lines-per-page / ratio lines; it returns to the
-pages by a broadcast if it is small, by a join otherwise. Texts are read twice and not moved by the broadcast.
+pages by a broadcast if it is small, else by a join in which the pages of a hot group are dealt out. Texts are read twice and
+not moved by the broadcast.
 
 Documents, unlike pages, share passages with a small part of a group only: drop_shared has a cutoff for those, by the
 length of the line, and leaves each such passage in one text.
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES, left_join_split, materialize
 
 #: Boilerplate lines up to which the table is broadcast (32 bytes each).
 BROADCAST_LINES = 100_000
+#: Pages of a group, or copies of a text, that meet in a task at most where boilerplate isn't broadcast.
+HOT_PAGES = 20_000
 
 
 def _key(line: Column) -> Column:
@@ -54,10 +57,10 @@ def drop_boilerplate(
         F.col("group").alias("__group"), F.col("keys").alias("__keys")
     )
     size = found.agg(F.sum(F.size("__keys"))).first()[0] or 0
-    joined = pages.join(
-        F.broadcast(found) if size <= BROADCAST_LINES else found,
-        F.col(f"`{group_col}`").eqNullSafe(F.col("__group")), "left",
-    )
+    if size <= BROADCAST_LINES:
+        joined = pages.join(F.broadcast(found), F.col(f"`{group_col}`").eqNullSafe(F.col("__group")), "left")
+    else:
+        joined = left_join_split(pages, found, [(group_col, "__group")], HOT_PAGES)
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     bad = F.col("__keys")
     clean = F.when(bad.isNull(), lines).otherwise(
@@ -124,10 +127,11 @@ def drop_shared(docs: DataFrame, group_col: str, text_col: str = "text", ratio:
     per_text = materialize(per_text, "hits")
     size = per_text.agg(F.sum(F.size("__keys"))).first()[0] or 0
     hashed = docs.withColumn("__hash", F.xxhash64(f"`{text_col}`"))
-    joined = hashed.join(
-        F.broadcast(per_text) if size <= BROADCAST_LINES else per_text,
-        F.col(f"`{group_col}`").eqNullSafe(F.col("__group")) & (F.col("__hash") == F.col("__text")), "left",
-    )
+    if size <= BROADCAST_LINES:
+        same = F.col(f"`{group_col}`").eqNullSafe(F.col("__group")) & (F.col("__hash") == F.col("__text"))
+        joined = hashed.join(F.broadcast(per_text), same, "left")
+    else:
+        joined = left_join_split(hashed, per_text, [(group_col, "__group"), ("__hash", "__text")], HOT_PAGES)
     bad, text = F.col("__keys"), F.col(f"`{text_col}`")
     kept = F.filter(F.split(text, "\n"), lambda x: (_trimmed(x) == "") | ~F.array_contains(bad, _key(_trimmed(x))))
     clean = F.when(bad.isNull(), text).otherwise(F.array_join(kept, "\n"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import left_join_split, materialize
 
 #: Headers that a 304 response may renew (RFC 9110, section 15.4.5).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -69,22 +69,6 @@ def _one_each(rows: DataFrame) -> DataFrame:
     return best.select("record_id", "r.*")
 
 
-def _with_response_headers(resolved: DataFrame, stored: DataFrame, hot: int) -> DataFrame:
-    """resolved with ``__old``, the headers of the response it refers to.
-
-    A response that more than ``hot`` revisits refer to is copied for each ``hot`` of them, so that they don't meet in a task.
-    """
-    named = resolved.groupBy("refers_to").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    # At most one row for every ``hot`` revisits.
-    often = materialize(named.select(F.col("refers_to").alias("__hot"), F.ceil(F.col("n") / hot).cast("int").alias("__copies")), "hot")
-    copies = F.coalesce(F.col("__copies"), F.lit(1))
-    left = resolved.join(often, F.col("refers_to") == F.col("__hot"), "left").withColumn("__copy", F.pmod(F.xxhash64("record_id"), copies).cast("int"))
-    right = stored.join(often, F.col("__of") == F.col("__hot"), "left").select(
-        "__of", "__old", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__at")
-    )
-    return left.join(right, (F.col("refers_to") == F.col("__of")) & (F.col("__copy") == F.col("__at")), "left")
-
-
 def resolve(records: DataFrame, spans: int = SPANS, hot: int = HOT) -> DataFrame:
     """Revisits with the response that they refer to.
 
@@ -135,7 +119,7 @@ def resolve(records: DataFrame, spans: int = SPANS, hot: int = HOT) -> DataFrame
     )
     resolved = judged.where("status = 'resolved'")
     stored = rows.where("kind = 'response'").select(F.col("record_id").alias("__of"), F.col("headers").alias("__old"))
-    merged = _with_response_headers(resolved, stored, hot).select(
+    merged = left_join_split(resolved, stored, [("refers_to", "__of")], hot).select(
         "record_id", "canonical_url", "ts", "status", "refers_to", merged_headers(F.col("__old"), F.col("__new")).alias("headers"), "digest"
     )
     # Rows without a URL or a time have no earlier response; all others that aren't resolved have nothing to join either.

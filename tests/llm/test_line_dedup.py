@@ -7,8 +7,9 @@ def test_drops_lines_over_the_ratio(spark, monkeypatch):
     rows += [(20, "b", "menu\nonly here", "c"), (21, None, "x\ny", "c"), (22, "b", None, "c"), (23, "a", "menu", "c"), (24, "b", "", "c")]
     rows += [(30 + i, None, "shared\n", "c") for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, host string, text string, n_lines string")
-    for most in (100_000, 0):
+    for most, hot in ((100_000, 20_000), (0, 20_000), (0, 2)):
         monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        monkeypatch.setattr(line_dedup, "HOT_PAGES", hot)
         got = {r.page_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(df, "host").collect()}
         assert len(got) == len(rows)
         assert got[3] == ("body 3\n\nfoot 1", 4, 2)
@@ -38,8 +39,9 @@ def test_shared_passages_of_a_large_group(spark, monkeypatch):
     rows += [(3000, None, "en", "big", 0), (3001, passage, "en", "small", 0), (3002, passage, "en", None, 0)]
     rows += [(4000 + i, f"{passage}\nnull {i}", "en", None, 0) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for most in (100_000, 0):
+    for most, hot in ((100_000, 20_000), (0, 20_000), (0, 2)):
         monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+        monkeypatch.setattr(line_dedup, "HOT_PAGES", hot)
         got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
         assert len(got) == len(rows) and got[3000] is None
         big = {k: (t or "").split("\n") for k, t in got.items() if k < 3000}
@@ -51,3 +53,26 @@ def test_shared_passages_of_a_large_group(spark, monkeypatch):
         assert got[3001] == passage
         # Over half of a group: from all of it.
         assert got[3002] == "" and all(got[4000 + i] == f"null {i}" for i in range(6))
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """One key, and null, with most of the rows: joined as any other, in several tasks."""
+    from collections import Counter
+
+    from orrery.llm.common import left_join_split
+
+    rows = [(i, "hot" if i % 3 else None, {"a": str(i)}) for i in range(600)] + [(1000 + i, f"k{i}", None) for i in range(40)] + [(2000, "lost", None)]
+    left = spark.createDataFrame(rows, "id long, k string, m map<string,string>")
+    right = spark.createDataFrame([("hot", 1), (None, 2), *[(f"k{i}", 10 + i) for i in range(40)], ("unused", 3)], "rk string, v long")
+    want = {i: None if k == "lost" else {"hot": 1, None: 2}.get(k, i - 990) for i, k, _ in rows}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = left_join_split(left, right, [("k", "rk")], 25).withColumn("task", F.spark_partition_id())
+        got = joined.collect()
+        assert joined.columns == ["id", "k", "m", "rk", "v", "task"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.id: r.v for r in got} == want and len(got) == len(rows)
+    assert max(Counter(r.task for r in got if r.k == "hot").values()) < 300
