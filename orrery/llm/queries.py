@@ -37,7 +37,43 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_quality_rules")
+_LADDERS_SQL = ", ".join(
+    f"('{rule}', {at}, CAST({cut} AS DOUBLE))" for rule, cuts in quality.LADDERS.items() for at, cut in enumerate(cuts)
+)
+_SHARE, _LEVEL = quality.ALPHA / len(quality.LADDERS), quality.DELTA / len(quality.LADDERS)
+
+OP9_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS l FROM texts),
+places AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM split WHERE len(w) >= 5),
+windows AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS five FROM places),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY rid),
+measured AS (SELECT split.rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_exclaims, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN covered ON covered.rid = split.rid),
+based AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured),
+valued AS (SELECT rid, doc_id, lang, base_failed, unnest(['symbol_ratio', 'exclaim_ratio', 'dup_line_ratio', 'word_length']) AS rule,
+    unnest([n_symbols / nullif(word_chars, 0), n_exclaims / nullif(word_chars, 0), n_dup_lines / nullif(n_lines, 0), word_chars / nullif(n_words, 0)]) AS value FROM based),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT valued.* FROM valued JOIN good ON valued.doc_id = good.doc_id WHERE NOT base_failed),
+ladder(rule, step, cut) AS (VALUES {_LADDERS_SQL}),
+tried AS (SELECT lang, held.rule, step, cut, count(*) AS n, count(*) FILTER (value >= cut) AS k, (SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) AS strata
+  FROM held JOIN ladder ON held.rule = ladder.rule GROUP BY ALL),
+tested AS (SELECT *, k < n * {_SHARE} AND list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) <= {_LEVEL} / strata AS passed FROM tried),
+taken AS (SELECT lang, rule, min(cut) AS cut FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM tested) WHERE ok GROUP BY ALL),
+rejected AS (SELECT DISTINCT rid FROM valued JOIN taken ON valued.rule = taken.rule AND valued.lang IS NOT DISTINCT FROM taken.lang WHERE value >= cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM rejected WHERE rejected.rid = based.rid) AS kept
+FROM based
+"""
+
+
+@query("op9_quality_rules", OP9_SQL)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
