@@ -76,3 +76,10 @@ def enumerated(submissions: DataFrame, forms: tuple[str, ...], start: str, end:
     rows = submissions.select("ticker", "cik", F.posexplode(zipped).alias("position", "f"))
     flat = rows.select("ticker", "cik", "position", *[F.coalesce(F.col("f").getField(n), F.lit("")).alias(n) for n in names])
     return flat.where(F.col("form").isin(*forms) & F.col("filingDate").between(start, end) & (F.col("accessionNumber") != ""))
+
+
+def first_mentions(panel: DataFrame, key: str, order: list[str], count: str = "n_mentions_total") -> DataFrame:
+    """Of each key the first row, by ``order``, that has a mention; the order must be total within a key."""
+    from .facts import first_by
+
+    return first_by(panel.where(F.col(count) > 0), [key], [F.col(c) for c in order])

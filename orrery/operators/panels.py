@@ -83,6 +83,12 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str], touched: Data
     return existing.join(touched, keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def last_rows(rows: DataFrame, key: str, order: str, k: int = 12) -> DataFrame:
+    """Of each key the last k rows by ``order``, which must be different within a key; nulls come before all others."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))
+    return rows.withColumn("__n", n).where(F.col("__n") <= k).drop("__n")
+
+
 def carried_over(requested: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Requested keys that aren't done."""
     return requested.join(done.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,35 +15,58 @@ def z_score(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def balanced_within(rows: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
-    """Columns less their unit and period means, plus the grand mean: exact for balanced panels."""
-    by_u, by_p = Window.partitionBy(unit), Window.partitionBy(period)
+    """Columns less their unit and period means, plus the grand mean: exact for balanced panels.
+
+    Means are aggregates joined back, so that no task gets all rows of a period.
+    """
     grand = rows.agg(*[F.avg(c).alias(f"__g_{c}") for c in columns])
     out = rows
-    for c in columns:
-        out = out.withColumn(f"__u_{c}", F.avg(c).over(by_u)).withColumn(f"__p_{c}", F.avg(c).over(by_p))
+    for k, key in (("u", unit), ("p", period)):
+        means = rows.groupBy(F.col(key).alias(f"__{k}")).agg(*[F.avg(c).alias(f"__{k}_{c}") for c in columns])
+        out = out.join(means, F.col(key).eqNullSafe(F.col(f"__{k}")))
     out = out.join(F.broadcast(grand))
     for c in columns:
         out = out.withColumn(c, F.col(c) - F.col(f"__u_{c}") - F.col(f"__p_{c}") + F.col(f"__g_{c}"))
-    return out.drop(*[f"__{k}_{c}" for k in "upg" for c in columns])
+    return out.drop("__u", "__p", *[f"__{k}_{c}" for k in "upg" for c in columns])
+
 
+#: Periods of which the equations of their effects are solved on the driver.
+MOST_PERIODS = 1000
 
-def within(rows: DataFrame, unit: str, period: str, columns: list[str], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
-    """Columns less their unit and period effects, by turns until the means vanish; for panels with holes.
 
-    Every fourth turn is checkpointed where a checkpoint folder is set, so that plans stay short.
+def within(rows: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
+    """Columns less their unit and period effects, for panels with holes: exact, without iteration.
+
+    Once units' means are taken out, the effects of the periods follow from as many equations as there are periods. Their
+    sums are one aggregate over the rows of each unit, and the driver solves them; more than MOST_PERIODS are an error.
+    Null units and periods are a unit and a period.
     """
-    out = rows
-    for turn in range(most):
-        for key in (unit, period):
-            w = Window.partitionBy(key)
-            out = out.select(*[c for c in out.columns if c not in columns], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
-        if turn % 4 == 3:
-            if out.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-                out = out.checkpoint()
-            left = out.groupBy(unit).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c) for c in columns]).first()
-            if max(x or 0.0 for x in left) < tolerance:
-                break
-    return out
+    spark = rows.sparkSession
+    periods = [r[0] for r in rows.select(period).distinct().limit(MOST_PERIODS + 1).collect()]
+    if len(periods) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} periods")
+    place = {p: k for k, p in enumerate(periods)}
+    own = Window.partitionBy(unit)
+    flat = rows.select("*", *[(F.col(c) - F.avg(c).over(own)).alias(f"__d_{c}") for c in columns])
+    totals = flat.groupBy(period).agg(F.count("*").alias("n"), *[F.sum(f"__d_{c}").alias(c) for c in columns]).collect()
+    # For each pair of periods, the sum over units of the rows in both by the rows of the unit.
+    per_unit = rows.groupBy(unit, period).agg(F.count("*").alias("n")).groupBy(unit).agg(F.collect_list(F.struct(F.col(period).alias("t"), "n")).alias("ts"), F.sum("n").alias("size"))
+    pairs = per_unit.select("size", F.explode("ts").alias("a"), "ts").select("size", "a", F.explode("ts").alias("b"))
+    shared = pairs.groupBy(F.col("a.t").alias("t"), F.col("b.t").alias("o")).agg(F.sum(F.col("a.n") * F.col("b.n") / F.col("size")).alias("w")).collect()
+    left, right = np.zeros((len(periods), len(periods))), np.zeros((len(periods), len(columns)))
+    for r in totals:
+        left[place[r[period]], place[r[period]]] += r["n"]
+        right[place[r[period]]] = [r[c] or 0.0 for c in columns]
+    for r in shared:
+        left[place[r["t"]], place[r["o"]]] -= r["w"]
+    effects = np.linalg.lstsq(left, right, rcond=None)[0]
+    found = [(p, *map(float, effects[k])) for p, k in place.items()]
+    schema = f"__t {rows.schema[period].dataType.simpleString()}, " + ", ".join(f"__e_{c} double" for c in columns)
+    joined = flat.join(F.broadcast(spark.createDataFrame(found, schema)), F.col(period).eqNullSafe(F.col("__t")))
+    return joined.select(
+        *[F.col(c) for c in rows.columns if c not in columns],
+        *[(F.col(f"__d_{c}") - F.col(f"__e_{c}") + F.avg(f"__e_{c}").over(own)).alias(c) for c in columns],
+    )
 
 
 def slope(residual: DataFrame, y: str = "y", x: str = "x") -> DataFrame:

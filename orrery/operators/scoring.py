@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import even_round, on_grid
 
@@ -104,6 +105,31 @@ def keyword_scorer(text: str, iteration: int) -> list[dict]:
     return out
 
 
+#: What a scorer gets after an attempt that failed.
+RETRY = "{text}\n\nThe last answer was not valid: {error}\nAnswer again."
+#: Part of what the first call of a prompt wrote to the cache that later calls have to read.
+CACHE_PART = 0.95
+
+
+def cache_verdicts(usage: DataFrame, prompt: str = "prompt_hash", order: str = "call") -> DataFrame:
+    """usage with ``verdict`` of each call: whether the first of a prompt wrote to the cache and later ones read it back.
+
+    usage: prompt, order (different within a prompt), cache_creation, cache_read long. Verdicts: write_ok, no_write,
+    read_ok, rewritten (read back, yet written again), miss. Later calls of a prompt whose first wrote nothing count as first.
+    """
+    wrote = F.coalesce(F.col("cache_creation"), F.lit(0))
+    before = Window.partitionBy(prompt).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.first(F.when(wrote > 0, wrote), ignorenulls=True).over(before)
+    verdict = (
+        F.when(F.col("__size").isNull() & (wrote > 0), "write_ok")
+        .when(F.col("__size").isNull(), "no_write")
+        .when(F.coalesce(F.col("cache_read"), F.lit(0)) < CACHE_PART * F.col("__size"), "miss")
+        .when(wrote > 0, "rewritten")
+        .otherwise("read_ok")
+    )
+    return usage.withColumn("__size", size).withColumn("verdict", verdict).drop("__size")
+
+
 def run_scorer(
     docs: DataFrame, key: str, text_col: str = "text", iterations: int = 1, attempts: int = 3,
     scorer: Callable[[str, int], list[dict]] = keyword_scorer,
@@ -119,9 +145,12 @@ def run_scorer(
             for k, text in zip(pdf[key], pdf[text_col], strict=True):
                 rows, error = [], None
                 for i in range(1, iterations + 1):
+                    error = None
                     for _ in range(attempts):
+                        # What went wrong is told with the next attempt.
+                        asked = text if error is None else RETRY.format(text=text or "", error=error)
                         try:
-                            rows += [(k, i, t["task"], t["r_label"], None) for t in scorer(text, i)]
+                            rows += [(k, i, t["task"], t["r_label"], None) for t in scorer(asked, i)]
                             error = None
                             break
                         except Exception as e:  # a scorer may fail in any way; the error is the result

@@ -91,3 +91,22 @@ def primary_document(items: DataFrame, key: str, form: str) -> DataFrame:
     ranked = items.withColumn("__rank", rank).where("__rank IS NOT NULL")
     size = F.coalesce(F.expr("try_cast(size AS BIGINT)"), F.lit(0))
     return first_by(ranked, [key], [F.col("__rank"), size.desc(), F.col("name")]).drop("__rank")
+
+
+def without_placebo(firms: DataFrame, key: str = "ticker", skipped: str = "placebo") -> tuple[DataFrame, DataFrame]:
+    """Firms to process, and (key, status, n_rows) records of those of the skipped tier, which have no rows."""
+    gone = F.coalesce(F.col("tier") == skipped, F.lit(False))
+    records = firms.where(gone).select(key, F.lit("skipped_placebo").alias("status"), F.lit(0).cast("long").alias("n_rows"))
+    return firms.where(~gone), records
+
+
+def first_listed(firms: DataFrame, position: str, n: int | None) -> DataFrame:
+    """The first n firms of the list's order, all if n is None."""
+    return firms if n is None else firms.orderBy(position).limit(n)
+
+
+def report_dates(submissions: DataFrame, forms: tuple[str, ...], key: str = "ticker") -> DataFrame:
+    """(key, first_10k_date, last_10k_date) among the parallel arrays ``form`` and ``filingDate``; null without such a report."""
+    both = F.arrays_zip("form", "filingDate")
+    dates = F.transform(F.filter(both, lambda x: x["form"].isin(*forms)), lambda x: F.to_date(x["filingDate"]))
+    return submissions.select(key, F.array_min(dates).alias("first_10k_date"), F.array_max(dates).alias("last_10k_date"))

@@ -18,9 +18,11 @@ SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """A delimited file with a header; ``columns`` prunes at the scan."""
-    df = spark.read.schema(SCHEMAS.get(schema, schema)).option("header", True).option("sep", sep).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", columns: list[str] | None = None, index: bool = False) -> DataFrame:
+    """A delimited file with a header; ``columns`` prunes at the scan. With ``index`` its first column is a row's number and is dropped."""
+    declared = SCHEMAS.get(schema, schema)
+    df = spark.read.schema(f"__index string, {declared}" if index else declared).option("header", True).option("sep", sep).csv(path)
+    df = df.drop("__index")
     return df.select(*columns) if columns else df
 
 
@@ -34,7 +36,58 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Company facts, a JSON value in each file; files that can't be parsed have _corrupt_record."""
     schema = T.StructType([*FACTS.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def facts_status(requested: DataFrame, facts: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, status) of requested keys: ok, cache_read_error where the key's file isn't company facts, no_cache where there is none.
+
+    ``facts`` is what read_facts gives, with the ``path`` of each file; a file is named after its key.
+    """
+    named = facts.select(
+        F.regexp_extract("path", r"([^/]+?)\.json$", 1).alias("__of"),
+        (F.col("_corrupt_record").isNull() & (F.col("cik").isNotNull() | F.col("facts").isNotNull())).cast("int").alias("good"),
+    )
+    per = named.groupBy("__of").agg(F.max("good").alias("good"))
+    status = F.when(F.col("good").isNull(), "no_cache").when(F.col("good") == 1, "ok").otherwise("cache_read_error")
+    return requested.select(key).join(per, F.col(key) == F.col("__of"), "left").select(key, status.alias("status"))
+
+
+def read_config(path: str) -> dict:
+    """A small configuration file of nested lists and mappings, read on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is no mapping")
+    return found
+
+
+def lexicon_terms(config: dict) -> tuple[tuple[str, str], ...]:
+    """(pattern, category) of the terms of a lexicon, for ``lexicon.counted``; a term without either is an error."""
+    return tuple((t["pattern"], t["category"]) for t in config["inclusion_terms"])
+
+
+def listed_tickers(spark: SparkSession, config: dict) -> DataFrame:
+    """(ticker, tier, sector, expected_rho, company) of the lists ``<tier>_tickers``; of a ticker in two the first list's."""
+    rows = {}
+    for name, entries in config.items():
+        if name.endswith("_tickers"):
+            for e in entries or []:
+                rows.setdefault(e["ticker"], (e["ticker"], name.removesuffix("_tickers"), e.get("sector"), e.get("expected_rho"), e.get("company")))
+    return spark.createDataFrame(list(rows.values()), "ticker string, tier string, sector string, expected_rho int, company string")
+
+
+def universe_rules(config: dict) -> dict:
+    """The filters of a universe: software_sic, exchanges in upper case, least quarters, and excluded tickers."""
+    return {
+        "software_sic": config["tiers"]["primary_software"]["sic_codes"],
+        "exchanges": tuple(x.upper() for x in config["exchanges"]),
+        "min_quarters": config["min_pre_shock_quarters"],
+        "excluded": tuple(e["ticker"] for e in config.get("exclusions", [])),
+    }
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +109,38 @@ def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of delimited files, each of which has the header once; the first write makes the folder."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def replace_json(df: DataFrame, path: str) -> None:
+    """Put a folder of JSON lines in the place of another: written whole beside it, then moved; readers never see a part."""
+    spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").json(new)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} can't be moved to {path}")
+    fs.delete(at(old), True)
+
+
+def merge_records(new: DataFrame, path: str, key: str) -> None:
+    """The records at ``path`` less those of the new keys, and the new ones, in the place of the old."""
+    spark = new.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    replace_json(upserted(spark.read.schema(new.schema).json(path), new, [key]) if there else new, path)
+
+
+def write_marked(df: DataFrame, path: str, key: str, text_col: str = "text") -> None:
+    """A text file for each key, in a folder ``key=...``; ``filings.marked_text`` makes such texts."""
+    df.select(key, F.col(text_col).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def write_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     """A JSON object in each line."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
