@@ -34,7 +34,7 @@ def test_iterations_cost_anchors_and_runner(spark):
     assert spark.range(1).select(scoring.cost({"input": F.lit(1e6), "output": F.lit(2e6)})).first()[0] == 11.0
 
     def flaky(text, i):
-        if text == "bad" and i == 2:
+        if text.startswith("bad") and i == 2:
             raise ValueError("no")
         return [{"task": text, "r_label": "R1"}]
 
@@ -42,6 +42,46 @@ def test_iterations_cost_anchors_and_runner(spark):
     got = sorted((r.k, r.iteration, r.error) for r in scoring.run_scorer(docs, "k", iterations=2, scorer=flaky).collect())
     assert got == [(1, 1, None), (1, 2, None), (2, 2, "no")]
 
+    def learns(text, i):
+        if "was not valid: too short" not in text:
+            raise ValueError("too short")
+        return [{"task": text.split("\n")[0], "r_label": "R0"}]
+
+    got = sorted((r.k, r.task, r.error) for r in scoring.run_scorer(docs, "k", scorer=learns).collect())
+    assert got == [(1, "good", None), (2, "bad", None)]
+
+
+def test_unbalanced_effects_match_least_squares(spark):
+    """Panels with holes, repeated rows and a null period: the residuals of a regression on all dummies."""
+    import random
+
+    import numpy as np
+
+    rng, rows = random.Random(5), []
+    for u in range(14):
+        for t in [*range(7), None]:
+            for _ in range(rng.choice((0, 1, 1, 1, 2))):
+                rows.append((u, t, rng.gauss(0, 1), rng.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "firm int, quarter int, y double, x double").repartition(3)
+    units, periods = sorted({r[0] for r in rows}), sorted({r[1] for r in rows}, key=str)
+    dummies = np.array([[float(r[0] == u) for u in units] + [float(r[1] == t) for t in periods] for r in rows])
+    want = {}
+    for k in (2, 3):
+        v = np.array([r[k] for r in rows])
+        want[k] = v - dummies @ np.linalg.lstsq(dummies, v, rcond=None)[0]
+    got = sorted((r.firm, str(r.quarter), r.y, r.x) for r in regression.within(df, "firm", "quarter", ["y", "x"]).collect())
+    expected = sorted((r[0], str(r[1]), want[2][k], want[3][k]) for k, r in enumerate(rows))
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert np.allclose(sorted(g[2] for g in got), sorted(e[2] for e in expected), atol=1e-9)
+    assert np.allclose(sorted(g[3] for g in got), sorted(e[3] for e in expected), atol=1e-9)
+
+
+def test_cache_verdicts(spark):
+    rows = [("p", 1, 0, 0), ("p", 2, 100, 0), ("p", 3, 0, 95), ("p", 4, 0, 94), ("p", 5, 7, 100), ("q", 1, 50, None), ("q", 2, None, 50)]
+    df = spark.createDataFrame(rows, "prompt_hash string, call int, cache_creation long, cache_read long")
+    got = [r.verdict for r in scoring.cache_verdicts(df).orderBy("prompt_hash", "call").collect()]
+    assert got == ["no_write", "write_ok", "read_ok", "miss", "rewritten", "write_ok", "read_ok"]
+
 
 def vote(spark, sims, labels=("E1", "E0", "E2")):
     value = {"E0": 0.0, "E1": 1.0, "E2": 0.5}
