@@ -26,12 +26,14 @@ _roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The shared folder of intermediate tables: spark.checkpoint.dir, or a temporary one in a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="orrery-")
             spark.sparkContext.setCheckpointDir(base)

@@ -15,10 +15,10 @@ Plan. Texts are read once into blocks of bounded size (``blocks``), a row each,
 block, and a 64-bit hash of each distinct token. A block asks for its distinct tokens and pairs with its training
 counts; requests are packed by ranges of the hash, and each range sums up what all blocks sent and answers each block
 in the order of its request (``counts``). Blocks then score all pairs that occur in training, and send on the
-probabilities of the pairs that they were first to name, by history, with the places where a weight is missing; ranges
-of histories make the weights and return what each text lacks (``weights``). A frequent history is spread over all
-ranges in the first exchange and is one sum from each block in the second. No count, vocabulary or weight comes to the
-driver, but for the counts of counts.
+probabilities of the pairs that they were first to name, by history, with the histories whose weight they need; ranges of
+histories make the weights and answer each block, which adds up what each of its texts lacks (``weights``). A frequent
+history is spread over all ranges in the first exchange and is one sum and one question from each block in the second. No
+count, vocabulary or weight comes to the driver, but for the counts of counts. ``katz_tables`` keeps a model of any order.
 
 Tokens are told apart by 64-bit hashes. Null texts have the end token alone. Rows of a repeated id each count.
 """
@@ -47,7 +47,7 @@ END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 PACKED = "kind int, part int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
 _NAMES = ["kind", "part", "block", *"abcdef"]
 _ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in "abcdef"]])
-DOCS, TOKENS, PAIRS, STATS, SUMS, LACKS = range(6)
+DOCS, TOKENS, PAIRS, STATS, SUMS, LACKS, PLACES, WEIGHTS = range(8)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -252,7 +252,8 @@ class Model:
 
 
 def scores(made: DataFrame, answers: DataFrame, model: Model, bits: int) -> DataFrame:
-    """For each block: its texts' sums (DOCS), its histories' sums (SUMS), and its places that lack a weight (LACKS)."""
+    """For each block: its texts' sums (DOCS), its histories' sums (SUMS), the histories whose weights it needs (LACKS), and
+    the texts that need them (PLACES)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
@@ -288,40 +289,49 @@ def scores(made: DataFrame, answers: DataFrame, model: Model, bits: int) -> Data
         keys = x.hashes[order][some]
         for part, s, e in _ranges(keys, bits):
             out.append(_row(SUMS, part, block, _gaps(keys[s:e]), pack(sum2[some][s:e]), pack(sum1[some][s:e])))
+        # The different histories whose weight the block needs, and how often each text needs which.
         lack = (~seen & known)[x.pair]
-        keys, docs = x.hashes[x.history[x.pair[lack]]], x.doc[lack]
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
+        keys, at = np.unique(x.hashes[x.history[x.pair[lack]]], return_inverse=True)
+        pairs, times = np.unique(x.doc[lack].astype(np.int64) * max(len(keys), 1) + at, return_counts=True)
+        if len(keys):
+            places = pairs % len(keys), pairs // len(keys)
+            out.append(_row(PLACES, -1, block, *[pack(v.astype(np.int32)) for v in (*places, times)]))
         for part, s, e in _ranges(keys, bits):
-            out.append(_row(LACKS, part, block, _gaps(keys[s:e]), pack(docs[s:e])))
+            out.append(_row(LACKS, part, block, _gaps(keys[s:e])))
         return pa.Table.from_batches([_batch(out)])
 
     return made.unionByName(answers.where(F.col("kind") != STATS)).groupBy("block").applyInArrow(run, PACKED)
 
 
 def _weigh(table: pa.Table) -> pa.Table:
-    """The weights of a range of histories, and the sums of their logarithms for the texts that lack them."""
+    """The logarithms of the weights of a range's histories, for each block in the order in which it asks."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
     sums = [r for r in rows if r["kind"] == SUMS]
-    out = {"block": [], "at": [], "more": []}
+    out = []
     if sums:
         every, at = np.unique(np.concatenate([_keys(r["a"]) for r in sums]), return_inverse=True)
         two = np.bincount(at, weights=np.concatenate([unpack(r["b"], np.float64) for r in sums]))
         one = np.bincount(at, weights=np.concatenate([unpack(r["c"], np.float64) for r in sums]))
         weight = np.log10((1 - two) / (1 - one))
-        for r in rows[len(sums) :]:
-            docs, logs = unpack(r["b"], np.int32), weight[np.searchsorted(every, _keys(r["a"]))]
-            most = int(docs.max()) + 1
-            found = np.unique(docs)
-            out["block"].append(np.full(len(found), r["block"]))
-            out["at"].append(found)
-            out["more"].append(np.bincount(docs, weights=logs, minlength=most)[found])
-    kinds = {"block": np.int64, "at": np.int32, "more": np.float64}
-    return pa.table({k: np.concatenate(v).astype(kinds[k]) if v else np.empty(0, kinds[k]) for k, v in out.items()})
+        out = [_row(WEIGHTS, r["part"], r["block"], pack(weight[np.searchsorted(every, _keys(r["a"]))])) for r in rows[len(sums) :]]
+    return pa.Table.from_batches([_batch(out)])
+
+
+def _missing(table: pa.Table) -> pa.Table:
+    """The sums of the logarithms of weights that each text of a block lacks."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
+    of, docs, times = (unpack(rows[0][c], np.int32) for c in "abc")
+    logs = np.concatenate([unpack(r["a"], np.float64) for r in rows[1:]])
+    more = np.bincount(docs, weights=logs[of] * times)
+    found = np.unique(docs)
+    return pa.table({"block": np.full(len(found), rows[0]["block"]), "at": found, "more": more[found]})
 
 
 def weights(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("kind").isin(SUMS, LACKS)).groupBy("part").applyInArrow(_weigh, "block long, at int, more double")
+    """(block, at, more): what each text lacks. A range gets a history once from each block, however many texts need it."""
+    found = scored.where(F.col("kind").isin(SUMS, LACKS)).groupBy("part").applyInArrow(_weigh, PACKED)
+    both = scored.where(F.col("kind") == PLACES).unionByName(found)
+    return both.groupBy("block").applyInArrow(_missing, "block long, at int, more double")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +362,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     answers = materialize(counts(made, bits), "counts")
     model = Model(*[_stats(answers, kind) for kind in (TOKENS, PAIRS)])
     scored = materialize(scores(made, answers, model, bits), "scores")
-    more = weights(scored).groupBy("block", "at").agg(F.sum("more").alias("more"))
+    more = weights(scored)
     texts = scored.where(F.col("kind") == DOCS).mapInArrow(
         _texts, "block long, at int, id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double"
     )
