@@ -441,7 +441,27 @@ def frontmatter_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", filings.front_matter_item(marked, "1").alias("item_1"))
 
 
-@query("html_to_text")
+_BLOCKS_SQL = "|".join(sorted(filings.BLOCKS))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
+_UNESCAPED = "t"
+for _name, _char in _ENTITIES:
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+_UNESCAPED = f"regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g')"
+
+#: Tags by patterns, which the tables' pages allow: no attribute has a '>' in it, and entities are those of _ENTITIES. What a
+#: page that breaks off leaves open is lost: a tag, a comment, a script, or text since the last tag with an open entity.
+HTML_SQL = rf"""
+WITH closed AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?(</(script|style)>|$)', '', 'g'),
+    '(?s)<!--.*?(-->|$)', '', 'g'), '(<[^>]*|[^<>]*&[^\s;<>]{{0,33}})$', '') AS html FROM pages),
+bare AS (SELECT page_id, regexp_replace(html, '(?i)</?({_BLOCKS_SQL})(\s[^>]*)?/?>', chr(10), 'g') AS t FROM closed),
+plain AS (SELECT page_id, regexp_replace(t, '<[/!?a-zA-Z][^>]*>', '', 'g') AS t FROM bare),
+decoded AS (SELECT page_id, replace(replace({_UNESCAPED}, chr(160), ' '), chr(8203), '') AS t FROM plain),
+text AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM decoded)
+SELECT page_id, text, CAST(len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '')) AS BIGINT) AS words FROM text
+""".replace("\\\\", "\\")
+
+
+@query("html_to_text", HTML_SQL)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = filings.html_to_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", plain.alias("text")).select("page_id", "text", text.word_count(F.col("text")).alias("words"))
@@ -544,7 +564,15 @@ def usage_cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("cost", F.bround(scoring.cost({"input": F.col("input_chars"), "output": F.col("output_chars")}), 6))
 
 
-@query("offline_scorer")
+@query(
+    "offline_scorer",
+    rf"""WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents),
+    labelled AS (SELECT doc_id, CASE WHEN lower(s) LIKE '%real%' OR lower(s) LIKE '%secur%' OR lower(s) LIKE '%hard%' THEN 'R0'
+      WHEN lower(s) LIKE '%text%' OR lower(s) LIKE '%writ%' OR lower(s) LIKE '%doc%' THEN 'R1' ELSE 'R2' END AS label FROM s WHERE NOT regexp_full_match(s, '[{_SPACE}]*')),
+    n AS (SELECT doc_id, count(*) AS n_tasks, count(*) FILTER (label = 'R1') AS n_r1, count(*) FILTER (label = 'R2') AS n_r2 FROM labelled GROUP BY doc_id)
+    SELECT doc_id, CAST(iteration AS INT) AS iteration, n_tasks, n_r1, n_r2,
+      CAST(round_even(CAST((n_r1 + n_r2 * 0.5) / n_tasks * 99 + 1 AS DECIMAL(18,9)), 1) AS DOUBLE) AS rho FROM n, (VALUES (1), (2)) AS i(iteration)""",
+)
 def offline_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scoring.supply_scores(scoring.run_scorer(docs, "doc_id", iterations=2).where("error IS NULL"), ["doc_id", "iteration"])
