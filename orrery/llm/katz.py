@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize
+from .common import LOWER, materialize, shuffle_width
 
 #: Tokens in a block, and tokens of the corpus for each range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 2_000_000, 1_500_000
@@ -214,8 +214,13 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out)])
 
 
+def _dealt(rows: DataFrame, bits: int, *keys: str):
+    """rows grouped by the keys, in as many partitions as there are ranges, so that a task's share doesn't grow with the corpus."""
+    return rows.repartition(max(shuffle_width(rows.sparkSession), 1 << bits), *keys).groupBy(*keys)
+
+
 def counts(made: DataFrame, bits: int) -> DataFrame:
-    return requests(made, bits).groupBy("kind", "part").applyInArrow(_answer, PACKED)
+    return _dealt(requests(made, bits), bits, "kind", "part").applyInArrow(_answer, PACKED)
 
 
 def discounts(of_counts: list[int]) -> list[float]:
@@ -300,7 +305,7 @@ def scores(made: DataFrame, answers: DataFrame, model: Model, bits: int) -> Data
             out.append(_row(LACKS, part, block, _gaps(keys[s:e])))
         return pa.Table.from_batches([_batch(out)])
 
-    return made.unionByName(answers.where(F.col("kind") != STATS)).groupBy("block").applyInArrow(run, PACKED)
+    return _dealt(made.unionByName(answers.where(F.col("kind") != STATS)), bits, "block").applyInArrow(run, PACKED)
 
 
 def _weigh(table: pa.Table) -> pa.Table:
@@ -327,11 +332,11 @@ def _missing(table: pa.Table) -> pa.Table:
     return pa.table({"block": np.full(len(found), rows[0]["block"]), "at": found, "more": more[found]})
 
 
-def weights(scored: DataFrame) -> DataFrame:
+def weights(scored: DataFrame, bits: int) -> DataFrame:
     """(block, at, more): what each text lacks. A range gets a history once from each block, however many texts need it."""
-    found = scored.where(F.col("kind").isin(SUMS, LACKS)).groupBy("part").applyInArrow(_weigh, PACKED)
+    found = _dealt(scored.where(F.col("kind").isin(SUMS, LACKS)), bits, "part").applyInArrow(_weigh, PACKED)
     both = scored.where(F.col("kind") == PLACES).unionByName(found)
-    return both.groupBy("block").applyInArrow(_missing, "block long, at int, more double")
+    return _dealt(both, bits, "block").applyInArrow(_missing, "block long, at int, more double")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +367,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     answers = materialize(counts(made, bits), "counts")
     model = Model(*[_stats(answers, kind) for kind in (TOKENS, PAIRS)])
     scored = materialize(scores(made, answers, model, bits), "scores")
-    more = weights(scored)
+    more = weights(scored, bits)
     texts = scored.where(F.col("kind") == DOCS).mapInArrow(
         _texts, "block long, at int, id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double"
     )
