@@ -1,4 +1,4 @@
-"""The queries of the ten corpus operators, and their SQL where SQL can express them."""
+"""The queries of the corpus operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, huffman, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash, toxicity
+from . import byte_bpe, corpus_queries, huffman, katz, line_dedup, mixing, prefix_hash, quality, revisits, simhash, toxicity
 from .common import materialize, scratch_path, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(corpus_queries.QUERIES)
+ORACLES: dict[str, str] = dict(corpus_queries.ORACLES)
 
 
 def query(name: str, sql: str | None = None):
