@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import lexical_search, licenses
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,30 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases, labels and score of every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.digest(licenses.scan(docs)).drop("text")
+
+
+_TERMS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+).format(u=licenses.UPPER, l=licenses.UPPER.lower())
+
+OP13_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS_SQL} AS w FROM documents),
+sizes AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM texts WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM texts) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, corpus),
+m AS (SELECT rid, doc_id, 75 + (25 * sizes.n * corpus.n) // l AS m FROM sizes, corpus),
+scores AS (SELECT item_id, doc_id, tf.rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf ON tf.term = asked.term JOIN weights ON weights.term = tf.term JOIN m ON m.rid = tf.rid GROUP BY ALL),
+best AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
