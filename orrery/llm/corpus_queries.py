@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexical_search, licenses
+from . import collocations, lexical_search, licenses
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,30 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of each benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexical_search.ranked(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP11_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM split, range(1, {collocations.LONGEST + 1}) r(k)),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+cuts AS (SELECT lang, k, phrase, a, at, array_to_string(string_split(phrase, ' ')[1 : at], ' ') AS first,
+    array_to_string(string_split(phrase, ' ')[at + 1 :], ' ') AS rest FROM f, range(1, {collocations.LONGEST}) r(at) WHERE at < k),
+valued AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, at, x.a AS l, y.a AS r,
+    CAST(CAST({collocations.SCALE} AS HUGEINT) * cuts.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.first JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.rest),
+scored AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM scored t WHERE t.lang = s.lang AND t.k > s.k
+    AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * t.a >= {collocations.NEAR} * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words."""
+    return collocations.mined(table(spark, sf_dir, "documents").select("lang", "text"))

@@ -49,21 +49,21 @@ PIECE = 4 << 20
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ARRAYS = ["ids", "known", "lens", "df", "gap_width", "tf_width", "gap1", "gap2", "gap4", "tf1", "tf2", "tf4", "last", "most_tf", "least_n"]
-INDEX = "shard long, n_docs long, n_terms long, terms binary, " + ", ".join(f"{a} binary" for a in _ARRAYS)
+INDEX = "shard long, block long, n_docs long, n_terms long, terms binary, " + ", ".join(f"{a} binary" for a in _ARRAYS)
 _INDEX_ARROW = pa.schema(
-    [("shard", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("terms", pa.binary()), *[(a, pa.binary()) for a in _ARRAYS]]
+    [*[(n, pa.int64()) for n in ("shard", "block", "n_docs", "n_terms")], ("terms", pa.binary()), *[(a, pa.binary()) for a in _ARRAYS]]
 )
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 #: Keys of the corpus's sums among those of terms, which hold no spaces.
 _N, _L, _SHARDS = b" n", b" l", b" shards"
 
 
-def terms_of(text: str) -> Iterator[list[bytes]]:
-    """The terms of a text, in lists of a bounded number of bytes."""
+def terms_of(text: str, size: int) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of some ``size`` bytes each."""
     data = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
     at = 0
     while at < len(data):
-        end = data.find(b" ", at + PIECE) if len(data) - at > PIECE else -1
+        end = data.find(b" ", at + size) if len(data) - at > size else -1
         end = len(data) if end < 0 else end
         yield data[at:end].split()
         at = end
@@ -72,14 +72,15 @@ def terms_of(text: str) -> Iterator[list[bytes]]:
 class _Builder:
     """The documents of a shard to be."""
 
-    def __init__(self):
+    def __init__(self, block: int, piece: int):
+        self.block, self.piece = block, piece
         self.terms: dict = defaultdict()
         self.terms.default_factory = self.terms.__len__
         self.ids, self.lens, self.tokens, self.bytes = [], [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         n = 0
-        for some in terms_of(text or ""):
+        for some in terms_of(text or "", self.piece):
             self.tokens.append(np.fromiter(map(self.terms.__getitem__, some), np.int32, len(some)))
             n += len(some)
         if n:
@@ -101,9 +102,9 @@ class _Builder:
         gaps = np.diff(doc, prepend=0)
         gaps[starts] = doc[starts]
         place = np.arange(len(doc)) - np.repeat(starts, df)
-        heads = np.flatnonzero(place % BLOCK == 0)
+        heads = np.flatnonzero(place % self.block == 0)
         out = {
-            "shard": shard, "n_docs": n, "n_terms": int(lens.sum()), "terms": b" ".join(names),
+            "shard": shard, "block": self.block, "n_docs": n, "n_terms": int(lens.sum()), "terms": b" ".join(names),
             "ids": np.array([x or 0 for x in self.ids], np.int64), "known": np.array([x is not None for x in self.ids], np.uint8),
             "lens": lens.astype(np.uint32), "df": df.astype(np.uint32), "last": doc[np.append(heads[1:], len(doc)) - 1].astype(np.uint32),
             "most_tf": np.maximum.reduceat(tf, heads).astype(np.uint32), "least_n": np.minimum.reduceat(lens[doc], heads).astype(np.uint32),
@@ -120,17 +121,19 @@ class _Builder:
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of INDEX, a shard each; ids are integers. Shards are runs of a task's rows, so nothing is shuffled."""
 
+    size, rules = SHARD_BYTES, (BLOCK, PIECE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, made = TaskContext.get().partitionId() << 32, _Builder()
+        shard, made = TaskContext.get().partitionId() << 32, _Builder(*rules)
         for b in batches:
             ids, texts = b.column("id").to_pylist(), b.column("text")
             for i, doc_id in enumerate(ids):
                 made.add(doc_id, texts[i].as_py())
-                if made.bytes >= SHARD_BYTES:
+                if made.bytes >= size:
                     if made.ids:
                         yield pa.RecordBatch.from_pylist([made.row(shard)], schema=_INDEX_ARROW)
                         shard += 1
-                    made = _Builder()
+                    made = _Builder(*rules)
         if made.ids:
             yield pa.RecordBatch.from_pylist([made.row(shard)], schema=_INDEX_ARROW)
 
@@ -166,10 +169,10 @@ class Shard:
         kinds = {"ids": np.int64, "known": np.uint8, "gap_width": np.uint8, "tf_width": np.uint8, "gap1": np.uint8, "tf1": np.uint8, "gap2": np.uint16, "tf2": np.uint16}
         self.a = {k: np.frombuffer(row[k], kinds.get(k, np.uint32)) for k in _ARRAYS}
         self.place = {t: k for k, t in enumerate(row["terms"].split(b" ")) if t in wanted}
-        self.n = row["n_docs"]
+        self.n, self.block = row["n_docs"], row["block"]
         self.m = corpus.m(self.a["lens"])
         self.df = self.a["df"].astype(np.int64)
-        blocks = -(-self.df // BLOCK)
+        blocks = -(-self.df // self.block)
         self.block_ends = np.cumsum(blocks)
         self.block_starts = self.block_ends - blocks
         self.bounds = impact(self.a["most_tf"], corpus.m(self.a["least_n"]))
@@ -206,7 +209,7 @@ class Shard:
         heads = [*np.flatnonzero(np.diff(blocks, prepend=-1)).tolist(), len(docs)]
         for s, e in zip(heads, heads[1:], strict=False):
             b = int(blocks[s])
-            low, high = b * BLOCK, min((b + 1) * BLOCK, int(self.df[k]))
+            low, high = b * self.block, min((b + 1) * self.block, int(self.df[k]))
             before = int(self.a["last"][self.block_starts[k] + b - 1]) if b else 0
             mine = np.cumsum(self._raw("gap", k, low, high), dtype=np.int64) + before
             at = np.minimum(np.searchsorted(mine, docs[s:e]), len(mine) - 1)

@@ -60,8 +60,7 @@ def test_ranked_is_that_of_all_documents(spark, monkeypatch, size, block, seeds,
 
 def test_bounds_reject_blocks_before_they_are_decoded(monkeypatch):
     """With a threshold that only a few documents reach, a long list is not decoded, and the best are all the same."""
-    monkeypatch.setattr(search, "BLOCK", 4)
-    made = search._Builder()
+    made = search._Builder(4, 1 << 20)
     for i in range(400):
         made.add(i, "common " * (1 + i % 3) + ("rare rare" if i % 97 == 0 else "other"))
     corpus = search.Corpus(400, sum(made.lens))
