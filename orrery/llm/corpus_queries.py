@@ -94,12 +94,12 @@ grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda
   FROM split, range(1, {collocations.LONGEST + 1}) r(k)),
 f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
 sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
-cuts AS (SELECT lang, k, phrase, a, at, array_to_string(string_split(phrase, ' ')[1 : at], ' ') AS first,
-    array_to_string(string_split(phrase, ' ')[at + 1 :], ' ') AS rest FROM f, range(1, {collocations.LONGEST}) r(at) WHERE at < k),
-valued AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, at, x.a AS l, y.a AS r,
+cuts AS (SELECT lang, k, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1 : cut], ' ') AS first,
+    array_to_string(string_split(phrase, ' ')[cut + 1 :], ' ') AS rest FROM f, range(1, {collocations.LONGEST}) r(cut) WHERE cut < k),
+valued AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r,
     CAST(CAST({collocations.SCALE} AS HUGEINT) * cuts.a // (x.a + y.a) AS BIGINT) AS score
   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.first JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.rest),
-scored AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+scored AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM scored t WHERE t.lang = s.lang AND t.k > s.k
     AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * t.a >= {collocations.NEAR} * s.a)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
