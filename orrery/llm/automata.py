@@ -6,13 +6,15 @@ which sort first. Symbols are numbers in a sorted list of names of the automaton
 
 from __future__ import annotations
 
-import io
+import struct
 from bisect import bisect_left
 
 import numpy as np
 import zstandard
 
 DEPTH = 5
+#: Before an array: bytes of a value, number of values.
+HEAD = struct.Struct("<BQ")
 
 
 def _compact(x: np.ndarray) -> np.ndarray:
@@ -134,21 +136,23 @@ class Automaton:
         return out
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
+        """The arrays one after another, each behind its number of bytes a value and of values, compressed."""
         sizes = np.array([len(x) for x in self.names], np.int64)
-        np.save(out, np.frombuffer(b"".join(self.names), np.uint8))
-        for x in [sizes, *self.arcs, *self.labels, *self.targets]:
-            np.save(out, _compact(x))
-        return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+        arrays = [np.frombuffer(b"".join(self.names), np.uint8), *[_compact(x) for x in (sizes, *self.arcs, *self.labels, *self.targets)]]
+        out = b"".join(p for x in arrays for p in (HEAD.pack(x.itemsize, len(x)), x.tobytes()))
+        return zstandard.ZstdCompressor(level=1).compress(out)
 
     @staticmethod
     def load(data: bytes) -> Automaton:
-        f = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
-        text = np.load(f).tobytes()
-        ends = np.cumsum(np.load(f), dtype=np.int64).tolist()
+        data, at, arrays = zstandard.ZstdDecompressor().decompress(data), 0, []
+        while at < len(data):
+            width, n = HEAD.unpack_from(data, at)
+            arrays.append(np.frombuffer(data, f"<u{width}", n, at + HEAD.size))
+            at += HEAD.size + width * n
+        text, (sizes, *rest) = arrays[0].tobytes(), [x.astype(np.int64) for x in arrays[1:]]
+        ends = np.cumsum(sizes).tolist()
         names = [text[s:e] for s, e in zip([0, *ends], ends, strict=False)]
-        arrays = [np.load(f).astype(np.int64) for _ in range(3 * DEPTH)]
-        return Automaton(names, arrays[:DEPTH], arrays[DEPTH : 2 * DEPTH], arrays[2 * DEPTH :])
+        return Automaton(names, rest[:DEPTH], rest[DEPTH : 2 * DEPTH], rest[2 * DEPTH :])
 
 
 def union(parts: list[Automaton]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:

@@ -40,8 +40,8 @@ from .common import materialize, shuffle_width
 LEAST, SCALE, NEAR, LONGEST = 30, 2_000_000, 80, DEPTH - 1
 #: Tokens of a run, tokens of the corpus for each range, ranges that a level sends to.
 SHARD_TOKENS, RANGE_TOKENS, FAN = 1_500_000, 1_500_000, 256
-#: Texts and sequences of the sample that cuts are taken from.
-SAMPLE_TEXTS, SAMPLE = 4_000, 50_000
+#: Texts of the sample that cuts are taken from, and its sequences for each range.
+SAMPLE_TEXTS, SAMPLE = 4_000, 20
 #: Most ranges; beyond some 4 * 10^11 tokens ranges grow instead.
 MOST_RANGES = 1 << 18
 #: Bytes of a text that are split at a time.
@@ -155,7 +155,7 @@ def cuts_of(texts: DataFrame) -> list[tuple[bytes, ...]]:
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0)
     found = some.mapInArrow(run, ", ".join(f"s{k} binary" for k in range(DEPTH))).distinct()
-    rows = found.orderBy(F.xxhash64(*found.columns)).limit(max(SAMPLE, 4 * wanted)).collect()
+    rows = found.orderBy(F.xxhash64(*found.columns)).limit(SAMPLE * wanted).collect()
     rows = sorted(tuple(bytes(x) for x in r) for r in rows)
     return sorted({rows[len(rows) * k // wanted] for k in range(1, wanted)}) if rows else []
 
