@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distributions
+
 
 def squares(scores: DataFrame, subject: str, rater: str, value: str) -> DataFrame:
     """One row: subjects, raters, and the mean squares between subjects (bms), between raters (jms) and of error (ems).
@@ -34,6 +38,55 @@ def squares(scores: DataFrame, subject: str, rater: str, value: str) -> DataFram
     )
 
 
+def squares_by(scores: DataFrame, by: list[str], subject: str, rater: str, value: str) -> DataFrame:
+    """squares of each group; a group's raters are those who scored any of its subjects. Null keys are a group."""
+    known = scores.where(F.col(value).isNotNull()).select(*by, F.col(subject).alias("__subject"), F.col(rater).alias("__rater"), F.col(value).cast("double").alias("__v"))
+
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        """Joined on equal or null names of the left side, which keeps them."""
+        renamed = right.select(*[F.col(n).alias(f"__of_{n}") for n in names], *[c for c in right.columns if c not in names])
+        on = reduce(and_, [F.col(n).eqNullSafe(F.col(f"__of_{n}")) for n in names])
+        return left.join(renamed, on).drop(*[f"__of_{n}" for n in names])
+
+    raters = known.groupBy(*by).agg(F.count_distinct("__rater").cast("double").alias("__k"))
+    full = same(known.groupBy(*by, "__subject").agg(F.count_distinct("__rater").alias("__seen")), raters, by).where("__seen = __k").select(*by, "__subject", "__k")
+    whole = same(known, full, [*by, "__subject"])
+    grand = whole.groupBy(*by).agg(F.avg("__v").alias("__g"))
+    off = same(whole, grand, by).withColumn("__d", F.col("__v") - F.col("__g"))
+    total = off.groupBy(*by).agg(F.sum(F.col("__d") * F.col("__d")).alias("__sst"), F.first("__k").alias("__k"))
+    ss = off.groupBy(*by, "__subject").agg(F.avg("__d").alias("__m")).groupBy(*by).agg(F.sum(F.col("__m") * F.col("__m")).alias("__s"), F.count("*").cast("double").alias("__n"))
+    rr = off.groupBy(*by, "__rater").agg(F.avg("__d").alias("__m")).groupBy(*by).agg(F.sum(F.col("__m") * F.col("__m")).alias("__r"))
+    n, k = F.col("__n"), F.col("__k")
+    ssb, ssr = k * F.col("__s"), n * F.col("__r")
+    return same(same(total, ss, by), rr, by).select(
+        *by, n.alias("n_subjects"), k.alias("n_raters"), (ssb / F.nullif(n - 1, F.lit(0.0))).alias("bms"),
+        (ssr / F.nullif(k - 1, F.lit(0.0))).alias("jms"),
+        ((F.col("__sst") - ssb - ssr) / F.nullif((n - 1) * (k - 1), F.lit(0.0))).alias("ems"),
+    )
+
+
+def judged(rows: DataFrame, definition: str = "absolute") -> DataFrame:
+    """Mean squares with icc, f_statistic, the 95 % interval (ci_lower_95, ci_upper_95), p_value, interpretation and decision.
+
+    All are expressions of a row. Groups of one subject or one rater have no interval and no p-value; their correlation is 0
+    and speaks against the scores.
+    """
+    n, k, f = F.col("n_subjects"), F.col("n_raters"), F.col("f_statistic")
+    d1, d2 = n - 1, (n - 1) * (k - 1)
+    bound = lambda x: F.transform(F.array(x), lambda y: (y - 1) / (y + k - 1))[0]
+    able = (d2 > 0) & f.isNotNull() & (f < float("inf"))
+    icc = F.col("icc")
+    grade = F.when(icc >= 0.9, "excellent").when(icc >= 0.75, "good").when(icc >= 0.5, "moderate").otherwise("poor")
+    out = point(rows, definition)
+    # Degrees below one give no interval; the expressions still need some.
+    e1, e2 = F.greatest(d1, F.lit(1.0)), F.greatest(d2, F.lit(1.0))
+    return out.select(
+        "*", F.when(able, bound(f / distributions.f_quantile(F.lit(0.975), e1, e2))).alias("ci_lower_95"),
+        F.when(able, bound(f / distributions.f_quantile(F.lit(0.025), e1, e2))).alias("ci_upper_95"),
+        F.when(d2 > 0, distributions.f_sf(f, e1, e2)).alias("p_value"), grade.alias("interpretation"),
+    ).withColumn("decision", F.when(F.col("interpretation") == "excellent", "single-run").when(F.col("interpretation") == "good", "multi-run").otherwise("reject"))
+
+
 def point(rows: DataFrame, definition: str = "absolute") -> DataFrame:
     """icc and f_statistic of the mean squares; the absolute definition counts differences between raters as error."""
     n, k, b, j, e = (F.col(c) for c in ("n_subjects", "n_raters", "bms", "jms", "ems"))
