@@ -71,20 +71,19 @@ def judged(rows: DataFrame, definition: str = "absolute") -> DataFrame:
     All are expressions of a row. Groups of one subject or one rater have no interval and no p-value; their correlation is 0
     and speaks against the scores.
     """
-    n, k, f = F.col("n_subjects"), F.col("n_raters"), F.col("f_statistic")
-    d1, d2 = n - 1, (n - 1) * (k - 1)
-    bound = lambda x: F.transform(F.array(x), lambda y: (y - 1) / (y + k - 1))[0]
+    n, k, f, icc = (F.col(c) for c in ("n_subjects", "n_raters", "f_statistic", "icc"))
+    d2 = (n - 1) * (k - 1)
     able = (d2 > 0) & f.isNotNull() & (f < float("inf"))
-    icc = F.col("icc")
-    grade = F.when(icc >= 0.9, "excellent").when(icc >= 0.75, "good").when(icc >= 0.5, "moderate").otherwise("poor")
-    out = point(rows, definition)
     # Degrees below one give no interval; the expressions still need some.
-    e1, e2 = F.greatest(d1, F.lit(1.0)), F.greatest(d2, F.lit(1.0))
-    return out.select(
-        "*", F.when(able, bound(f / distributions.f_quantile(F.lit(0.975), e1, e2))).alias("ci_lower_95"),
-        F.when(able, bound(f / distributions.f_quantile(F.lit(0.025), e1, e2))).alias("ci_upper_95"),
-        F.when(d2 > 0, distributions.f_sf(f, e1, e2)).alias("p_value"), grade.alias("interpretation"),
-    ).withColumn("decision", F.when(F.col("interpretation") == "excellent", "single-run").when(F.col("interpretation") == "good", "multi-run").otherwise("reject"))
+    e1, e2 = "greatest(n_subjects - 1, 1D)", "greatest((n_subjects - 1) * (n_raters - 1), 1D)"
+    grade = F.when(icc >= 0.9, "excellent").when(icc >= 0.75, "good").when(icc >= 0.5, "moderate").otherwise("poor")
+    decision = F.when(icc >= 0.9, "single-run").when(icc >= 0.75, "multi-run").otherwise("reject")
+    out = point(rows, definition).select(
+        "*", F.when(able, f / distributions.f_quantile("0.975D", e1, e2)).alias("__low"), F.when(able, f / distributions.f_quantile("0.025D", e1, e2)).alias("__high"),
+        F.when(d2 > 0, distributions.f_sf("f_statistic", e1, e2)).alias("p_value"), grade.alias("interpretation"), decision.alias("decision"),
+    )
+    bounds = [((F.col(c) - 1) / (F.col(c) + k - 1)).alias(name) for c, name in (("__low", "ci_lower_95"), ("__high", "ci_upper_95"))]
+    return out.select("*", *bounds).drop("__low", "__high")
 
 
 def point(rows: DataFrame, definition: str = "absolute") -> DataFrame:
