@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators.facts import FACTS
 from ..operators.panels import upserted
+from . import versions
 
 SCHEMAS = {
     "universe": "ticker string, cik bigint, company_name string, sic int, naics string, exchange string, tier string, sector_code string, expected_rho int, first_10k_date date, last_10k_date date, n_pre_shock_quarters int, consumer_flag boolean",
@@ -115,25 +116,20 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """Put a folder of JSON lines in the place of another: written whole beside it, then moved; readers never see a part."""
-    spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").json(new)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    if not fs.rename(at(new), at(path)):
-        raise OSError(f"{new} can't be moved to {path}")
-    fs.delete(at(old), True)
+    """Make df the records at ``path``, whole: readers find the old ones or the new ones, at any moment (see ``versions``)."""
+    versions.replace(df, path, "json")
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The records at ``path`` as they stand; a plain folder of JSON lines is read as it is."""
+    if versions.current(spark, path) is None and versions.exists(spark, path):
+        return spark.read.schema(schema).json(path)
+    return versions.read(spark, path, schema)
 
 
 def merge_records(new: DataFrame, path: str, key: str) -> None:
     """The records at ``path`` less those of the new keys, and the new ones, in the place of the old."""
-    spark = new.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    replace_json(upserted(spark.read.schema(new.schema).json(path), new, [key]) if there else new, path)
+    replace_json(upserted(read_records(new.sparkSession, path, new.schema), new, [key]), path)
 
 
 def write_marked(df: DataFrame, path: str, key: str, text_col: str = "text") -> None:

@@ -69,8 +69,12 @@ def test_records_are_replaced_whole_and_merged_by_key(spark, tmp_path):
     path, schema = f"file://{tmp_path}/qa", "ticker string, status string"
     tables.merge_records(spark.createDataFrame([("A", "failed"), ("B", "ok")], schema), path, "ticker")
     tables.merge_records(spark.createDataFrame([("A", "ok"), ("C", "ok")], schema), path, "ticker")
-    assert {tuple(r) for r in spark.read.schema(schema).json(path).collect()} == {("A", "ok"), ("B", "ok"), ("C", "ok")}
+    assert {tuple(r) for r in tables.read_records(spark, path, schema).collect()} == {("A", "ok"), ("B", "ok"), ("C", "ok")}
     assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["qa"]
+    plain = f"file://{tmp_path}/plain"
+    spark.createDataFrame([("A", "old"), ("D", "old")], schema).write.json(plain)
+    tables.merge_records(spark.createDataFrame([("A", "new")], schema), plain, "ticker")
+    assert {tuple(r) for r in tables.read_records(spark, plain, schema).collect()} == {("A", "new"), ("D", "old")}
 
 
 def test_marked_texts_are_written_by_key(spark, tmp_path):
