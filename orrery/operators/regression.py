@@ -141,20 +141,30 @@ def sample(panel: DataFrame, flag: str | None) -> DataFrame:
 
 def did(panel: DataFrame, score: str, outcome: str = "ln_revenue", unit: str = "ticker", period: str = "year_quarter", draws: int = 999) -> DataFrame:
     """beta, se, p, n_clusters and n_obs of post times the standardised score; no row for too few units."""
-    rows = panel.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
-    if rows.select(unit).distinct().limit(MIN_CLUSTERS).count() < MIN_CLUSTERS:
-        return panel.sparkSession.createDataFrame([], "beta double, se double, n_clusters long, n_obs long, p double")
-    rows = z_score(rows, score, "__z").select(unit, period, F.col(outcome).alias("y"), (F.col("post") * F.col("__z")).alias("x"))
-    out = within(rows, unit, period, ["y", "x"])
-    p = bootstrap_p(cluster_scores(out, unit), slope(out), unit, draws)
-    return clustered_fit(out, unit, period).join(F.broadcast(p))
-
-
-def mechanisms(panel: DataFrame, score: str, outcomes: tuple[str, ...] = OUTCOMES, **rules) -> DataFrame:
-    """A fit for each outcome that the panel has."""
-    out = None
-    for name in outcomes:
-        if name in panel.columns:
-            one = did(panel, score, name, **rules).withColumn("outcome", F.lit(name))
-            out = one if out is None else out.unionByName(one)
-    return out
+    return mechanisms(panel, score, (outcome,), unit=unit, period=period, draws=draws).drop("outcome")
+
+
+def mechanisms(
+    panel: DataFrame, score: str, outcomes: tuple[str, ...] = OUTCOMES, unit: str = "ticker", period: str = "year_quarter", draws: int = 999
+) -> DataFrame:
+    """A fit for each outcome that the panel has, all of them at once."""
+    from .fits import Fit, Term, estimate
+
+    asked = [Fit(name, name, (Term("x", (score,), "post"),)) for name in outcomes if name in panel.columns]
+    found = estimate(panel, asked, unit, period, draws, min_clusters=MIN_CLUSTERS).coefficients.where("not dropped")
+    return found.select("beta", "se", "n_clusters", "n_obs", "p", F.col("fit").alias("outcome"))
+
+
+def three_period(
+    panel: DataFrame, score: str, early: str, advanced: str, outcome: str = "ln_revenue", unit: str = "ticker", period: str = "year_quarter", draws: int = 999
+) -> DataFrame:
+    """(term, beta, se, p): both periods' coefficients of one fit, each with the bootstrap's p-value of a fit of its own.
+
+    ``early`` and ``advanced`` are columns that are 1 in their periods.
+    """
+    from .fits import Fit, Term, estimate
+
+    a, b = Term("early", (score,), early), Term("advanced", (score,), advanced)
+    found = estimate(panel, [Fit("both", outcome, (a, b)), Fit("early", outcome, (a,)), Fit("advanced", outcome, (b,))], unit, period, draws).coefficients
+    alone = found.where("fit <> 'both'").select("term", "p")
+    return found.where("fit = 'both'").select("term", "beta", "se").join(F.broadcast(alone), "term")

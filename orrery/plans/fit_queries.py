@@ -200,3 +200,27 @@ def effective_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = Fit("exposure", "ln_total", (Term("exposure", ("exposure",), "post"),))
     found = fits.estimate(customer_panel(spark, sf_dir), [one], "firm", "quarter", 0).coefficients
     return found.select((F.bround("beta", 6) + 0.0).alias("beta"), F.bround("se", 6).alias("se"), "n_clusters", "n_obs")
+
+
+_STAGES = (("early", f"quarter >= '{SHOCK}' AND quarter < '2000Q1'"), ("advanced", "quarter >= '2000Q1'"))
+_P_SQL = f"""
+signs AS (SELECT firm, draw, CASE WHEN left(md5(firm || '-' || draw), 1) < '8' THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT firm FROM design), range(1, {DRAWS + 1}) r(draw)),
+drawn AS (SELECT scores.fit, draw, sum(sign * s) AS s FROM scores JOIN signs ON signs.firm = scores.firm GROUP BY ALL)
+SELECT beta.fit AS term, round_even(any_value(beta), 6) + 0.0 AS beta, round_even(any_value(se), 6) AS se, round_even(avg(CAST(abs(s * inv.v) >= abs(beta) AS DOUBLE)), 6) AS p
+FROM drawn JOIN inv ON inv.fit = drawn.fit JOIN (SELECT fit, beta, se FROM estimates) beta ON beta.fit = drawn.fit GROUP BY beta.fit"""
+
+
+@query(
+    "period_p_values",
+    f"""WITH RECURSIVE {_PANEL_SQL}, z AS (SELECT *, (rho - avg(rho) OVER ()) / stddev_samp(rho) OVER () AS z FROM panel),
+design AS ({" UNION ALL ".join(f"SELECT '{name}' AS fit, firm, quarter, ln_total AS y, CAST({when} AS DOUBLE) * z AS x1 FROM z" for name, when in _STAGES)}),
+{_estimates_sql(1, 40)}, {_P_SQL}""",
+)
+def period_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of each period after the shock by itself, from one table of draws."""
+    panel = customer_panel(spark, sf_dir)
+    for name, when in _STAGES:
+        panel = panel.withColumn(f"is_{name}", F.expr(when).cast("int"))
+    asked = [Fit(name, "ln_total", (Term(name, ("rho",), f"is_{name}"),)) for name, _ in _STAGES]
+    found = fits.estimate(panel, asked, "firm", "quarter", DRAWS).coefficients
+    return found.select("term", (F.bround("beta", 6) + 0.0).alias("beta"), F.bround("se", 6).alias("se"), F.bround("p", 6).alias("p"))

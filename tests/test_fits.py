@@ -86,6 +86,18 @@ def test_all_fits_are_those_of_dummies(spark, rows, monkeypatch):
     assert alone[0]["p"] is None
 
 
+def test_three_periods_have_p_values_of_separate_fits(spark, rows):
+    from orrery.operators import regression
+
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("early", ((F.col("period") >= 5) & (F.col("period") < 7)).cast("int"))
+    got = {r["term"]: r for r in regression.three_period(df, "rho", "early", "late", "y", "unit", "period", 99).collect()}
+    a, b = Term("early", ("rho",), "early"), Term("advanced", ("rho",), "late")
+    both = fits.estimate(df, [Fit("f", "y", (a, b))], "unit", "period", 0).coefficients.collect()
+    alone = fits.estimate(df, [Fit("a", "y", (a,)), Fit("b", "y", (b,))], "unit", "period", 99).coefficients.collect()
+    assert {r["term"]: r["beta"] for r in both} == pytest.approx({k: r["beta"] for k, r in got.items()})
+    assert {r["term"]: r["p"] for r in alone} == {k: r["p"] for k, r in got.items()}
+
+
 def test_what_effects_explain_is_dropped(spark, rows):
     df = spark.createDataFrame(rows, COLUMNS).withColumn("always", F.lit(1))
     got = fits.estimate(df, [Fit("f", "y", (Term("fixed", ("rho",), "always"), Term("shock", (), "post"), Term("rho", ("rho",), "post")))], "unit", "period", 0)
