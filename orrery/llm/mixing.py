@@ -4,7 +4,9 @@ Each source gets a target: its weight's share of the mix, at most ``cap`` times
 until no target is above its cap. A document starts with target / size of its source as its copies; the integral part
 is certain, the rest is a fractional copy. Two fractional copies are paired: words move from one to the other, at random
 in a direction and by an amount that leave each one's expectation as it was, until one of them is integral. A pair's
-words stay the same in sum, so a source takes its target but for the last fractional copy.
+words stay the same in sum, so a source takes its target but for the last fractional copy, which may be that of a long document.
+What it leaves over or lacks is settled in change: a few documents of each order of size give or take a copy, from the longest
+on, wherever that brings the source nearer to its target, so that what remains is less than a short document has.
 
 Documents meet in cells: a cell is a source and a hash of the id, so that it doesn't depend on how the table is
 partitioned and holds a bounded number of rows of the largest source. Each cell leaves one fractional copy at most; cells
@@ -31,6 +33,8 @@ CELL, GROUP = 20_000, 16
 BROADCAST_SOURCES = 20_000
 #: Rows of (id, size, place, copies) up to which they are broadcast, at some 60 bytes each.
 BROADCAST_COPIES = 500_000
+#: Documents of a source, direction and order of size that are offered as change.
+CHANGE = 4
 #: A fraction this close to an integer is that integer.
 EPS = 1e-9
 
@@ -189,11 +193,49 @@ def mix(
     chance = F.pmod(F.xxhash64("row", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
     last = left.withColumn("whole", F.col("whole") + (chance < F.col("part")).cast("long")).withColumn("part", F.lit(0.0))
     taken = done.unionByName(last).select("row", F.col("whole").alias("copies"))
-    return rows.join(taken, "row").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "place"
+    made = materialize(rows.join(taken, "row").select("row", "id", "source", "size", "source_size", "target", "copies", "place"), "drawn")
+    # A row of id and size is told by its own number; few documents change.
+    moved = materialize(change(made, cap), "change")
+    few = moved.count() <= BROADCAST_COPIES
+    moved = moved.withColumnRenamed("row", "__row")
+    settled = made.join(F.broadcast(moved) if few else moved, F.col("row") == F.col("__row"), "left")
+    copies = F.col("copies") + F.coalesce(F.col("step"), F.lit(0))
+    return settled.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place"
     )
 
 
+def _give(table: pa.Table) -> pa.Table:
+    """Which of a source's documents give or take a copy: from the longest on, where it brings the source nearer to its target."""
+    rows = sorted(table.to_pylist(), key=lambda r: (-r["size"], r["step"], r["row"]))
+    off, used, out = rows[0]["off"], set(), []
+    for r in rows:
+        if r["row"] not in used and abs(off - r["step"] * r["size"]) < abs(off):
+            off -= r["step"] * r["size"]
+            used.add(r["row"])
+            out.append(r)
+    return pa.table({"row": pa.array([r["row"] for r in out], pa.int64()), "step": pa.array([r["step"] for r in out], pa.int64())})
+
+
+def change(made: DataFrame, cap: float) -> DataFrame:
+    """(row, step): documents with a copy more or less, so that each source comes near its target.
+
+    Of each source, direction and power of two of the size, CHANGE documents are offered, picked by a hash, which is all that a
+    source's task gets.
+    """
+    per = made.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")).where("off <> 0")
+    steps = F.filter(
+        F.array(F.when(F.col("copies") + 1 <= cap, F.lit(1).cast("long")), F.when(F.col("copies") >= 1, F.lit(-1).cast("long"))), lambda x: x.isNotNull()
+    )
+    offered = made.where("size > 0").select("row", "source", "size", F.explode(steps).alias("step"))
+    offered = offered.withColumn("order", F.length(F.bin("size")))
+    best = Window.partitionBy("source", "step", "order").orderBy(F.xxhash64("row", F.lit(3)), "row")
+    some = offered.withColumn("at", F.row_number().over(best)).where(F.col("at") <= CHANGE)
+    named = per.withColumnRenamed("source", "__source")
+    asked = some.join(named, F.col("source").eqNullSafe(F.col("__source"))).select("row", "source", "size", "step", "off")
+    return asked.groupBy("source").applyInArrow(_give, "row long, step long")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
