@@ -4,14 +4,16 @@ The kernel of two strings sums over all common subsequences of ORDER bytes, each
 of the spans that it takes up in both, so that gaps and inserted characters cost likeness but don't end it. Normalised and
 raised to POWER it is the kernel of two windows; the kernel of two texts is the sum over all pairs of windows of their
 different words. A text is mapped by its kernel values with landmarks, strings that toxic training texts share and clean
-ones lack, and the inverse root of the landmarks' own kernel matrix (Nyström). The machine sees two scalings of the map, by
-the fourth root of the text's kernel with itself, so that the fortieth repeat counts less than the first, and by the root of
-its number of words. It is linear with squared hinge loss, trained also on toxic texts with characters put into their
-landmarks; a sigmoid fitted across folds, on values of machines that didn't see the
-text, turns its values into probabilities.
-
-Words are runs of other characters than `[\\x20\\x09-\\x0D]` with A-Z in lower case, as UTF-8 bytes after a mark of their
-beginning; three or more one-byte words in a row are taken together as one more word. Words of more than WINDOW bytes are cut
+ones lack, and the inverse root of the landmarks' own kernel matrix (Nyström). The machine sees two scalings of
+the kernel values, by the fourth root of the text's kernel with itself, so that the fortieth repeat counts less than the first,
+and by the root of its number of words; and that number itself, as long texts have such values by chance. It is linear with
+squared hinge loss and the norm of the Nyström map, and no weight of a kernel value is negative: likeness to a landmark never
+lowers a score. It is trained also on toxic texts with characters put into their landmarks, and on short texts: single telling
+words among a few others, and a few words of clean texts. A sigmoid fitted across folds, on values of machines that didn't see
+the text, turns its values into probabilities.
+
+Words are runs of other characters than `[\\x20\\x09-\\x0D]` with A-Z in lower case and without ASCII punctuation, as UTF-8 bytes
+after a mark of their beginning; three or more one-byte words in a row are taken together as one more word. Words of more than WINDOW bytes are cut
 into overlapping pieces. Windows are of a landmark's length or up to SLACK longer. What adds next to nothing is left out:
 words with fewer than LETTERS of a landmark's distinct bytes, or whose kernel with it is under FLOOR of the landmark's own.
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, appended
+from .common import LOWER, appended, slices
 
 ORDER, DECAY, FLOOR, LETTERS, POWER = 3, 0.8, 0.5, 0.7, 3
 #: Bytes of a word that are compared at once, and by how many a window may be longer than a landmark.
@@ -50,14 +52,21 @@ TELLING = 3.0
 THRESHOLD, RIDGE, FOLDS = 0.7, 1e-4, 4
 #: Weight in training of a toxic text's copy whose landmarks have a character put in.
 DISGUISED = 1.0
+#: Weight in training of all short texts of a kind, by that of all texts of the kind.
+LONE = 1.0
+
+#: Bytes of texts that are scored at a time.
+BATCH_BYTES = 8 << 20
 
 #: What stands before each word, so that its beginning counts as a byte of its own.
 BEGIN = b"\x02"
 _SPELT = re.compile(rb"(?<![^ ])[^ ](?: [^ ]){2,}(?![^ ])")
+#: ASCII punctuation, which is left out of words.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words_of_text(text: str | None) -> set[bytes]:
-    words = (text or "").encode().translate(LOWER).split()
+    words = (text or "").encode().translate(LOWER, PUNCTUATION).split()
     found = {BEGIN + w for w in words}
     for m in _SPELT.finditer(b" ".join(words)):
         found.add(BEGIN + m[0].replace(b" ", b""))
@@ -99,6 +108,8 @@ class Landmarks:
         gram = (both / np.sqrt(np.outer(self.own, self.own))) ** POWER + 1e-3 * np.eye(len(strings))
         value, vector = np.linalg.eigh(gram)
         self.root = vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T
+        # The norm of a machine in terms of its weights on kernel values: the map's root, undone twice.
+        self.gram = vector @ np.diag(np.maximum(value, 1e-6)) @ vector.T
 
     @staticmethod
     def _mask(rows: np.ndarray) -> np.ndarray:
@@ -148,7 +159,13 @@ class Landmarks:
         return np.bincount(at, weights=np.minimum(like, 1.0) ** POWER, minlength=len(words))
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
-        sets = [words_of_text(t) for t in texts]
+        """The Nyström map of texts in both scalings."""
+        n = len(self.strings)
+        values = self.values([words_of_text(t) for t in texts])
+        return np.hstack([values[:, :n] @ self.root, values[:, n : 2 * n] @ self.root])
+
+    def values(self, sets: list[set[bytes]]) -> np.ndarray:
+        """What the machine sees of sets of words: kernel values with the landmarks in both scalings, and two columns of the size."""
         every = list(set().union(*sets)) if sets else []
         places, values = self.of_words(every)
         number = {every[k]: n for n, k in enumerate(places.tolist())}
@@ -157,10 +174,9 @@ class Landmarks:
             own = [number[w] for w in s if w in number]
             if own:
                 sums[k] = values[own].sum(axis=0)
-        mapped = sums @ self.root
-        length = np.sqrt((mapped**2).sum(axis=1, keepdims=True))
+        length = np.sqrt(((sums @ self.root) ** 2).sum(axis=1, keepdims=True))
         size = np.array([max(len(s), 1) for s in sets])[:, None]
-        return np.hstack([mapped / np.sqrt(np.maximum(length, 1e-9)), mapped / np.sqrt(size)])
+        return np.hstack([sums / np.sqrt(np.maximum(length, 1e-9)), sums / np.sqrt(size), np.log1p(size) / 5, np.sqrt(size) / 30])
 
 
 def _likelihood_ratio(t: float, c: float, nt: int, nc: int) -> float:
@@ -256,20 +272,59 @@ def _disguised(text: str | None, strings: list[bytes], salt: int) -> str:
     return shape.sub(put, text or "")
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | None = None) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps; y is 1 or -1."""
+def _few(words: set[bytes], salt: bytes, n: int = 4) -> set[bytes]:
+    """Up to n of the words, by their hashes."""
+    return set(sorted(words, key=lambda w: (xxhash.xxh32_intdigest(w + salt), w))[:n])
+
+
+def _lone(words: set[bytes], strings: list[bytes]) -> list[set[bytes]]:
+    """For each landmark that a word holds, one such word among a few words that hold none."""
+    holders = {t: min((w for w in words if t in w), default=None) for t in strings}
+    rest = {w for w in words if not any(t in w for t in strings)}
+    return [{w} | _few(rest, t) for t, w in holders.items() if w is not None]
+
+
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, norm: np.ndarray, ridge: float | None = None) -> np.ndarray:
+    """Weights and bias of a machine with squared hinge loss, none of whose weights on kernel values is negative, by Newton steps
+    on those that aren't held at zero; y is 1 or -1, ``norm`` the matrix of the norm of these weights. The last two columns
+    of x, of a text's size, have weights of any sign.
+
+    So no kernel value with a landmark of toxic texts ever lowers a text's value.
+    """
     z = np.c_[x, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     weight = weight / weight.sum()
-    keep = np.full(len(w), RIDGE if ridge is None else ridge)
-    keep[-1] = 1e-8
-    for _ in range(50):
+    keep = np.zeros((len(w), len(w)))
+    keep[:-3, :-3] = norm * (RIDGE if ridge is None else ridge)
+    keep[[-3, -2], [-3, -2]], keep[-1, -1] = RIDGE, 1e-8
+    free = np.ones(len(w), bool)
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.maximum(1 - y * (z @ w), 0) ** 2).sum() + w @ keep @ w)
+
+    for _ in range(200):
         inside = y * (z @ w) < 1
         a = z[inside] * weight[inside, None]
-        new = np.linalg.solve(z[inside].T @ a + np.diag(keep), a.T @ y[inside])
-        if np.abs(new - w).max() < 1e-9:
+        hess, right = z[inside].T @ a + keep, a.T @ y[inside]
+        # A weight at zero is let go where that lowers the loss.
+        free = (w > 0) | (right - hess @ w > 1e-12)
+        free[-3:] = True
+        new = np.zeros(len(w))
+        new[free] = np.linalg.solve(hess[np.ix_(free, free)] + 1e-12 * np.eye(free.sum()), right[free])
+        # Along the step no weight goes below zero, and the loss falls.
+        before, share = loss(w), 1.0
+        while share > 1e-6:
+            step = w + share * (new - w)
+            step[:-3] = np.maximum(step[:-3], 0)
+            if loss(step) < before:
+                break
+            share /= 2
+        else:
+            break
+        done = np.abs(step - w).max() < 1e-9
+        w = step
+        if done:
             break
-        w = new
     return w
 
 
@@ -303,27 +358,38 @@ class Model:
             return
         self.landmarks = Landmarks(strings)
         disguised = [_disguised(t, strings, k) for k, t in enumerate(toxic)]
-        x = self.landmarks.of_texts([*toxic, *disguised, *clean])
-        y = np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean))]
+        sets = [words_of_text(t) for t in [*toxic, *disguised, *clean]]
+        bad, good = sets[: len(toxic)], sets[2 * len(toxic) :]
+        # Short texts: each telling word of a toxic text among a few of its other words, and as few words of clean ones.
+        lone = [(k, short) for k, s in enumerate(bad) for short in _lone(s, strings)]
+        plain = [_few(s, b"") for s in good]
+        x = self.landmarks.values([*sets, *[s for _, s in lone], *plain])
+        y = np.r_[np.ones(2 * len(toxic)), -np.ones(len(clean)), np.ones(len(lone)), -np.ones(len(plain))]
         # Weights undo the sampling: the sigmoid gives the share of toxic texts among all labelled ones.
-        own = n_toxic / len(toxic)
-        weight = np.r_[np.full(len(toxic), own), np.full(len(toxic), DISGUISED * own), np.full(len(clean), n_clean / len(clean))]
-        # A text and its copy are in one fold; the sigmoid sees values of machines that didn't see the text.
-        fold = np.r_[np.arange(len(toxic)), np.arange(len(toxic)), np.arange(len(clean))] % FOLDS
+        own, other = n_toxic / len(toxic), n_clean / len(clean)
+        weight = np.r_[
+            np.full(len(toxic), own), np.full(len(toxic), DISGUISED * own), np.full(len(clean), other),
+            np.full(len(lone), LONE * n_toxic / max(len(lone), 1)), np.full(len(plain), LONE * other),
+        ]
+        # A text and what is made of it are in one fold; the sigmoid sees values of machines that didn't see the text.
+        t, c = np.arange(len(toxic)), np.arange(len(clean))
+        fold = np.r_[t, t, c, np.array([k for k, _ in lone], int), c] % FOLDS
         even = weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
         value = np.empty(len(y))
+        norm = np.kron(np.eye(2), self.landmarks.gram)
         for k in range(FOLDS):
             own = fold == k
-            w = machine(x[~own], y[~own], even[~own])
+            w = machine(x[~own], y[~own], even[~own], norm)
             value[own] = x[own] @ w[:-1] + w[-1]
-        self.w = machine(x, y, even)
-        real = ~((y > 0) & (np.arange(len(y)) >= len(toxic)))
+        self.w = machine(x, y, even, norm)
+        real = np.zeros(len(y), bool)
+        real[: len(toxic)] = real[2 * len(toxic) : 2 * len(toxic) + len(clean)] = True
         self.a, self.b = sigmoid_of(value[real], y[real], weight[real])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.landmarks is None:
             return np.full(len(texts), self.share)
-        s = self.landmarks.of_texts(texts) @ self.w[:-1] + self.w[-1]
+        s = self.landmarks.values([words_of_text(t) for t in texts]) @ self.w[:-1] + self.w[-1]
         return 1 / (1 + np.exp(-np.clip(self.a * s + self.b, -30, 30)))
 
 
@@ -364,10 +430,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     source = kept if text_col in names else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
-                found = model.scores(part.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(found, pa.float64())], names=[*names, out_col])
+        for b in slices(batches, text_col, BATCH_BYTES):
+            found = model.scores(b.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(found, pa.float64())], names=[*names, out_col])
 
     return source.mapInArrow(run, schema)

@@ -97,3 +97,55 @@ def test_nothing_to_learn(spark):
     assert [r.score for r in tx.score(docs, model).collect()] == [0, 0]
     assert tx.score(docs.limit(0), model).count() == 0
     assert tx.Landmarks([b"abcd"]).of_texts([None, "", "x" * 500 + "abcd" + "y" * 500]).shape == (3, 2)
+
+
+PLAIN = ["you are an idiot", "what a moron", "trash", "pathetic loser", "you worthless clown"]
+DISGUISED = ["i.d.i.o.t", "mo*ron", "id-iot", "what an id-iot you are", "TRA_SH"]
+
+
+@pytest.mark.parametrize("folder,caught,least", [("sf0.01", 0.7, 0.5), ("sf0.1", 0.88, tx.THRESHOLD)])
+def test_given_tables(spark, folder, caught, least):
+    """One-sentence insults, plain and disguised, are toxic, or with some 30 toxic texts to learn from likelier so than not; clean
+    sentences and the empty text are not."""
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{folder}"):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = tx.fit(docs, labels)
+    clean = model.scores(["The weather is nice today", "", None, "the of and with"])
+    assert max(clean) < 0.1
+    assert min(model.scores(PLAIN)) >= least, model.scores(PLAIN)
+    assert min(model.scores(DISGUISED)) >= least, model.scores(DISGUISED)
+    rows = docs.join(labels, "doc_id").where(tx.is_held_out("doc_id")).select("text", "toxic").collect()
+    found = model.scores([r["text"] for r in rows]) >= tx.THRESHOLD
+    bad = np.array([r["toxic"] == 1 for r in rows])
+    assert found[bad].mean() >= caught and found[~bad].mean() <= 0.005
+
+
+def test_more_insults_never_lower_a_value():
+    rng = random.Random(9)
+    words = ["ka", "lo", "mi", "ten", "ru", "so"]
+    toxic = [" ".join([rng.choice(words) for _ in range(20)] + [rng.choice(["blarghead", "snivwit"])]) for _ in range(60)]
+    model = tx.Model(toxic, [" ".join(rng.choice(words) for _ in range(20)) for _ in range(200)], 60, 200)
+    for t in ("", "ka lo", "blarghead mi", " ".join(words * 9)):
+        for w in ("blarghead", "sniv-wit", "blarg"):
+            # Of the same number of words, the one with the insult scores no less.
+            assert model.scores([t + " " + w])[0] >= model.scores([t + " " + "zzz"])[0] - 1e-12
+
+
+def test_machine_keeps_weights_from_falling_below_zero():
+    rng = np.random.default_rng(0)
+    x = np.c_[rng.random((300, 4)), rng.random((300, 2))]
+    y = np.where(x[:, 0] - 2 * x[:, 1] + x[:, 4] > 0.3, 1.0, -1.0)
+    w = tx.machine(x, y, np.ones(300), np.eye(4))
+    assert (w[:4] >= 0).all() and w[0] > 0 and w[1] == 0
+
+
+def test_ties_repeats_and_equal_texts(spark):
+    """A repeated id with other texts counts each; equal texts have equal scores; unlabelled rows are scored."""
+    rows = corpus(400, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, "snivwit"), (3, "snivwit"), (7000, "snivwit")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(14, 0)], "doc_id long, toxic int")
+    scored = tx.score(docs, tx.fit(docs, labels)).collect()
+    assert len(scored) == 403 and len({r.score for r in scored if r.text == "snivwit"}) == 1
