@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,12 +12,12 @@ from pyspark.sql.window import Window
 RANGES = 128
 
 
-def exact_percentiles(rows: DataFrame, group: str, value: str, shares: list[float], out: str = "percentiles") -> DataFrame:
-    """(group, out): an array with the percentile of each share, linearly interpolated between neighbours in rank.
+def ordered(rows: DataFrame, group: str, value: str, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """(g, n, m): of each group its number of values, and a map from 0, 1, .. to the values at the ranks, which count from 0.
 
-    Different values are counted first, so ties take one row. A sketch of bounded size gives each group its cuts; counts over
-    the ranges between them tell where a rank is, and only those ranges are sorted. Null values don't count, and a group
-    without others has no row; a null group is a group.
+    ``ranks`` makes them from n. Different values are counted first, so ties take one row. A sketch of bounded size gives each
+    group its cuts; counts over the ranges between them tell where a rank is, and only those ranges are sorted. Null values don't
+    count, and a group without others has no row; a null group is a group.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
     steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
@@ -25,9 +27,7 @@ def exact_percentiles(rows: DataFrame, group: str, value: str, shares: list[floa
     sizes = placed.groupBy("g", "bin").agg(F.sum("c").alias("size"))
     up_to = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sizes.withColumn("before", F.coalesce(F.sum("size").over(up_to), F.lit(0))).withColumn("n", F.sum("size").over(Window.partitionBy("g")))
-    at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
-    ranks = F.array(*[x for a in at for x in (F.floor(a), F.ceil(a))])
-    ranked = ranked.withColumn("ranks", ranks).where(
+    ranked = ranked.withColumn("ranks", F.array(*ranks(F.col("n")))).where(
         F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
     ).select(F.col("g").alias("rg"), F.col("bin").alias("rb"), "before", "n", "ranks")
     inside = Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -36,7 +36,13 @@ def exact_percentiles(rows: DataFrame, group: str, value: str, shares: list[floa
     )
     found = near.select("g", "n", "v", F.posexplode("ranks").alias("k", "r"), (F.col("end") - F.col("c")).alias("start"), "end")
     found = found.where((F.col("r") >= F.col("start")) & (F.col("r") < F.col("end")))
-    ends = found.groupBy("g").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return found.groupBy("g").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+
+
+def exact_percentiles(rows: DataFrame, group: str, value: str, shares: list[float], out: str = "percentiles") -> DataFrame:
+    """(group, out): an array with the percentile of each share, linearly interpolated between neighbours in rank."""
+    at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
+    ends = ordered(rows, group, value, lambda _: [x for a in at for x in (F.floor(a), F.ceil(a))])
 
     def between(k: int, a):
         low, high = F.col("m")[F.lit(2 * k)], F.col("m")[F.lit(2 * k + 1)]
