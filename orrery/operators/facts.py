@@ -216,16 +216,22 @@ def financial_panel(rows: DataFrame) -> DataFrame:
 
 
 def rpo_panel(rows: DataFrame) -> DataFrame:
-    """Of each ticker the first tier that has any quarter; a tier of two tags is their instant sum."""
-    series = stock_series(rows.where(F.col("tag").isin(*[t for tier in RPO_TIERS for t in tier])))
-    out = None
-    for k, tier in enumerate(RPO_TIERS):
-        one = series.where(F.col("tag") == tier[0]) if len(tier) == 1 else instant_sum(series, *tier, "+".join(tier))
-        one = one.withColumn("tier", F.lit(k + 1))
-        out = one if out is None else out.unionByName(one)
-    return lowest_tier(out, "ticker").select(
-        "ticker", "period_end", "fiscal_quarter", "fiscal_year", F.col("val").alias("rpo_value"), F.col("tag").alias("tag_used")
-    )
+    """Of each ticker the first tier that has any quarter; a tier of two tags is their instant sum.
+
+    All tiers in one pass: a quarter of a tier counts if it has as many tags as the ticker has in the tier at all. A ticker's rows
+    are few and meet once.
+    """
+    of_tag = F.create_map(*[
+        x for k, tier in enumerate(RPO_TIERS) for p, t in enumerate(tier)
+        for x in (F.lit(t), F.struct(F.lit(k + 1).alias("tier"), F.lit(p).alias("place"), F.lit("+".join(tier)).alias("name")))
+    ])
+    wanted = rows.where(F.col("tag").isin(*[t for tier in RPO_TIERS for t in tier])).repartition("ticker")
+    marked = stock_series(wanted).withColumn("spec", F.element_at(of_tag, F.col("tag"))).select("*", "spec.*")
+    marked = marked.withColumn("tags", F.size(F.collect_set("tag").over(Window.partitionBy("ticker", "tier"))))
+    dates = [F.min_by(c, "place").alias(c) for c in ("period_end", "fiscal_quarter", "fiscal_year")]
+    sums = marked.groupBy("ticker", "tier", "name", "label", "tags").agg(F.count("*").alias("n"), F.sum("val").alias("rpo_value"), *dates)
+    kept = sums.where("n = tags").withColumn("least", F.min("tier").over(Window.partitionBy("ticker"))).where("tier = least")
+    return kept.select("ticker", "period_end", "fiscal_quarter", "fiscal_year", "rpo_value", F.col("name").alias("tag_used"))
 
 
 def lowest_tier(rows: DataFrame, key: str, tier: str = "tier") -> DataFrame:
