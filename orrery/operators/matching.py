@@ -59,6 +59,34 @@ def voted(matches: DataFrame, key: str = "query_id") -> DataFrame:
     )
 
 
+def labelled(matches: DataFrame, strategy: str = "top1", key: str = "query_id") -> DataFrame:
+    """(key, label, alpha, beta, gamma, similarity_top1, n_matches_used, strategy, low_confidence) of each key's matches.
+
+    ``top1`` takes the nearest match as it is. ``weighted_majority`` weighs alpha, beta and gamma by similarities above 0 and takes
+    the label whose value is next to beta; where no match has weight it falls back to the nearest one, with low confidence, and
+    says so in ``strategy``. Matches have (similarity, rank, label, alpha, beta, gamma); a key without any has no row.
+    """
+    if strategy not in ("top1", "weighted_majority"):
+        raise ValueError(f"no strategy: {strategy}")
+    names = ("alpha", "beta", "gamma")
+    first = matches.groupBy(key).agg(
+        *[F.min_by(c, "rank").alias(c) for c in ("label", *names)], F.min_by("similarity", "rank").alias("similarity_top1"),
+        *[F.sum(F.greatest("similarity", F.lit(0.0)) * F.col(c)).alias(f"__{c}") for c in names],
+        F.sum(F.greatest("similarity", F.lit(0.0))).alias("__weight"), F.count("*").alias("__n"),
+    )
+    low = F.col("similarity_top1") < LOW_CONFIDENCE
+    if strategy == "top1":
+        return first.select(key, "label", *names, "similarity_top1", F.lit(1).cast("long").alias("n_matches_used"), F.lit(strategy).alias("strategy"), low.alias("low_confidence"))
+    some = F.col("__weight") > 0
+    made = first.select(
+        key, F.col("label").alias("__label"), "similarity_top1", *[F.when(some, F.col(f"__{c}") / F.col("__weight")).otherwise(F.col(c)).alias(c) for c in names],
+        F.when(some, F.col("__n")).otherwise(F.lit(1)).cast("long").alias("n_matches_used"),
+        F.when(some, strategy).otherwise(f"{strategy}_fallback_top1").alias("strategy"), (~some | low).alias("low_confidence"), some.alias("__some"),
+    )
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("beta") - v), F.lit(k), F.lit(name).alias("name")) for k, (name, v) in enumerate(LABELS)]))["name"]
+    return made.select(key, F.when(F.col("__some"), near).otherwise(F.col("__label")).alias("label"), *names, "similarity_top1", "n_matches_used", "strategy", "low_confidence")
+
+
 def corpus_rows(raw: DataFrame, needed: tuple[str, ...]) -> DataFrame:
     """Rows of a corpus that have all that is needed."""
     return raw.dropna(subset=list(needed))

@@ -186,3 +186,20 @@ def test_all_sentences_are_scored(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "One. Real.")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.iteration): (r.n_tasks, r.n_r1, r.n_r2) for r in queries.offline_scorer(spark, f"file://{tmp_path}").collect()}
     assert got == {(1, i): (25021, 9, 25000) for i in (1, 2)} | {(2, i): (2, 0, 1) for i in (1, 2)}
+
+
+def test_label_strategies(spark):
+    rows = [
+        (1, 0.9, 1, "E0", 0.0, 0.0, 0.0), (1, 0.8, 2, "E1", 1.0, 1.0, 1.0), (1, 0.7, 3, "E1", 1.0, 1.0, 1.0),
+        (2, 0.4, 1, "E2", 0.0, 0.5, 1.0), (2, -0.3, 2, "E0", 0.0, 0.0, 0.0),
+        (3, -0.1, 1, "E1", 1.0, 1.0, 1.0), (3, -0.2, 2, "E0", 0.0, 0.0, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "query_id int, similarity double, rank int, label string, alpha double, beta double, gamma double")
+    top = {r.query_id: (r.label, r.beta, r.n_matches_used, r.strategy, r.low_confidence) for r in matching.labelled(df).collect()}
+    assert top == {1: ("E0", 0.0, 1, "top1", False), 2: ("E2", 0.5, 1, "top1", True), 3: ("E1", 1.0, 1, "top1", True)}
+    got = {r.query_id: r for r in matching.labelled(df, "weighted_majority").collect()}
+    assert got[1].label == "E2" and got[1].beta == pytest.approx(1.5 / 2.4) and got[1].alpha == pytest.approx(1.5 / 2.4) and got[1].n_matches_used == 3
+    assert (got[2].label, got[2].beta, got[2].low_confidence) == ("E2", 0.5, True)
+    assert (got[3].label, got[3].strategy, got[3].n_matches_used, got[3].low_confidence) == ("E1", "weighted_majority_fallback_top1", 1, True)
+    with pytest.raises(ValueError):
+        matching.labelled(df, "other")
