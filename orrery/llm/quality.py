@@ -239,8 +239,8 @@ def quality_rules(
 ) -> DataFrame:
     """docs with the METRICS, base_failed and kept, for use as a filter.
 
-    The documents are written once with their metrics, so that neither the cutoffs nor a filter measures a text again;
-    nothing but the labelled metrics is shuffled.
+    The documents are written once with their metrics, so that neither the cutoffs nor a filter measures a text again. Texts are
+    never shuffled; metrics are, by id, where the good labels are too many for a broadcast.
     """
     measured = materialize(with_metrics(docs, text_col), "measured")
     calibration = calibrate(measured, labels, id_col, stratum_col, label_col, alpha, delta)

@@ -6,7 +6,7 @@ time the one with the greatest record id counts. The resolved record has the res
 renew taken from the revisit.
 
 The as-of join works in spans of time, cut at quantiles: within a canonical URL and span by a window, between spans by the
-last response of each span, so that a URL with a third of all records is spread over SPANS tasks. Contents don't take part.
+last response of each span, so that a URL with a third of all records is spread over SPANS tasks or more. Contents don't take part.
 
 Rows with a null kind or record id are left out. Rows of one record id are one record, the greatest by time, kind, URL,
 validators, digest and headers, whatever the order of the rows. A null URL, or a null time, never has an earlier response.
@@ -23,8 +23,9 @@ from .common import left_join_split, materialize
 
 #: Headers that a 304 response may renew (RFC 9110, section 15.4.5).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Spans of time that the records of a URL are dealt out over, and revisits of one response that meet in a task at most.
-SPANS, HOT = 128, 10_000
+#: Spans of time that the records of a URL are dealt out over: at least so many, and one for so many records up to a bound; and
+#: revisits of one response that meet in a task at most.
+SPANS, SPAN_ROWS, MOST_SPANS, HOT = 128, 2_000_000, 16_384, 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -69,7 +70,23 @@ def _one_each(rows: DataFrame) -> DataFrame:
     return best.select("record_id", "r.*")
 
 
-def resolve(records: DataFrame, spans: int = SPANS, hot: int = HOT) -> DataFrame:
+def _span(cuts: list[int], ts: Column) -> Column:
+    """How many of the sorted cuts are no later than ts, by halving them; 0 for a null."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.lit(cuts).cast("array<bigint>")
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.coalesce(F.get(listed, mid) <= ts, F.lit(False))
+        step = F.when(above, F.struct((mid + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high")))
+        return F.when(s["low"] < s["high"], step).otherwise(s)
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), begin, halved, lambda s: s["low"])
+
+
+def resolve(records: DataFrame, spans: int | None = None, hot: int = HOT) -> DataFrame:
     """Revisits with the response that they refer to.
 
     records: record_id long, url string, ts long, kind string (response or revisit), etag, last_modified string,
@@ -81,16 +98,17 @@ def resolve(records: DataFrame, spans: int = SPANS, hot: int = HOT) -> DataFrame
         "record_id", "ts", "kind", "etag", "last_modified", "headers", "digest", canonical_url(F.col("url")).alias("canonical_url")
     )
     rows = materialize(_one_each(rows), "records")
+    spans = spans or min(max(SPANS, -(-rows.count() // SPAN_ROWS)), MOST_SPANS)
     # Spans hold about as many records each, however the times are spread.
     found = rows.approxQuantile("ts", [k / spans for k in range(1, spans)], 1 / (4 * spans)) if spans > 1 else []
-    cuts = F.array(*[F.lit(c) for c in sorted({min(int(x), (1 << 63) - 1) for x in found})]).cast("array<bigint>")
+    cuts = sorted({min(int(x), (1 << 63) - 1) for x in found})
     full = F.when(
         (F.col("kind") == "response") & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(),
         F.struct("ts", "record_id", "etag", "last_modified", "digest"),
     )
     # Headers of responses come back by the record id afterwards: the window carries small rows.
     own = F.when(F.col("kind") == "revisit", F.col("headers")).alias("__new")
-    span = F.size(F.filter(cuts, lambda c: c <= F.col("ts"))).alias("span")
+    span = _span(cuts, F.col("ts")).alias("span")
     slim = rows.select("canonical_url", span, "ts", "record_id", "kind", "etag", "last_modified", own, full.alias("full"))
     # Responses come after the revisits of their time, which they are too late for.
     later = F.col("kind") == "response"
