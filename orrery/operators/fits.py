@@ -96,6 +96,12 @@ def _cells(rows: DataFrame, wide: int) -> DataFrame:
     return per.repartition("fit", "unit").sortWithinPartitions("fit", "unit")
 
 
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """(numbers, values): each row's number among the column's different values, nulls being one of them."""
+    coded = column.combine_chunks().dictionary_encode("encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
 class _Block:
     """The cells of whole units of one fit."""
 
@@ -107,12 +113,12 @@ class _Block:
         self.q = np.empty((n, wide + 1, wide + 1))
         i, j = np.triu_indices(wide + 1)
         self.q[:, i, j] = self.q[:, j, i] = upper
-        self.t = np.array([place[p] for p in table.column("period").to_pylist()])
-        units = table.column("unit").to_pylist()
-        new = np.array([True, *[a != b for a, b in zip(units, units[1:], strict=False)]])
+        at, found = _codes(table.column("period"))
+        self.t = np.array([place[p] for p in found])[at]
+        new = np.r_[True, np.diff(_codes(table.column("unit"))[0]) != 0]
         self.heads = np.flatnonzero(new)
         self.unit = np.cumsum(new) - 1
-        self.names = [units[k] for k in self.heads.tolist()]
+        self.names = table.column("unit").take(pa.array(self.heads)).to_pylist()
         self.size = np.add.reduceat(self.n, self.heads)
         self.sums = np.add.reduceat(self.s, self.heads)
 
@@ -122,18 +128,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], place: dict, wide: int) -> Iterat
     held: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table, last: bool) -> tuple[list, pa.Table]:
-        fits, units = table.column("fit").to_pylist(), table.column("unit").to_pylist()
-        out, start, count = [], 0, 1
-        for i in range(1, len(fits) + 1):
-            end = i == len(fits)
-            if end and not last:
-                break
-            if end or (fits[i], units[i]) != (fits[i - 1], units[i - 1]):
-                if end or fits[i] != fits[i - 1] or count == UNITS:
-                    out.append((fits[i - 1], _Block(table.slice(start, i - start), place, wide)))
-                    start, count = i, 0
-                count += 1
-        return out, table.slice(start)
+        fits = table.column("fit").to_numpy()
+        other = np.diff(fits) != 0
+        starts = np.r_[0, np.flatnonzero(other | (np.diff(_codes(table.column("unit"))[0]) != 0)) + 1]
+        # Units of a fit in order; a block begins with a fit, and every UNITS units. The last unit may go on.
+        first = np.r_[True, fits[starts[1:]] != fits[starts[1:] - 1]]
+        place_in_fit = np.arange(len(starts)) - np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0))
+        ends = len(fits) if last else int(starts[-1])
+        heads = [*starts[(place_in_fit % UNITS == 0) & (starts < ends)].tolist(), ends]
+        out = [(int(fits[s]), _Block(table.slice(s, e - s), place, wide)) for s, e in zip(heads, heads[1:], strict=False)]
+        return out, table.slice(ends)
 
     for b in batches:
         held.append(b)
