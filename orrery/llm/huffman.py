@@ -55,70 +55,98 @@ def _tokenizer(path: str):
 #: Signs that the tokenizer splits from letters before them; an apostrophe may begin a contraction.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters of one byte each in Latin-1, which have no other composed form and one lower-case letter at most.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTERS = "".join(re.findall(f"[{_LATIN}]", "".join(map(chr, range(256)))))
+# A run of letters, with signs after it or without.
+_RUN, _MARKED = f"^[{_LATIN}]+$", f"^[{_LATIN}]+[{re.escape(SIGNS)}]*$"
 # Bytes as the characters that byte-level models write them with: printable ones of Latin-1 stand for themselves, the
 # others follow from U+0100 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHER = [b for b in range(256) if b not in _PRINTED]
 _AS_CHAR = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + k) for k, b in enumerate(_OTHER)}
-_BYTES = str.maketrans({chr(b): c for b, c in _AS_CHAR.items()})
+_BYTES = str.maketrans({chr(b): c for b, c in _AS_CHAR.items()} | {" ": " "})
+
+
+def _parts(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``first`` and have ``size`` items, one after the other."""
+    before = np.cumsum(size) - size
+    return pool[np.repeat(first - before, size) + np.arange(size.sum())]
 
 
 class WordIds:
     """Ids of texts by a tokenizer that never joins what a space separates: every word is encoded once.
 
     The tokenizer has to split words at the ends of runs of letters, lower-case them, and mark the last token of a run;
-    ``word_bpe_49k`` does. Runs of letters of Latin-1 go to its model at once, others through the whole tokenizer. Words and
-    their ids are kept as arrays, at some 40 bytes a word; beyond ``remembered`` of them only those of the last texts are.
+    ``word_bpe_49k`` does. A run of letters of Latin-1 is looked up in lower case and apart from the signs after it, and goes
+    to the tokenizer's model at once; other words go through the whole tokenizer. Words and their ids are remembered, at
+    some 140 bytes a word; beyond ``remembered`` of them those are forgotten that have not occurred in later texts again.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer, self.remembered = _tokenizer(path), remembered
         self.whole = lru_cache(10_000)(lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids)
-        self.known, self.starts, self.pool = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.empty(0, np.uint32)
-
-    def _letters(self, run: str) -> list[int]:
-        low = run.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(_BYTES)
-        return [t.id for t in self.tokenizer.model.tokenize(low)]
-
-    def word(self, word: str) -> list[int]:
-        if _LATIN.fullmatch(word):
-            return self._letters(word)
-        run = word.rstrip(SIGNS)
-        if _LATIN.fullmatch(run):
-            return self._letters(run) + self.whole(word[len(run) :])
-        return self.whole(word)
-
-    def _places(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``pool`` the ids of different words start and end."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.known: dict[str, int] = {}  # places, which are in order of entry
+        self.again, self.sizes, self.pool = np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _letters(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs of lower-case letters."""
+        if not runs:
+            return []
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in " ".join(runs).encode().decode("latin-1").translate(_BYTES).split(" ")]
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def _forget(self, new: int) -> None:
+        """Make room for new words."""
+        kept = self.again if int(self.again.sum()) + new <= self.remembered else np.zeros(len(self.again), bool)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.pool, self.sizes = _parts(self.pool, first[kept], self.sizes[kept]), self.sizes[kept]
+        self.known = {w: k for k, w in enumerate(itertools.compress(self.known, kept.tolist()))}
+        self.again = np.zeros(len(self.known), bool)
+
+    def _places(self, words: pa.LargeStringArray) -> np.ndarray:
+        """The places of different words, which are runs in lower case or others."""
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        at = self._look_up(listed)
+        self.again[at[at >= 0]] = True
         if len(self.known) + int((at < 0).sum()) > self.remembered:
-            self.known, self.starts, self.pool = self.known[:0], np.zeros(1, np.int64), np.empty(0, np.uint32)
-            at[:] = -1
-        missing = at < 0
-        at[missing] = len(self.known) + np.arange(missing.sum())
-        new = words.filter(pa.array(missing))
-        found = [self.word(w) for w in new.to_pylist()]
+            self._forget(int((at < 0).sum()))
+            at = self._look_up(listed)
+        missing = np.flatnonzero(at < 0)
+        run = pc.match_substring_regex(words.take(pa.array(missing)), _RUN).to_numpy(zero_copy_only=False)
+        runs, others = [[listed[k] for k in missing[x].tolist()] for x in (run, ~run)]
+        found = self._letters(runs) + [self.whole(w) for w in others]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.known = pa.concat_arrays([self.known, new])
-        self.starts, self.pool = np.r_[self.starts, self.starts[-1] + np.cumsum(sizes)], np.r_[self.pool, flat]
-        return self.starts[at], self.starts[at + 1]
+        at[np.r_[missing[run], missing[~run]]] = len(self.known) + np.arange(len(missing))
+        self.known.update(zip(runs + others, range(len(self.known), len(self.known) + len(missing)), strict=True))
+        self.again = np.r_[self.again, np.zeros(len(missing), bool)]
+        self.sizes, self.pool = np.r_[self.sizes, sizes], np.r_[self.pool, flat]
+        return at
+
+    def _words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after the other, and how many each has."""
+        marked = pc.match_substring_regex(words, _MARKED)
+        run = pc.if_else(marked, pc.utf8_lower(pc.ascii_rtrim(words, SIGNS)), words)
+        signs = pc.if_else(marked, pc.utf8_ltrim(words, _LETTERS), "")
+        parts = pa.concat_arrays([run, signs]).dictionary_encode()
+        at = self._places(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
+        at = at.reshape(2, -1).T.ravel()  # each word's run, then its signs
+        size = self.sizes[at]
+        return _parts(self.pool, (np.cumsum(self.sizes) - self.sizes)[at], size), size.reshape(-1, 2).sum(axis=1)
 
     def texts(self, texts: pa.Array, end: int) -> pa.Array:
         """Ids as little-endian unsigned 32-bit integers, with the end id."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        words = split.flatten()
-        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # spaces at the ends of a text leave empty words
-        coded = words.dictionary_encode()
-        starts, ends = self._places(coded.dictionary)
+        # Spaces at the ends of a text leave empty words, which have no ids.
+        coded = split.flatten().dictionary_encode()
+        pool, sizes = self._words(coded.dictionary)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        first, size = starts[code], np.where(real, ends[code] - starts[code], 0)
-        before = np.r_[0, np.cumsum(size)]
-        cuts = before[np.asarray(split.offsets) - split.offsets[0].as_py()]  # ids before each text
-        flat = self.pool[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        size = sizes[code]
+        cuts = np.r_[0, np.cumsum(size)][np.asarray(split.offsets) - split.offsets[0].as_py()]  # ids before each text
+        flat = _parts(pool, (np.cumsum(sizes) - sizes)[code], size)
         out = np.insert(flat, cuts[1:], end).astype("<u4")
         offsets = (cuts + np.arange(len(cuts))) * 4
         return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])

@@ -73,6 +73,21 @@ def test_any_words_and_little_memory(limit):
         assert np.frombuffer(x, "<u4").tolist() == [*hf._tokenizer(path).encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    """Whatever its case and the signs after it, and while it keeps occurring, whatever comes between."""
+    path, encoded = P.path("word_bpe_49k.json"), []
+    known = hf.WordIds(path, 60)
+    letters = known._letters
+    monkeypatch.setattr(known, "_letters", lambda runs: encoded.extend(runs) or letters(runs))
+    for k in range(12):
+        others = " ".join(chr(97 + k) + chr(97 + i) for i in range(20))
+        text = f"Word word, WORD! wörd WÖRD. wörd?! {others}"
+        got = known.texts(pa.array([text]), 2)[0].as_py()
+        assert np.frombuffer(got, "<u4").tolist() == [*hf._tokenizer(path).encode(text, add_special_tokens=False).ids, 2]
+        assert len(known.known) <= 60
+    assert encoded.count("word") == encoded.count("wörd") == 1 and len(encoded) == 2 + 12 * 20
+
+
 def test_files_and_blocks_are_in_order_of_the_ids(spark, tmp_path, monkeypatch):
     import glob
 
