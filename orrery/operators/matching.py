@@ -2,41 +2,125 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import dot, unit
-
 LOW_CONFIDENCE = 0.5
 #: The value of each label, in the order in which ties are settled.
 LABELS = (("E0", 0.0), ("E2", 0.5), ("E1", 1.0))
 
 
-#: Queries that are sent to all tasks at once; more are taken in blocks of about this many.
+#: Queries that meet a piece of the corpus at once, at most.
 QUERY_BLOCK = 5_000
+#: Numbers in the vectors of a piece of queries or of the corpus, rows below which a piece isn't cut for the sake of more tasks,
+#: pairs compared at a time.
+PIECE, LEAST_ROWS, PAIRS = 1 << 20, 256, 1 << 21
+#: Groups of rows whose best values tell how far down a query's k best can be.
+GROUPS = 256
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, match_id, similarity, rank) of the k nearest corpus rows of each query, by cosine; ties by id.
 
-    A stated set of queries is compared with all of the corpus, a block of queries at a time, so that what is broadcast is
-    bounded; each task keeps its own best k of a query before the shuffle.
+    All pairs are compared: queries and corpus are dealt into pieces of bounded bytes, every piece of queries meets every piece of
+    the corpus in one task, and of a piece only a query's own best k go on. Zero vectors are at similarity 0. A similarity is
+    null, and comes last, where a vector or one of its numbers is, or where lengths differ; NaN comes first.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vec_col)).alias("__q"))
-    c = corpus.select(F.col(id_col).alias("match_id"), unit(F.col(vec_col)).alias("__c"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n, m = corpus.agg(F.count("*"), F.max(F.size(vec_col))).first(), queries.count()
+    width = max(1, n[1] or 1)
+    most = max(1, PIECE // width)
+    blocks = max(1, -(-m // min(QUERY_BLOCK, most)))
+    # At least four tasks for each core, as long as pieces don't get too small; more as memory needs them.
+    wanted = min(-(-4 * corpus.sparkSession.sparkContext.defaultParallelism // blocks), n[0] // LEAST_ROWS)
+    pieces = max(1, wanted, -(-n[0] // most))
+    own = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    named = lambda df: df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = named(queries).select("id", "v", own(blocks).alias("q"), every(pieces).alias("r"))
+    held = named(corpus).select("id", "v", own(pieces).alias("r"), every(blocks).alias("q"))
+    of_query, of_match = (df.schema[id_col].dataType.simpleString() for df in (queries, corpus))
+    found = asked.groupBy("q", "r").cogroup(held.groupBy("q", "r")).applyInArrow(
+        lambda a, b: _best(a, b, k, digits), f"query_id {of_query}, match_id {of_match}, similarity double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "match_id")
-    out = None
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        near = F.bround(dot(F.col("__q"), F.col("__c")), digits).alias("similarity")
-        pairs = c.join(F.broadcast(block), F.lit(True)).select("query_id", "match_id", near)
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _vectors(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, filled up with zeros, and their lengths; -1 for one that is null or holds a null."""
+    column = column.combine_chunks()
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    x = np.zeros((len(column), width))
+    x[np.arange(width) < length[:, None]] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        length[pc.list_parent_indices(column).filter(flat.is_null()).to_numpy()] = -1
+    return x, length
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a with that of b, summed from the first number to the last."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
     return out
 
 
+def _best(queries: pa.Table, rows: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k nearest rows of each query. Similarities are rounded half to even, and those that a rounding error could turn are
+    worked out anew in a fixed order of sums, so that they don't depend on the piece."""
+    rows = rows.take(pc.sort_indices(rows.column("id").combine_chunks(), null_placement="at_start"))
+    longest = lambda t: pc.max(pc.list_value_length(t.column("v"))).as_py() or 0
+    width = max(longest(queries), longest(rows), 1)
+    (q, of_q), (x, of_x) = (_vectors(t.column("v"), width) for t in (queries, rows))
+    with np.errstate(all="ignore"):
+        size_q, size_x = np.sqrt(_dots(q, q)), np.sqrt(_dots(x, x))
+        unit_q, unit_x = (np.where(n[:, None] == 0, v, v / n[:, None]) for v, n in ((q, size_q), (x, size_x)))
+        plain = len({*of_q.tolist(), *of_x.tolist()} - {-1}) < 2 and min(of_q.min(initial=0), of_x.min(initial=0)) >= 0
+        scale, parts = 10.0**digits, []
+        step = max(1, PAIRS // max(1, len(x)))
+        for s in range(0, len(q) if len(x) else 0, step):
+            near = unit_q[s : s + step] @ unit_x.T
+            # NaN is above all, null below.
+            near[np.isnan(near)] = np.inf
+            if not plain:
+                near[(of_q[s : s + step, None] != of_x) | (of_x < 0)] = -np.inf
+            at, hit = np.nonzero(near >= _floor(near, k)[:, None] - 2 / scale)
+            value = near[at, hit] * scale
+            whole = np.rint(value)
+            unsure = np.flatnonzero(np.abs(value - whole) > 0.499)
+            if len(unsure):
+                i, j = at[unsure] + s, hit[unsure]
+                whole[unsure] = np.rint(_dots(q[i], x[j]) / np.where(size_q[i] == 0, 1, size_q[i]) / np.where(size_x[j] == 0, 1, size_x[j]) * scale)
+            order = np.lexsort((hit, -whole, at))
+            at, hit, whole = at[order], hit[order], whole[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            kept = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
+            parts.append((at[kept] + s, hit[kept], whole[kept] / scale + 0.0))
+    ask, hit, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+    null = np.isneginf(value)
+    value[np.isposinf(value)] = np.nan
+    return pa.table({
+        "query_id": queries.column("id").take(pa.array(ask)), "match_id": rows.column("id").take(pa.array(hit)),
+        "similarity": pa.array(value, mask=null, from_pandas=False),
+    })
+
+
+def _floor(near: np.ndarray, k: int) -> np.ndarray:
+    """A value for each query that at least k of its rows reach: the k-th best of the best values of groups, or of all rows."""
+    n = near.shape[1]
+    if k >= n:
+        return np.full(len(near), -np.inf)
+    if k <= GROUPS < n:
+        size = n // GROUPS
+        near = near[:, : size * GROUPS].reshape(len(near), size, GROUPS).max(1)
+    return np.partition(near, -k, axis=1)[:, -k]
+
+
 def voted(matches: DataFrame, key: str = "query_id") -> DataFrame:
     """Of each key's matches (similarity, rank, label, beta): the weighted value, the nearest label, low confidence.
 

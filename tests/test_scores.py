@@ -105,6 +105,38 @@ def test_top_k(spark, monkeypatch):
     assert {tuple(r) for r in matching.top_k(rows, rows, 3).collect()} == one and len(one) == 31 * 3
 
 
+def test_top_k_of_odd_vectors_in_any_pieces(spark, monkeypatch):
+    """Nulls, NaN, lengths that differ, zeros, opposite and equal vectors: as the sums of each pair say, and no row for each pair in the plan."""
+    rng, nan = random.Random(2), float("nan")
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)] if i % 4 else [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(700)]
+    rows += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [1.0, 2.0]), (903, []), (904, [nan] * 5), (905, [0.0] * 5), (None, [1.0, 2.0, 3.0, 4.0, 6.0]), (906, [-1.0, -2.0, -3.0, -4.0, -5.0])]
+    asked = rows[:20] + rows[-8:]
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        size = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+        return round(sum(x / size(a) * (y / size(b)) for x, y in zip(a, b, strict=True)), 6) + 0.0
+
+    def place(found):
+        s, m = found
+        return s is None, 0.0 if s is None else -math.inf if math.isnan(s) else -s, -1 if m is None else m
+
+    want = [(q, m, s, r) for q, v in asked for r, (s, m) in enumerate(sorted(((cosine(v, w), m) for m, w in rows), key=place)[:200], 1)]
+    schema = "vec_id long, embedding array<double>"
+    queries, df = spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema).repartition(3)
+    for piece in (None, 150):
+        if piece:
+            monkeypatch.setattr(matching, "PIECE", piece)
+        found = matching.top_k(queries, df, 200)
+        assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "CartesianProduct" not in plan
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    monkeypatch.setattr(matching, "PIECE", 4000)
+    for k in (1, 3):
+        assert sorted(map(repr, map(tuple, matching.top_k(queries, df, k).collect()))) == sorted(repr(w) for w in want if w[3] <= k)
+    assert matching.top_k(queries, df.limit(0), 3).count() == matching.top_k(queries.limit(0), df, 3).count() == 0
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(rows) for j, v in enumerate(r)], "s int, r int, v double")
 
