@@ -30,16 +30,19 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     the corpus in one task, and of a piece only a query's own best k go on. Zero vectors are at similarity 0. A similarity is
     null, and comes last, where a vector or one of its numbers is, or where lengths differ; NaN comes first.
     """
-    n, m = corpus.agg(F.count("*"), F.max(F.size(vec_col))).first(), queries.count()
-    width = max(1, n[1] or 1)
-    most = max(1, PIECE // width)
-    blocks = max(1, -(-m // min(QUERY_BLOCK, most)))
+    sizes = lambda df: df.agg(F.count("*"), F.sum(F.greatest(F.size(vec_col), F.lit(0)) + 1)).first()
+    (m, of_queries), (n, of_corpus) = (map(lambda x: x or 0, sizes(df)) for df in (queries, corpus))
+    blocks = max(1, -(-m // QUERY_BLOCK), -(-of_queries // PIECE))
     # At least four tasks for each core, as long as pieces don't get too small; more as memory needs them.
-    wanted = min(-(-4 * corpus.sparkSession.sparkContext.defaultParallelism // blocks), n[0] // LEAST_ROWS)
-    pieces = max(1, wanted, -(-n[0] // most))
+    wanted = min(-(-4 * corpus.sparkSession.sparkContext.defaultParallelism // blocks), n // LEAST_ROWS)
+    pieces = max(1, wanted, -(-of_corpus // PIECE))
     own = lambda parts: F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    named = lambda df: df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+    def named(df: DataFrame) -> DataFrame:
+        v = F.col(vec_col) if df.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
+        return df.select(F.col(id_col).alias("id"), v.alias("v"))
+
     asked = named(queries).select("id", "v", own(blocks).alias("q"), every(pieces).alias("r"))
     held = named(corpus).select("id", "v", own(pieces).alias("r"), every(blocks).alias("q"))
     of_query, of_match = (df.schema[id_col].dataType.simpleString() for df in (queries, corpus))
@@ -50,16 +53,17 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _vectors(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors, filled up with zeros, and their lengths; -1 for one that is null or holds a null."""
-    column = column.combine_chunks()
-    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = column.flatten()
-    x = np.zeros((len(column), width))
-    x[np.arange(width) < length[:, None]] = flat.to_numpy(zero_copy_only=False)
-    if flat.null_count:
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length the places of its vectors, the vectors and their norms; those that are null or hold a null aren't there."""
+    column, out = column.combine_chunks(), {}
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).copy()
+    if (flat := column.flatten()).null_count:
         length[pc.list_parent_indices(column).filter(flat.is_null()).to_numpy()] = -1
-    return x, length
+    for n in np.unique(length[length >= 0]).tolist():
+        at = np.flatnonzero(length == n)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+        out[n] = at, x, np.sqrt(_dots(x, x))
+    return out
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,43 +75,49 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(queries: pa.Table, rows: pa.Table, k: int, digits: int) -> pa.Table:
-    """The k nearest rows of each query. Similarities are rounded half to even, and those that a rounding error could turn are
-    worked out anew in a fixed order of sums, so that they don't depend on the piece."""
+    """The k nearest rows of each query, null for rows that can't be compared with it."""
     rows = rows.take(pc.sort_indices(rows.column("id").combine_chunks(), null_placement="at_start"))
-    longest = lambda t: pc.max(pc.list_value_length(t.column("v"))).as_py() or 0
-    width = max(longest(queries), longest(rows), 1)
-    (q, of_q), (x, of_x) = (_vectors(t.column("v"), width) for t in (queries, rows))
+    asked, held, places, parts, left = _by_length(queries.column("v")), _by_length(rows.column("v")), np.arange(len(rows)), [], []
+    for n, (of_q, q, size_q) in asked.items():
+        of_x, x, size_x = held.get(n, (places[:0], None, None))
+        if len(of_x):
+            at, hit, value = _compared(q, size_q, x, size_x, k, digits)
+            parts.append((of_q[at], of_x[hit], value, np.zeros(len(at), bool)))
+        left.append((of_q, np.setdiff1d(places, of_x)[: max(0, k - len(of_x))] if len(of_x) < k else places[:0]))
+    left.append((np.setdiff1d(np.arange(len(queries)), np.concatenate([a[0] for a in asked.values()] or [places[:0]])), places[:k]))
+    parts += [(np.repeat(a, len(b)), np.tile(b, len(a)), np.zeros(len(a) * len(b)), np.ones(len(a) * len(b), bool)) for a, b in left]
+    ask, hit, value, null = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    return pa.table({
+        "query_id": queries.column("id").take(pa.array(ask)), "match_id": rows.column("id").take(pa.array(hit)),
+        "similarity": pa.array(value, mask=null, from_pandas=False),
+    })
+
+
+def _compared(q: np.ndarray, size_q: np.ndarray, x: np.ndarray, size_x: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, of their k nearest rows, and similarities; ties by place. Similarities are rounded half to even, and
+    those that a rounding error could turn are worked out anew in a fixed order of sums, so that they don't depend on the piece."""
+    scale, step, many, parts = 10.0**digits, max(1, PAIRS // len(x)), max(1, PIECE // max(1, x.shape[1])), []
     with np.errstate(all="ignore"):
-        size_q, size_x = np.sqrt(_dots(q, q)), np.sqrt(_dots(x, x))
-        unit_q, unit_x = (np.where(n[:, None] == 0, v, v / n[:, None]) for v, n in ((q, size_q), (x, size_x)))
-        plain = len({*of_q.tolist(), *of_x.tolist()} - {-1}) < 2 and min(of_q.min(initial=0), of_x.min(initial=0)) >= 0
-        scale, parts = 10.0**digits, []
-        step = max(1, PAIRS // max(1, len(x)))
-        for s in range(0, len(q) if len(x) else 0, step):
+        size_q, size_x = (np.where(n == 0, 1, n) for n in (size_q, size_x))
+        unit_q, unit_x = q / size_q[:, None], x / size_x[:, None]
+        for s in range(0, len(q), step):
             near = unit_q[s : s + step] @ unit_x.T
-            # NaN is above all, null below.
             near[np.isnan(near)] = np.inf
-            if not plain:
-                near[(of_q[s : s + step, None] != of_x) | (of_x < 0)] = -np.inf
             at, hit = np.nonzero(near >= _floor(near, k)[:, None] - 2 / scale)
             value = near[at, hit] * scale
             whole = np.rint(value)
             unsure = np.flatnonzero(np.abs(value - whole) > 0.499)
-            if len(unsure):
-                i, j = at[unsure] + s, hit[unsure]
-                whole[unsure] = np.rint(_dots(q[i], x[j]) / np.where(size_q[i] == 0, 1, size_q[i]) / np.where(size_x[j] == 0, 1, size_x[j]) * scale)
+            for u in (unsure[t : t + many] for t in range(0, len(unsure), many)):
+                i, j = at[u] + s, hit[u]
+                whole[u] = np.rint(_dots(q[i], x[j]) / size_q[i] / size_x[j] * scale)
             order = np.lexsort((hit, -whole, at))
             at, hit, whole = at[order], hit[order], whole[order]
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             kept = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
             parts.append((at[kept] + s, hit[kept], whole[kept] / scale + 0.0))
-    ask, hit, value = (np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)]) for i, kind in enumerate((np.int64, np.int64, np.float64)))
-    null = np.isneginf(value)
-    value[np.isposinf(value)] = np.nan
-    return pa.table({
-        "query_id": queries.column("id").take(pa.array(ask)), "match_id": rows.column("id").take(pa.array(hit)),
-        "similarity": pa.array(value, mask=null, from_pandas=False),
-    })
+    at, hit, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    value[np.isinf(value)] = np.nan
+    return at, hit, value
 
 
 def _floor(near: np.ndarray, k: int) -> np.ndarray:
